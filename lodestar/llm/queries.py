@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lm_scoring import op9_lm_scoring
 from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
 from .simhash import op4_simhash
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +20,13 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force, round trips or held-out text.
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
