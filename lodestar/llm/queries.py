@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
+from .html_extract import op3_html_extract
+from .license_scan import op1_license_scan
 from .lm_scoring import op9_lm_scoring
 from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
 from .simhash import op4_simhash
 from .substring_dedup import OP10_SQL, op10_substring_dedup
+from .warc import OP5_SQL, op5_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
+    "op3_html_extract": op3_html_extract,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
@@ -27,6 +35,7 @@ QUERIES: dict[str, Query] = {
 #: The others have no SQL form; tests/llm holds them against brute force, round trips or held-out text.
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op5_warc": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
