@@ -28,7 +28,7 @@ def rolling_latency(log: DataFrame, last: int = ROLLING) -> DataFrame:
     reach = F.floor((F.col("n") - 2 + last) / _CHUNK)
     d = d.withColumn("_own", chunk).withColumn("_c", F.explode(F.sequence(chunk, reach)))
     w = Window.partitionBy("_c").orderBy("n").rowsBetween(1 - last, 0)
-    return d.withColumn("m", F.avg("latency_ms").over(w)).filter("_c = _own").select("query_id", F.round("m", 6).alias("rolling_ms"))
+    return d.withColumn("m", F.avg("latency_ms").over(w)).filter("_c = _own").select("query_id", F.round("m", 9).alias("rolling_ms"))
 
 
 def running_latency(log: DataFrame) -> DataFrame:

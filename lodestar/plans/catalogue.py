@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from . import analytics_queries as _a
 from . import retrieval_queries as _r
 
-QUERIES = {**_r.QUERIES}
-ORACLE_SQL = {**_r.ORACLE_SQL}
+QUERIES = {**_r.QUERIES, **_a.QUERIES}
+ORACLE_SQL = {**_r.ORACLE_SQL, **_a.ORACLE_SQL}

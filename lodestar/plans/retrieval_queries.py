@@ -218,8 +218,7 @@ def ir_metrics(spark, d):
 
 
 def _categories(spark, d):
-    run = bm25_run(spark, d).filter("qid % 5 <> 0")
-    return M.error_categories(queries(spark, d), run, qrels(spark, d))
+    return M.error_categories(queries(spark, d), bm25_run(spark, d), qrels(spark, d))
 
 
 def error_categories(spark, d):
@@ -295,7 +294,7 @@ def _any(*words: str) -> str:
 
 
 _NONE = C.NO_CONTEXT.replace("'", "''")
-_CAT = f"""{RUN}, rel AS ({QRELS_SQL}), got AS (SELECT qid, doc_id FROM run WHERE qid % 5 <> 0),
+_CAT = f"""{RUN}, rel AS ({QRELS_SQL}), got AS (SELECT qid, doc_id FROM run),
 cat AS (
   SELECT item_id AS qid, g.n_gold, r.n_got, x.n_both,
          CASE WHEN g.n_gold IS NULL THEN 'no_gold_standard' WHEN r.n_got IS NULL THEN 'no_retrieval' WHEN x.n_both IS NULL THEN 'retriever_miss' ELSE 'reader_issue' END AS category
