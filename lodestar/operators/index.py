@@ -24,29 +24,41 @@ def term_counts(df: DataFrame, key: str, text: str = "text", out: str = "tf", to
 
 @dataclass
 class Index:
-    """postings(doc_id, term, tf), lengths(doc_id, dl), terms(term, df), stats(n, avgdl)."""
+    """postings(doc_id, term, tf, dl), terms(term, df), stats(n, avgdl).
+
+    few: whether the terms are counted and within what may be broadcast.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
+    few: bool = False
+
+    def hinted(self, terms: DataFrame) -> DataFrame:
+        """A table of one row per term, to be broadcast if the terms are few."""
+        return F.broadcast(terms) if self.few else terms
 
 
 def build(docs: DataFrame, only: DataFrame | None = None, tokenise=tokens) -> Index:
     """Index documents (doc_id, text); only: terms that matter, others get no postings.
 
     Restricting by term leaves the frequencies of those terms complete. Empty
-    documents count in n and in the average length.
+    documents count in n and in the average length. Each posting carries its
+    document's length, so scoring joins no table of documents.
     """
     toks = docs.select("doc_id", tokenise(F.col("text")).alias("toks"))
-    lengths = toks.select("doc_id", F.size("toks").cast("long").alias("dl"))
-    occ = toks.select("doc_id", F.explode("toks").alias("term"))
+    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    occ = toks.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    few = False
     if only is not None:
-        occ = occ.join(sized(only.select("term").distinct()), "term", "left_semi")
-    postings = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, lengths, terms, stats)
+        only = only.select("term").distinct()
+        few = only.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        # dealt by document, what is left of the words needs no other shuffle: neither counts nor scores
+        occ = occ.join(F.broadcast(only) if few else only, "term", "left_semi").repartition("doc_id")
+    postings = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    # the condition always holds; it names all columns, so that both uses of postings share one exchange
+    terms = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    return Index(postings, terms, stats, few)
 
 
 def idf_bm25(n: Column, df: Column) -> Column:

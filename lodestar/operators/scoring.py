@@ -37,8 +37,8 @@ def _run(scored: DataFrame, k: int) -> DataFrame:
 
 def _matched(index: Index, queries: DataFrame) -> DataFrame:
     """Postings of query terms with their statistics: qid, qtf, doc_id, term, tf, dl, df, n, avgdl."""
-    p = index.postings.join(sized(queries), "term").join(sized(index.terms), "term")
-    return p.join(index.lengths, "doc_id").join(F.broadcast(index.stats))
+    q = sized(queries)
+    return index.postings.join(index.hinted(index.terms), "term").join(q, "term").join(F.broadcast(index.stats))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -66,16 +66,17 @@ def bm25_okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5
     index = build(docs, tokenise=ws_tokens)
     idf = index.terms.join(F.broadcast(index.stats)).withColumn("idf", idf_bm25(F.col("n"), F.col("df")))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    own = sized(q.select("term").distinct())
-    idf = idf.join(own, "term", "left_semi").join(F.broadcast(mean)).select("term", "n", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    m = index.postings.join(sized(q), "term").join(sized(idf), "term").join(index.lengths, "doc_id")
+    own = build(docs, q, ws_tokens)
+    idf = idf.join(F.broadcast(mean)).select("term", "n", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    idf = own.hinted(idf.join(own.hinted(q.select("term").distinct()), "term", "left_semi"))
+    m = own.postings.join(idf, "term").join(sized(q), "term")
     return _run(m.withColumn("w", F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), k1, b)), k)
 
 
 def term_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, term, weight of every posting."""
     i = build(docs)
-    m = i.postings.join(i.terms, "term").join(i.lengths, "doc_id").join(F.broadcast(i.stats))
+    m = i.postings.join(i.terms, "term").join(F.broadcast(i.stats))
     w = bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf_bm25(F.col("n"), F.col("df")), k1, b)
     return m.select("doc_id", "term", F.round(w, 6).alias("weight"))
 

@@ -113,7 +113,7 @@ def query_text(spark, d):
 
 
 def postings(spark, d):
-    return I.build(docs(spark, d)).postings
+    return I.build(docs(spark, d)).postings.select("doc_id", "term", "tf")
 
 
 def term_stats(spark, d):
