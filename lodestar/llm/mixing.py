@@ -3,8 +3,9 @@
 Every source gets a word target; a document is taken for all complete epochs
 of its source, and a last, fractional epoch is drawn by Efraimidis-Spirakis
 sampling: key = -ln(u) / weight, u a hash of the id, so reruns agree; sorted by
-key within the source, prefix-summed up to what is left of the target. One more
-document, the one that comes nearest to the gap, closes it.
+key within the source, prefix-summed up to what is left of the target. A long
+document may stop the sum short; the gap is then filled likewise, in the same
+order, from the documents left that fit it, PASSES times in all.
 
 The prefix sums are taken in two levels, over BUCKETS ranges of the key and then
 inside the one range that holds the cut, so that a source with a third of all
@@ -26,7 +27,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BUCKETS = 4096
+PASSES = 5
 SEED = "lodestar"
+#: Stands for a null id where ids are compared.
+_NO_ID = -(1 << 63)
 
 
 def _size(text: Column) -> Column:
@@ -75,46 +79,49 @@ def targets(src: DataFrame) -> DataFrame:
 def plan(sized: DataFrame) -> DataFrame:
     """One row per source: what decides for each of its documents.
 
-    epochs complete ones, then all documents up to (cut_bucket, cut_key, cut_id)
-    and the one document extra_id.
+    epochs complete ones, and in the last one what some of passes takes: a document of `most`
+    words or fewer, up to the cut at (bucket, key, id).
     """
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bsize"))
-    by_bucket = materialise(by_bucket, "mix-buckets")
-    t = targets(by_bucket.groupBy("source").agg(F.sum("bsize").alias("source_size")))
+    by_source = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    t = targets(by_source)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     t = t.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    t = materialise(t, "mix-targets")
-    w = Window.partitionBy("source").orderBy("bucket")
-    b = by_bucket.withColumn("base", F.sum("bsize").over(w) - F.col("bsize"))
-    cut = b.alias("b").join(t.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    cut = cut.filter((F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("bsize")))
-    cut = cut.select(F.col("b.source").alias("c_source"), F.col("bucket").alias("c_bucket"), "base", "rest")
-    on = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket"))
-    at = sized.join(cut, on)
-    upto = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("reached", F.col("base") + F.sum("size").over(upto))
-    fits = F.col("reached") <= F.col("rest")
-    at = at.groupBy("source").agg(
-        F.first("c_bucket").alias("cut_bucket"), F.first("rest").alias("_rest"), F.first("base").alias("_base"),
-        F.max(F.when(fits, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "reached"))).alias("_last"),
+    p = materialise(t.withColumn("passes", F.array().cast("array<struct<most:double,bucket:int,key:double,id:bigint>>")), "mix-targets")
+    for _ in range(PASSES):
+        p = materialise(_with_pass(sized, p), "mix-plan")
+    return p
+
+
+def _with_pass(sized: DataFrame, p: DataFrame) -> DataFrame:
+    """p with one more pass, and what it leaves of rest."""
+    fits = _joined(sized, p).filter(~_selected() & (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+    fits = fits.select("source", "bucket", "key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "size", "rest")
+    b = fits.groupBy("source", "bucket").agg(F.sum("size").alias("bsize"), F.first("rest").alias("rest"))
+    b = b.withColumn("upto", F.sum("bsize").over(Window.partitionBy("source").orderBy("bucket")))
+    # the range that holds the cut is the first to reach beyond rest; without one, all is taken
+    b = b.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("bsize")).alias("base")))).alias("cut"), F.max("upto").alias("all"))
+    b = materialise(b.select(F.col("source").alias("c_source"), F.col("cut.bucket").alias("c_bucket"), F.coalesce("cut.base", "all").alias("base")), "mix-ranges")
+    at = fits.join(b, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
+    upto = Window.partitionBy("source", "bucket").orderBy("key", "id").rangeBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("own", F.sum("size").over(upto)).filter(F.col("base") + F.col("own") <= F.col("rest"))
+    at = at.groupBy(F.col("source").alias("a_source")).agg(F.max(F.struct("key", "id", "own")).alias("last"))
+    p = p.join(b, F.col("source").eqNullSafe(F.col("c_source")), "left").join(at, F.col("source").eqNullSafe(F.col("a_source")), "left")
+    one = F.struct(F.col("rest").alias("most"), F.coalesce("c_bucket", F.lit(BUCKETS)).alias("bucket"), F.col("last.key").alias("key"), F.col("last.id").alias("id"))
+    return p.select(
+        "source", "source_size", "weight", "target", "epochs", (F.col("rest") - F.coalesce("base", F.lit(0)) - F.coalesce("last.own", F.lit(0))).alias("rest"),
+        F.when(F.col("base").isNull(), F.col("passes")).otherwise(F.array_append("passes", one)).alias("passes"),
     )
-    at = at.select(
-        F.col("source").alias("a_source"), "cut_bucket", F.col("_last.key").alias("cut_key"), F.col("_last.id").alias("cut_id"),
-        (F.col("_rest") - F.coalesce("_last.reached", "_base")).alias("gap"),
-    )
-    p = t.join(at, F.col("source").eqNullSafe(F.col("a_source")), "left").drop("a_source")
-    p = materialise(p, "mix-cuts")
-    gap = F.col("gap")
-    near = _joined(sized, p).filter(~_selected() & (F.abs(F.col("size") - gap) < gap))
-    near = near.groupBy(F.col("source").alias("n_source")).agg(F.min(F.struct(F.abs(F.col("size") - gap), "bucket", "key", "doc_id"))["doc_id"].alias("extra_id"))
-    return materialise(p.join(near, F.col("source").eqNullSafe(F.col("n_source")), "left").drop("n_source"), "mix-plan")
 
 
 def _selected() -> Column:
-    """In the fractional epoch; rows after the cut, or of a source with none, are not."""
-    key_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    last = (F.col("bucket") == F.col("cut_bucket")) & ((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (key_id <= F.col("cut_id"))))
-    return F.coalesce((F.col("bucket") < F.col("cut_bucket")) | last, F.lit(False))
+    """In the fractional epoch."""
+    own = F.coalesce("doc_id", F.lit(_NO_ID))
+
+    def taken(p: Column) -> Column:
+        at_cut = (F.col("bucket") == p["bucket"]) & p["key"].isNotNull() & ((F.col("key") < p["key"]) | ((F.col("key") == p["key"]) & (own <= p["id"])))
+        return (F.col("size") > 0) & (F.col("size") <= p["most"]) & ((F.col("bucket") < p["bucket"]) | at_cut)
+
+    return F.exists("passes", taken)
 
 
 def _joined(sized: DataFrame, p: DataFrame) -> DataFrame:
@@ -127,8 +134,7 @@ def _joined(sized: DataFrame, p: DataFrame) -> DataFrame:
 
 def _times() -> Column:
     """How often the mix takes the document."""
-    extra = F.coalesce(F.col("doc_id") == F.col("extra_id"), F.lit(False))
-    return F.col("epochs") + (_selected() | extra).cast("int")
+    return F.col("epochs") + _selected().cast("int")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -141,8 +147,8 @@ def mix(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of docs, with their columns, as often as the mix takes them.
 
-    Texts stay where they are: the plan has one row per source. A document of no words is dropped
-    where its source's fraction passes it by, like any other.
+    Texts stay where they are: the plan has one row per source. A document of no words comes with
+    complete epochs only.
     """
     sized = materialise(sizes(docs.select("doc_id", "source", "text")), "mix-sizes")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
@@ -155,6 +161,19 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+
+
+def _pass_sql(i: int) -> str:
+    """Table g{i - 1} becomes g{i} by one pass."""
+    fits = "NOT sel AND size > 0 AND size <= rest"
+    return f"""r{i} AS (
+  SELECT *, sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id) AS r FROM g{i - 1}
+), g{i} AS (
+  SELECT * EXCLUDE (r, sel, rest), sel OR ({fits} AND r <= rest) AS sel,
+         rest - coalesce(max(CASE WHEN {fits} AND r <= rest THEN r END) OVER (PARTITION BY source), 0) AS rest FROM r{i}
+)"""
+
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -179,17 +198,9 @@ t AS (
   FROM l, f
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
-), p AS (
-  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
-         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id) AS reached
-  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
-), g AS (
-  SELECT *, reached <= rest AND rest > 0 AS sel,
-         rest - coalesce(max(CASE WHEN reached <= rest THEN reached END) OVER (PARTITION BY source), 0) AS gap FROM p
-), x AS (
-  SELECT source, arg_min(doc_id, (abs(size - gap), key, doc_id)) AS extra FROM g WHERE NOT sel AND abs(size - gap) < gap GROUP BY source
-)
-SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN sel OR coalesce(doc_id = extra, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM g LEFT JOIN x ON g.source IS NOT DISTINCT FROM x.source
+), g0 AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, false AS sel FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+), {", ".join(_pass_sql(i) for i in range(1, PASSES + 1))}
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN sel THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM g{PASSES}
 """
