@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -16,9 +16,15 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def exploded(df: DataFrame, words: Column, *keep: str | Column) -> DataFrame:
+    """keep and each word as term. The outer form is filtered after the fact: for the inner one the
+    optimiser would tokenise every text once more, to see whether it has words."""
+    return df.select(*keep, F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_counts(df: DataFrame, key: str, text: str = "text", out: str = "tf", tokenise=tokens) -> DataFrame:
     """key, term, count of the term in the text."""
-    t = df.select(key, F.explode(tokenise(F.col(text))).alias("term"))
+    t = exploded(df, tokenise(F.col(text)), key)
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias(out))
 
 
@@ -48,7 +54,7 @@ def build(docs: DataFrame, only: DataFrame | None = None, tokenise=tokens) -> In
     """
     toks = docs.select("doc_id", tokenise(F.col("text")).alias("toks"))
     stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    occ = toks.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    occ = exploded(toks, F.col("toks"), "doc_id", F.size("toks").cast("long").alias("dl"))
     few = False
     if only is not None:
         only = only.select("term").distinct()
@@ -61,6 +67,27 @@ def build(docs: DataFrame, only: DataFrame | None = None, tokenise=tokens) -> In
     return Index(postings, terms, stats, few)
 
 
+def content_key(docs: DataFrame) -> str:
+    """Changes whenever an id or a text of docs changes; the order of rows plays no part."""
+    h = F.xxhash64("doc_id", "text").cast("decimal(20,0)")
+    n, total = docs.agg(F.count(F.lit(1)), F.sum(h)).first()
+    return f"{n}-{total or 0}"
+
+
+def save(index: Index, path: str, key: str) -> None:
+    """Write the tables of an index under path; key, in the path, says of which content."""
+    for name in ("postings", "terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{key}/{name}")
+
+
+def load(spark: SparkSession, path: str, key: str) -> Index | None:
+    """The index of that content, or None if it was not saved whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/stats/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return Index(*[spark.read.parquet(f"{path}/{key}/{name}") for name in ("postings", "terms", "stats")])
+
+
 def idf_bm25(n: Column, df: Column) -> Column:
     """Not smoothed, not floored: negative for a term in over half of the documents."""
     return F.ln((n - df + 0.5) / (df + 0.5))
@@ -72,7 +99,7 @@ def idf_tfidf(n: Column, df: Column) -> Column:
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """term, term_id from 0 by term. Ids come from counts by leading characters, not from one sorted task."""
-    terms = docs.select(F.explode(tokens(F.col("text"))).alias("term")).distinct().withColumn("_p", F.substring("term", 1, 2))
+    terms = exploded(docs, tokens(F.col("text"))).distinct().withColumn("_p", F.substring("term", 1, 2))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     per = terms.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     per = per.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import metric_tokens
+from ..runtime import shipped
 
 
 def _counted(toks: Column, n: int) -> Column:
@@ -69,6 +70,8 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 def rouge_l(pairs: DataFrame, *key: str) -> DataFrame:
     """key, precision, recall, f1 by longest common subsequence; two empty sides agree fully."""
+    shipped(pairs)
+
     @F.pandas_udf("long")
     def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, ws_tokens
-from .index import Index, build, idf_bm25, idf_tfidf, sized, term_counts
+from .index import Index, build, exploded, idf_bm25, idf_tfidf, sized, term_counts
 
 
 def bm25_weight(tf: Column, dl: Column, avgdl: Column, idf: Column, k1: float = 1.2, b: float = 0.75) -> Column:
@@ -84,7 +84,7 @@ def term_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame
 def known_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, term, qtf of the query words that some document has."""
     q = term_counts(queries, "qid", out="qtf")
-    words = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
+    words = exploded(docs, tokens(F.col("text")))
     return q.join(words.join(sized(q.select("term").distinct()), "term", "left_semi").distinct(), "term", "left_semi")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shipped
 from .scoring import top_k
 
 #: Query vectors that are sent to the executors at once.
@@ -64,7 +65,7 @@ def top_by_dot(corpus: DataFrame, queries: DataFrame, k: int, least: float | Non
                 at, doc = np.nonzero(s >= cut[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), b.column("doc_id").take(pa.array(doc)), pa.array(s[at, doc])], names=["qid", "doc_id", "score"])
 
-        part = corpus.filter(F.col("v").isNotNull()).select("doc_id", doubles(F.col("v")).alias("v"), F.col("scale").cast("double").alias("scale")).mapInArrow(run, kinds)
+        part = shipped(corpus).filter(F.col("v").isNotNull()).select("doc_id", doubles(F.col("v")).alias("v"), F.col("scale").cast("double").alias("scale")).mapInArrow(run, kinds)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = corpus.sparkSession.createDataFrame([], kinds)

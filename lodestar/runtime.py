@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """df, once this package is where its Python functions run: the executors get it as a zip file.
+
+    Needed where the package is neither installed there nor on their PYTHONPATH; it is sent once
+    for each application.
+    """
+    sc = df.sparkSession.sparkContext
+    if getattr(sc, "_lodestar_shipped", None) is None:
+        at = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar_package.zip"
+        own = Path(__file__).parent
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(own.rglob("*.py")):
+                z.write(f, f"{own.name}/{f.relative_to(own)}")
+        sc.addPyFile(str(at))
+        sc._lodestar_shipped = str(at)
+    return df
+
+
 def session(app: str = "lodestar", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators expect."""
     b = SparkSession.builder.appName(app)

@@ -95,6 +95,15 @@ def test_index_counts_empty_documents(spark):
     assert sorted(tuple(r)[:3] for r in i.postings.collect()) == [(1, "a", 2), (1, "b", 1)]
 
 
+def test_index_is_kept_by_content(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a a b"), (2, "c")], "doc_id long, text string")
+    key = I.content_key(d)
+    assert key == I.content_key(d.orderBy("text", ascending=False)) != I.content_key(d.withColumn("text", F.upper("text")))
+    assert I.load(spark, str(tmp_path), key) is None
+    I.save(I.build(d), str(tmp_path), key)
+    assert sorted(I.load(spark, str(tmp_path), key).postings.collect()) == sorted(I.build(d).postings.collect())
+
+
 def readers_input(spark, contexts, query="what is a word here"):
     return spark.createDataFrame([(1, query, contexts)], "qid long, query string, contexts array<string>")
 
