@@ -1,11 +1,15 @@
 """Sharding by Karmarkar-Karp differencing, under the law `bytes`.
 
-Documents of equal text form one indivisible group. Groups are dealt by hash
-over leaves of about LEAF_GROUPS; each leaf differences its groups: the two
-partial partitions with the largest spread are combined again and again, in
-opposite order. What a leaf leaves is itself a partial partition of n_shards
-sums, and those are differenced likewise, FAN at a time, up to one root. Thus
-no task holds more than a leaf or FAN partitions, and the driver none.
+Documents of equal text form one indivisible group. Differencing starts with
+each group as a partial partition of its own and combines, again and again, the
+two of the largest spread, in opposite order.
+
+The groups above 1 / (n_shards * LARGE) of all bytes, fewer than n_shards * LARGE by
+arithmetic, are differenced first, into one partial partition. The others are
+dealt by hash over leaves of about LEAF_GROUPS; every leaf takes its share of
+that partition as one more to difference, so that what it adds evens out the
+large groups too, and the sum over all leaves is even. No task holds
+more than a leaf.
 
 A null text counts as an empty one: both are one group, of 16 bytes a row.
 Repeated rows get slots of their own. A group larger than a fair share stays
@@ -22,72 +26,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, table
+from ..runtime import materialise, shipped, table
 
 N_SHARDS = 40
 OVERHEAD = 16
 LEAF_GROUPS = 50_000
-FAN = 512
+LARGE = 64
 
 
-def difference(parts: list[tuple[list[int], list[list]]], k: int) -> tuple[list[int], list[list]]:
-    """Combine partial partitions (k sums and k lists of members each) into one.
+def difference(singles: list[tuple[int, object]], k: int, part: tuple[list[int], list[list]] | None = None) -> tuple[list[int], list[list]]:
+    """Combine weighted members, and a partial partition of k sums and k lists of members, into one.
 
-    Members are lists of anything; ties are resolved by the order of parts.
+    Returns k sums, ascending, and k lists of members. Single members are expanded to partial
+    partitions only when their turn comes, and empty places hold no list, so memory follows the
+    members and not k times them. Ties are resolved by the order given.
     """
-    if not parts:
-        return [0] * k, [[] for _ in range(k)]
     tick = count()
-    heap = []
-    for sums, members in parts:
+    heap: list[tuple] = []
+
+    def push(sums: list[int], members: list[list | None]) -> None:
         order = sorted(range(k), key=sums.__getitem__)
         s = [sums[i] for i in order]
-        heap.append((s[0] - s[-1], next(tick), s, [members[i] for i in order]))
+        heapq.heappush(heap, (s[0] - s[-1], next(tick), s, [members[i] for i in order]))
+
+    def pop() -> tuple[list[int], list[list | None]]:
+        spread, _, sums, members = heapq.heappop(heap)
+        if sums is None:
+            return [0] * (k - 1) + [-spread], [None] * (k - 1) + [[members]]
+        return sums, members
+
+    if part is not None:
+        push(*part)
+    heap += [(-w, next(tick), None, g) for w, g in singles]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, am = heapq.heappop(heap)
-        _, _, b, bm = heapq.heappop(heap)
-        b, bm = b[::-1], bm[::-1]
-        sums = [x + y for x, y in zip(a, b, strict=True)]
+        (a, am), (b, bm) = pop(), pop()
         members = []
-        for x, y in zip(am, bm, strict=True):
+        for x, y in zip(am, reversed(bm), strict=True):
+            if x is None or y is None:
+                members.append(x or y)
+                continue
             if len(x) < len(y):
                 x, y = y, x
             x.extend(y)
             members.append(x)
-        order = sorted(range(k), key=sums.__getitem__)
-        s = [sums[i] for i in order]
-        heapq.heappush(heap, (s[0] - s[-1], next(tick), s, [members[i] for i in order]))
-    return heap[0][2], heap[0][3]
-
-
-def _leaf(k: int):
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["weight"].to_pylist(), t["group_key"].to_pylist(), strict=True), reverse=True)
-        parts = [([w] + [0] * (k - 1), [[g]] + [[] for _ in range(k - 1)]) for w, g in rows]
-        _, members = difference(parts, k)
-        node = t["node"][0].as_py()
-        keys = [g for m in members for g in m]
-        slots = [i for i, m in enumerate(members) for _ in m]
-        return pa.table({"group_key": pa.array(keys, pa.string()), "node": pa.array([node] * len(keys), pa.int64()), "part": pa.array(slots, pa.int32())})
+        push([x + y for x, y in zip(a, reversed(b), strict=True)], members)
+    if not heap:
+        return [0] * k, [[] for _ in range(k)]
+    sums, members = pop()
+    return sums, [m or [] for m in members]
 
-    return run
 
+def _leaf(large: list[int], leaves: int):
+    """Difference a leaf's groups with its share of the large ones' sums by shard."""
+    k = len(large)
 
-def _inner(k: int):
     def run(t: pa.Table) -> pa.Table:
-        sums: dict[int, list[int]] = {}
-        for n, p, w in zip(t["node"].to_pylist(), t["part"].to_pylist(), t["weight"].to_pylist(), strict=True):
-            sums.setdefault(n, [0] * k)[p] = w
-        parts = [(s, [[(n, p)] for p in range(k)]) for n, s in sorted(sums.items())]
-        total, members = difference(parts, k)
-        parent = t["parent"][0].as_py()
-        rows = [(n, p, parent, i, w) for i, (m, w) in enumerate(zip(members, total, strict=True)) for n, p in m]
-        cols = list(zip(*rows, strict=True))
-        return pa.table({
-            "node": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int32()), "parent": pa.array(cols[2], pa.int64()),
-            "up": pa.array(cols[3], pa.int32()), "up_weight": pa.array(cols[4], pa.int64()),
-        })
+        node = t["node"][0].as_py()
+        order = [(i + node) % k for i in range(k)]  # ties fall to other shards in every leaf
+        share = ([large[i] // leaves for i in order], [[i] for i in order])
+        rows = sorted(zip(t["weight"].to_pylist(), t["group_key"].to_pylist(), strict=True), reverse=True)
+        _, members = difference(rows, k, share)
+        keys, shards = [], []
+        for m in members:
+            own = next(x for x in m if isinstance(x, int))
+            keys += [x for x in m if not isinstance(x, int)]
+            shards += [own] * (len(m) - 1)
+        return pa.table({"group_key": pa.array(keys, pa.string()), "shard": pa.array(shards, pa.int32())})
 
     return run
 
@@ -95,27 +100,14 @@ def _inner(k: int):
 def assign_groups(groups: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """group_key string, weight long -> group_key, shard."""
     groups = materialise(groups.select("group_key", "weight"), "shard-groups")
-    leaves = max(1, math.ceil(groups.count() / LEAF_GROUPS))
-    dealt = groups.withColumn("node", F.pmod(F.xxhash64("group_key"), F.lit(leaves)).cast("long"))
-    leaf = dealt.groupBy("node").applyInArrow(_leaf(n_shards), "group_key string, node long, part int")
-    leaf = materialise(leaf, "shard-leaves")
-    sums = leaf.join(groups, "group_key").groupBy("node", "part").agg(F.sum("weight").alias("weight"))
-    if leaves == 1:
-        return leaf.select("group_key", F.col("part").alias("shard"))
-    place = None
-    while leaves > 1:
-        up = sums.withColumn("parent", F.floor(F.col("node") / FAN).cast("long"))
-        up = up.groupBy("parent").applyInArrow(_inner(n_shards), "node long, part int, parent long, up int, up_weight long")
-        up = materialise(up, "shard-inner")
-        step = up.select(F.col("node").alias("at"), F.col("part").alias("at_part"), "parent", "up")
-        if place is None:
-            place = step.select(F.col("at").alias("node"), F.col("at_part").alias("part"), "parent", "up")
-        else:
-            was = place.select("node", "part", F.col("parent").alias("at"), F.col("up").alias("at_part"))
-            place = was.join(step, ["at", "at_part"]).select("node", "part", "parent", "up")
-        sums = up.groupBy(F.col("parent").alias("node"), F.col("up").alias("part")).agg(F.max("up_weight").alias("weight"))
-        leaves = math.ceil(leaves / FAN)
-    return leaf.join(place, ["node", "part"]).select("group_key", F.col("up").alias("shard"))
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    above = F.col("weight") * (n_shards * LARGE) > total
+    large = groups.filter(above).collect()  # fewer than n_shards * LARGE rows
+    sums, members = difference(sorted(((r.weight, r.group_key) for r in large), reverse=True), n_shards)
+    placed = groups.sparkSession.createDataFrame([(g, i) for i, m in enumerate(members) for g in m], "group_key string, shard int")
+    leaves = max(1, math.ceil(n / LEAF_GROUPS))
+    dealt = groups.filter(~above).withColumn("node", F.pmod(F.xxhash64("group_key"), F.lit(leaves)).cast("long"))
+    return materialise(shipped(dealt).groupBy("node").applyInArrow(_leaf(sums, leaves), "group_key string, shard int").unionByName(placed), "shard-leaves")
 
 
 def group_keys(docs: DataFrame, *keep) -> DataFrame:
