@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import shipped, table
 from .scan import mixed, slices, span_hashes, text_bytes, word_spans
 
 GRAM = 3
@@ -190,7 +190,7 @@ def seeds(docs: DataFrame, items: Items) -> Items:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["k", "df"])
 
     # one row per seed of the block: bounded like the block
-    got = docs.select("text").mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).toArrow()
+    got = shipped(docs.select("text")).mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(items.keys), np.int64)
     df[got["k"].to_numpy()] = got["df"].to_numpy()
     items.rarest(df)

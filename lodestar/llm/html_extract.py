@@ -22,7 +22,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..runtime import table
+from ..runtime import shipped, table
 from .scan import slices
 
 _RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|noframes|canvas|audio|video"
@@ -279,7 +279,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(p) for p in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return shipped(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:

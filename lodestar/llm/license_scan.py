@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..runtime import table
+from ..runtime import shipped, table
 from .scan import slices, text_bytes, word_spans
 
 #: The base phrases.
@@ -322,7 +322,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_KINDS}")
+    return shipped(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, {_KINDS}")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, table
+from ..runtime import materialise, shipped, table
 from .components import components
 from .scan import slices
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, *keep: str, n: int = SHINGLE) -> DataFrame:
                 fp = np.array([_fingerprint(t or b"", n) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(fp)], names=[*keep, "fp"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return shipped(docs.select(*keep, "text")).mapInArrow(run, schema)
 
 
 def _hamming() -> list[int]:
@@ -211,7 +211,7 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         at = at.select("fp", "anchor", F.col("home").alias("_h"), own.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         at = at.withColumn("home", F.col("_h") & (F.col("salt") == F.col("_s")))
     at = at.select("anchor", "salt", "fp", "home").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return at.mapInArrow(_compare(distance), "u long, v long")
+    return shipped(at).mapInArrow(_compare(distance), "u long, v long")
 
 
 def cluster(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
