@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, table
+from ..runtime import materialise, shipped, table
 from .scan import mixed, powers, slices, span_hashes, text_bytes, word_spans
 
 WINDOW = 50
 GRAM = 8
 HOT = 20_000
+#: Bytes of text that a task hashes at a time; the tables of 64-bit words beside it take 50 times as much.
+_BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _SECOND_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -81,7 +83,7 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -
 def _scan(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _BYTES):
                 data, off = text_bytes(part.column("text"))
                 starts, ends, first = word_spans(data, off)
                 mins, at, n = super_kmers(span_hashes(data, starts, ends), first, window, gram)
@@ -103,7 +105,7 @@ def _pack(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", _BYTES):
                 rows: list[tuple] = []
                 for order, key, text, found in zip(*[part.column(c).to_pylist() for c in ("order", "key", "text", "found")], strict=True):
                     words = text.encode().split()
@@ -179,7 +181,7 @@ def count_windows(window: int):
             bytes_held += b.nbytes
             key = b.column("bucket").to_numpy()
             last = int(np.argmax(key == key[-1]))
-            if bytes_held < 8 << 20 or (last == 0 and held[0].column("bucket")[0].as_py() == key[-1]):
+            if bytes_held < 2 * _BYTES or (last == 0 and held[0].column("bucket")[0].as_py() == key[-1]):
                 continue
             held[-1], rest = b.slice(0, last), b.slice(last)
             yield from emit(held)
@@ -220,7 +222,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     """(scanned, documents with repeats and their text, their word ranges [a, z) to go)."""
     rows = _keyed(docs)
     schema = "doc_id long, key long, n_words long, sha string, mins array<long>, starts array<int>, counts array<int>"
-    scanned = materialise(rows.select("doc_id", "key", "text").mapInArrow(_scan(window, gram), schema), "scanned")
+    scanned = materialise(shipped(rows.select("doc_id", "key", "text")).mapInArrow(_scan(window, gram), schema), "scanned")
     scanned = scanned.withColumn("order", F.coalesce("doc_id", F.lit(_LAST_ID)))
     kmers = scanned.select("order", "key", F.inline(F.arrays_zip(F.col("mins").alias("min"), F.col("starts").alias("start"), F.col("counts").alias("count"))))
     kmers = kmers.toDF("order", "key", "min", "start", "count")
