@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, scratch_path, table
+from ..runtime import materialise, scratch_path, shipped, table
 
 LEAST_REVISIT = 1000
 #: The dictionary is trained on so many pages, the least by a hash of their id, and so many characters of each.
@@ -216,8 +216,10 @@ def described(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html) to archives in folder, a shared one; returns the manifest: path, records."""
-    sample = pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    dictionary = train([r[0].encode() for r in sample.select(F.substring("html", 1, SAMPLE_CHARS)).collect()])
+    # thinned by the hash first, so that the tasks send the driver a few times the sample at most
+    thin = F.pmod(F.xxhash64("page_id"), F.lit(max(1, pages.count() // (4 * SAMPLE_PAGES)))) == 0
+    sample = pages.filter(thin & (F.length("html") > 0)).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("head"))
+    dictionary = train([r.head.encode() for r in sample.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, writer, path, n, done = None, None, "", 0, []
@@ -241,7 +243,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    return materialise(described(pages).mapInArrow(run, "path string, records long"), "warc-manifest")
+    return materialise(shipped(described(pages)).mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
@@ -270,7 +272,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
     # one archive is at most ARCHIVE_BYTES and a record: each is a task's work
     many = manifest.repartition(max(1, manifest.count()), "path")
-    return many.mapInArrow(run, schema + ", payload binary" * payload)
+    return shipped(many).mapInArrow(run, schema + ", payload binary" * payload)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
