@@ -11,7 +11,7 @@ from ..operators import docstore as D
 from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import scoring as S
-from ..runtime import materialise, table
+from ..runtime import materialise, spread, table
 
 WORDS = r"'[\p{L}\p{N}_]+'"
 #: Fixed value: ASCII punctuation as an SQL string.
@@ -19,7 +19,7 @@ PUNCT_SQL = "'" + T.PUNCTUATION.replace("'", "''") + "'"
 
 
 def docs(spark, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def queries(spark, d: str) -> DataFrame:

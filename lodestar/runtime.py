@@ -52,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, dealt over all cores if it is below `most` bytes for each: a small table may come in one
+    row group, which would leave all work on it to one task. Larger ones stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
