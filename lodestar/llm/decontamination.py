@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased. Every GRAM-word gram of a test
-item is a candidate seed; a first scan counts, over all documents, how many hold
-it. An item's seeds are its rarer half, so an item that leaked everywhere keeps
-seeds too, while stock phrases drop out. A second scan finds the seeds in the
-documents; those that hit near one diagonal open a passage, which is aligned
-with the item by Smith-Waterman over words (match 2, mismatch and gap -1). A
-score of THRESHOLD or more, as a share of the item's perfect score, is a leak:
-edited, reordered at the edges or paraphrased in part, as long as it aligns.
+item is a seed, however often documents hold it, for an edited copy may keep any
+one of them only. Seeds that hit near one diagonal open a passage, as wide as an
+alignment through them can be. A passage that holds fewer of the item's words than
+a leak must match is passed over, as most of stock phrases are; the others are
+aligned with the item by Smith-Waterman over words (match 2, mismatch and gap -1).
+A score of THRESHOLD or more, as a share of the item's perfect score, is a leak:
+edited, reordered at the edges or paraphrased in part, as long as it aligns and
+keeps one gram. An alignment without any gram of the item is not looked for.
 
 The items are broadcast in blocks of BLOCK_BYTES of text, one block after
 another, so what is sent has a bound whatever the size of the benchmark. Documents
@@ -32,9 +33,11 @@ from .scan import mixed, slices, span_hashes, text_bytes, word_spans
 GRAM = 3
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
-#: Words around the seeds that are aligned with them, besides the item's length.
+#: Seeds of diagonals farther apart than half the item and this open another passage.
 MARGIN = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words looked up at a time.
+_LOOKUPS = 1 << 20
 
 #: True for the ASCII bytes that separate words: all but letters and digits.
 _BREAK = np.ones(256, bool)
@@ -99,26 +102,12 @@ class Items:
         self.item = np.repeat(np.arange(len(ids)), np.diff(first))[: len(grams)][within]
         self.place = (np.arange(len(grams)) - np.repeat(first[:-1], np.diff(first))[: len(grams)])[within]
         self.gram = grams[within]
-        self._sort()
-
-    def _sort(self) -> None:
+        self.vocabulary, self.word = np.unique(words, return_inverse=True)
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.keys, self.cut = np.unique(self.gram, return_index=True)
         self.cut = np.append(self.cut, len(self.gram))
 
-    def rarest(self, df: np.ndarray) -> None:
-        """Keep each item's rarer half of grams; df: documents that hold each key."""
-        freq = df[np.searchsorted(self.keys, self.gram)]
-        keep = np.zeros(len(freq), bool)
-        order = np.lexsort((self.place, freq, self.item))
-        cut = np.flatnonzero(np.diff(self.item[order])) + 1
-        for at in np.split(order, cut):
-            if len(at):
-                keep[at[freq[at] <= freq[at[(len(at) - 1) // 2]]]] = True
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self._sort()
-
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The key number of each hash, or -1."""
         if not len(self.keys):
@@ -126,6 +115,23 @@ class Items:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at, -1)
 
+    def _held(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many words of each item stand, each anywhere, in words[begin:end]: no alignment matches more."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        pos = np.flatnonzero(self.vocabulary[at] == words)
+        spot = np.sort(at[pos] * (len(words) + 1) + pos)
+        size = np.diff(self.first)[item]
+        out = np.zeros(len(item), np.int64)
+        part = np.cumsum(size) // _LOOKUPS
+        for own in np.split(np.arange(len(item)), np.flatnonzero(np.diff(part)) + 1):
+            n = size[own]
+            shift = np.cumsum(n) - n
+            word = self.word[np.arange(n.sum()) + np.repeat(self.first[item[own]] - shift, n)] * (len(words) + 1)
+            next_ = np.searchsorted(spot, word + np.repeat(begin[own], n))
+            held = spot[np.minimum(next_, len(spot) - 1)] < word + np.repeat(end[own], n)
+            out[own] = np.add.reduceat(held & (next_ < len(spot)), shift, dtype=np.int64)
+        return out
+
     def leaks(self, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple]:
         """(text number, item number, score, seeds, first word, last word) of texts that hold an item."""
         grams, within = gram_hashes(words, first)
@@ -146,12 +152,14 @@ class Items:
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[item[1:]] // 2 + MARGIN)
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(doc))
-        least = np.where(size[item[lo]] >= 4 * GRAM, 2, 1)
+        # the gaps of an alignment that reaches the threshold are fewer than this
+        drift = np.ceil(MATCH * size * max(0.0, 1 - threshold) / -GAP).astype(np.int64)[item[lo]]
+        begin = np.maximum(0, diagonal[lo] - drift)
+        end = np.minimum(np.diff(first)[doc[lo]], diagonal[hi - 1] + size[item[lo]] + drift)
+        able = self._held(words, item[lo], first[doc[lo]] + begin, first[doc[lo]] + end) >= threshold * size[item[lo]]
         best: dict[tuple[int, int], tuple] = {}
-        for a, b in zip(lo[hi - lo >= least].tolist(), hi[hi - lo >= least].tolist(), strict=True):
+        for a, b, begin, end in zip(*(x[able].tolist() for x in (lo, hi, begin, end)), strict=True):
             d, i = int(doc[a]), int(item[a])
-            begin = max(0, int(diagonal[a]) - MARGIN)
-            end = min(int(first[d + 1] - first[d]), int(diagonal[b - 1]) + int(size[i]) + MARGIN)
             score, s, e = align(self.words[self.first[i] : self.first[i + 1]], words[first[d] + begin : first[d] + end])
             share = score / (MATCH * int(size[i]))
             if share >= threshold and share > best.get((d, i), (0.0,))[0]:
@@ -171,32 +179,6 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield Items([r.item_id for r in rows], [r.text for r in rows])
 
 
-def seeds(docs: DataFrame, items: Items) -> Items:
-    """items, with the rarer half of their grams by count of all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        df = np.zeros(len(own.keys), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, first = word_hashes(part.column("text"))
-                grams, within = gram_hashes(words, first)
-                key = np.where(within, own.find(grams), -1)
-                pos = np.flatnonzero(key >= 0)
-                doc = np.searchsorted(first, pos, "right") - 1
-                df += np.bincount(np.unique(doc * len(df) + key[pos]) % max(len(df), 1), minlength=len(df))
-        found = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["k", "df"])
-
-    # one row per seed of the block: bounded like the block
-    got = shipped(docs.select("text")).mapInArrow(count, "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(items.keys), np.int64)
-    df[got["k"].to_numpy()] = got["df"].to_numpy()
-    items.rarest(df)
-    return items
-
-
 _FOUND = "item_id long, score double, n_seeds long, first_word long, last_word long"
 
 
@@ -206,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     docs = docs.select("doc_id", "text")
     out = spark.createDataFrame([], f"doc_id long, {_FOUND}")
     for items in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(seeds(docs, items))
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
@@ -219,14 +201,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                     cols += [pa.array(x, t) for x, t in zip(rest, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"])
 
-        out = out.unionByName(docs.mapInArrow(run, f"doc_id long, {_FOUND}"))
+        out = out.unionByName(shipped(docs).mapInArrow(run, f"doc_id long, {_FOUND}"))
     return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with their columns, that hold no test item. No shuffle."""
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(seeds(docs, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
@@ -238,7 +220,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                     kept = part.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(kept.columns, names=batch.schema.names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = shipped(docs).mapInArrow(run, docs.schema)
     return docs
 
 

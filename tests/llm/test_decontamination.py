@@ -86,3 +86,30 @@ def test_empty(spark, tables):
 def test_words():
     h, first = dc.word_hashes(pa.array(["A b,B", None, "a\x00É9"]))
     assert first.tolist() == [0, 3, 3, 5] and h[0] == h[3] and h[1] == h[2]
+
+
+def test_partial_and_much_edited_copies(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, items = [], []
+    for i in range(60):
+        item = rnd.sample(vocab, rnd.randint(9, 45))
+        copy = list(item)
+        for at in rnd.sample(range(len(copy)), round(len(copy) * (0.2 + 0.1 * (i % 2)))):
+            copy[at] = rnd.choice(["edited", "changed", "other"])
+        if i % 3 == 0:  # the first part only
+            copy = item[: len(item) * 3 // 5]
+        if i % 5 == 0:  # a gram, then words put between
+            copy = item[:3] + [x for w in item[3:] for x in ([w, "more"] if rnd.random() < 0.4 else [w])]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(rnd.choices(vocab, k=60) + copy + rnd.choices(vocab, k=60))))
+    expected = set()
+    for d, text in rows:
+        for i, item in items:
+            a, b = words(item), words(text)
+            if {*zip(a, a[1:], a[2:])} & {*zip(b, b[1:], b[2:])} and smith_waterman(a, b) / (2 * len(a)) >= dc.THRESHOLD:
+                expected.add((d, i))
+    assert len(expected) > 50
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()} == expected
+    assert {r.doc_id for r in dc.clean_documents(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in expected}
