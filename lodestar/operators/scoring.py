@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, ws_tokens
 from .index import Index, build, exploded, idf_bm25, idf_tfidf, sized, term_counts
 
+#: Largest accuracy asked of percentile_approx.
+MOST_ACCURATE = 1 << 20
+
 
 def bm25_weight(tf: Column, dl: Column, avgdl: Column, idf: Column, k1: float = 1.2, b: float = 0.75) -> Column:
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
@@ -20,12 +25,19 @@ def top_k(scores: DataFrame, k: int, *by: str, score: str = "score", id_: str =
 
 
 def approx_top_k(scores: DataFrame, k: int, score: str = "score", id_: str = "id", accuracy: int = 1000) -> DataFrame:
-    """About the k best rows of all: those above a threshold from an approximate percentile, then a bounded sort."""
+    """About the k best rows of all: those above a threshold from an approximate percentile, then a bounded sort.
+
+    accuracy is the least one; it follows n / k, as the percentile's error must stay below the share that is kept,
+    up to MOST_ACCURATE, as the summary grows with it. Where fewer than k rows pass, all rows are sorted.
+    """
     n = scores.count()
     if n > 10 * k:
         share = 1 - 2 * k / n
+        accuracy = min(max(accuracy, math.ceil(10 * n / k)), MOST_ACCURATE)
         cut = scores.agg(F.percentile_approx(score, F.lit(share), F.lit(accuracy)).alias("_cut"))
-        scores = scores.join(F.broadcast(cut), F.col(score) >= F.col("_cut")).drop("_cut")
+        above = scores.join(F.broadcast(cut), F.col(score) >= F.col("_cut")).drop("_cut")
+        if above.count() >= k:
+            scores = above
     return scores.orderBy(F.desc(score), id_).limit(k)
 
 

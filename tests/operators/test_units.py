@@ -89,6 +89,14 @@ def test_approximate_top_k(spark, kind):
     assert len(got) == 50 and len(set(got) & set(exact)) >= 45
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1000])
+def test_approximate_top_k_of_very_many(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_ACCURATE", most)
+    s = spark.range(250_000).select("id", F.rand(3).alias("score")).cache()
+    got = [r.id for r in S.approx_top_k(s, 100).collect()]
+    assert got == [r.id for r in s.orderBy(F.desc("score"), "id").limit(100).collect()]
+
+
 def test_index_counts_empty_documents(spark):
     i = I.build(spark.createDataFrame([(1, "a a b"), (2, ""), (3, None)], "doc_id long, text string"))
     assert i.stats.first() == (3, 1.0)
