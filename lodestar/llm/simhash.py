@@ -214,33 +214,41 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return shipped(at).mapInArrow(_compare(distance), "u long, v long")
 
 
-def cluster(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links lead to."""
-    rows = materialise(fingerprints(docs, "doc_id", n=n), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def _linked(docs: DataFrame, keep: tuple[str, ...], least: Column, n: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' keep and fp, and of each distinct fp its least, an aggregate of keep, and the root that links lead to."""
+    rows = materialise(fingerprints(docs, *keep, n=n), "fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(least.alias("least")), "distinct-fingerprints")
     links = link_fingerprints(fps.select("fp"), distance)
     roots = components(links)
     named = fps.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "fingerprint-roots")
+    return rows, materialise(named, "fingerprint-roots")
+
+
+def cluster(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id that links lead to."""
+    rows, named = _linked(docs, ("doc_id",), F.min("doc_id"), n, distance)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, with their columns: of each component the one of the smallest doc_id.
+    """The rows of docs, with their columns: of each component one, that of the smallest doc_id.
 
-    Rows that repeat that id count as copies too: one stays, the least by hash. Rows whose id is
-    null belong to the component of their fingerprint; they stay only where it has no other id.
+    A row belongs to the component of its own text, whatever its id: rows that share an id but not a
+    component stay both, and those whose id is null come after all others of their component. Of
+    one id the text with the least hash stays.
     """
     from pyspark.sql import Window
 
-    c = cluster(docs.select("doc_id", "text"), n, distance)
-    keep = c.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"))
-    boxed = boxed.select("_row", F.col("_row.doc_id").alias("_id"))
-    d = boxed.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    w = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
+    # 128 bits that tell id and text
+    text, both = F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text").alias("_g")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g"))
+    _, named = _linked(docs.select("doc_id", "text", text, both), ("doc_id", "_h", "_g"), first, n, distance)
+    keep = named.groupBy("root").agg(F.min("least").alias("_k")).select("_k._h", "_k._g")
+    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), text, both)
+    d = boxed.join(keep, ["_h", "_g"], "left_semi")
+    w = Window.partitionBy("_h", "_g").orderBy("_h")
     return d.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("_row.*")
 
 

@@ -60,6 +60,17 @@ def test_fingerprints_and_components(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choices([f"word{i}" for i in range(900)], k=80)) for _ in range(40)]
+    rows = [(None, t) for t in texts[:20]]  # texts of their own
+    rows += [(None, texts[0]), (None, texts[30]), (30, texts[30]), (31, texts[30])]  # copies; one with an id
+    rows += [(7, texts[32]), (7, texts[33]), (7, texts[33]), (6, texts[34]), (7, texts[34])]  # an id of three texts
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(None, t) for t in texts[:20]] + [(30, texts[30]), (7, texts[32]), (7, texts[33]), (6, texts[34])]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, expected))
+
+
 def near(fps, rnd, flips):
     for b in rnd.sample(range(64), flips):
         fps ^= 1 << b
