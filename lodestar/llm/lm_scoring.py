@@ -9,9 +9,10 @@ what the shorter context has seen, the excluded mass depends on the longer
 context only, so each trie node carries one escape weight and scoring is a table
 look-up. A document's score is its pretrained log10 probability.
 
-Only the CONTEXTS most frequent longest contexts are kept in the trie, as bounded
-memory demands; bytes in others are coded from the next shorter one, of which all
-are kept. Word counts are exact and have no bound: words more frequent than one in
+All contexts count. The SENT_CONTEXTS most frequent longest ones and all shorter ones
+go to the executors as a trie, as bounded memory demands; the rest stays in a table
+of contexts, which the grams to be scored in them meet in a join. CONTEXTS, where set,
+bounds the model itself: bytes in contexts beyond are coded from shorter ones. Word counts are exact and have no bound: words more frequent than one in
 HEAVY tokens, fewer than HEAVY by arithmetic, go to the executors, the rest meets
 its counts in a join.
 
@@ -37,7 +38,8 @@ from .scan import slices, text_bytes
 FOLDS = 7
 HELD_OUT = 2
 ORDER = 3
-CONTEXTS = 1 << 17
+CONTEXTS: int | None = None
+SENT_CONTEXTS = 1 << 17
 HEAVY = 200_000
 #: A byte that UTF-8 never uses; stands before and after each text.
 _END = 0xFF
@@ -113,7 +115,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out([], codes[i : i + 100_000], counts[i : i + 100_000])
 
 
-#: Stands for the first context byte of what the bound on contexts leaves out; UTF-8 never uses it either.
+#: Stands for the first context byte of what the trie leaves out; UTF-8 never uses it either.
 _ANY = 0xFE
 _ROWS = 1 << 13
 
@@ -167,7 +169,11 @@ class Trie:
         codes = codes.astype(np.int64)
         at = self.index[codes >> 8]
         found = self.long[np.maximum(at, 0) * 256 + (codes & 255)] if len(self.long) else np.zeros(len(codes), np.float32)
-        return np.where(at >= 0, found, self.short[codes & ((1 << (8 * ORDER)) - 1)])
+        return np.where(at >= 0, found, self.lower(codes))
+
+    def lower(self, codes: np.ndarray) -> np.ndarray:
+        """The scores that the next shorter contexts give."""
+        return self.short[codes & ((1 << (8 * ORDER)) - 1)]
 
 
 _last: list = [None, None]
@@ -180,15 +186,45 @@ def _trie(model) -> Trie:
     return _last[1]
 
 
+def _member(far: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Whether the contexts are in far, a set of bits, or empty."""
+    return (far[ctx >> 6] >> (ctx & 63).astype(np.int64)) & 1 == 1 if len(far) else np.zeros(len(ctx), bool)
+
+
+def _far_contexts(grams: DataFrame, model) -> DataFrame:
+    """_ctx, its counts of grams by code, their sum and number, and the score of an escape."""
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = _trie(model).lower(batch.column("gram").to_numpy()).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], names=["gram", "n", "low"])
+
+    d = grams.mapInArrow(lower, "gram long, n long, low double").groupBy(F.shiftright("gram", 8).alias("_ctx"))
+    d = d.agg(
+        F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("by_code"),
+        F.sum("n").alias("sum"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), F.col("low"))).alias("gone"),
+    )
+    escape = F.log10(F.col("kinds") / (F.col("sum") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("gone"), F.lit(1e-7)))
+    return d.select("_ctx", "by_code", "sum", "kinds", escape.alias("escape"))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, heavy = _trie(model), model.value[2]
+        trie, heavy, far = _trie(model), *model.value[2:]
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 data, off = text_bytes(part.column("text"))
                 codes, cut = framed(data, off)
-                score = np.add.reduceat(trie.score(codes).astype(np.float64), cut[:-1])
+                each = trie.score(codes).astype(np.float64)
+                # grams in contexts of the table: once for each text, with what the shorter context gives
+                at = np.flatnonzero(_member(far, codes >> 8))
+                key, one, far_times = np.unique((np.searchsorted(cut, at, "right") - 1 << 32) | codes[at].astype(np.int64), return_index=True, return_counts=True)
+                low = each[at[one]]
+                each[at] = 0.0
+                far_offs = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) << 32), pa.int32())
+                far_lists = [pa.ListArray.from_arrays(far_offs, pa.array(x)) for x in (key & 0xFFFFFFFF, far_times.astype(np.int64), low)]
+                score = np.add.reduceat(each, cut[:-1])
                 raw = data.tobytes().lower()
                 tokens, known, base, rare, times, lens = [], [], [], [], [], []
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
@@ -207,7 +243,8 @@ def _score(model):
                     pa.array((task << 40) + row + np.arange(n)), part.column("doc_id"), part.column("held_out"), pa.array(tokens, pa.int64()),
                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
                     pa.ListArray.from_arrays(offs, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(offs, pa.array(times, pa.int64())),
-                ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
+                    *far_lists,
+                ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "far", "far_times", "far_low"])
                 row += n
 
     return run
@@ -229,25 +266,42 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     heavy = {bytes(r[0]): math.log10(r[1] + 1) for r in words.filter(F.col("c") * HEAVY > total).toLocalIterator()}
     grams = counts.filter("gram IS NOT NULL").select("gram", "n")
-    # contexts beyond the trie's bound count for the next shorter ones only
-    ctx = grams.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), "_ctx").limit(CONTEXTS)
-    ctx = materialise(ctx.select("_ctx"), "lm-contexts")
+    # contexts beyond the trie count for the next shorter ones there
+    counted = grams.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), "_ctx")
+    if CONTEXTS is not None:
+        counted = counted.limit(CONTEXTS)
+    ctx = materialise(counted.limit(SENT_CONTEXTS).select("_ctx"), "lm-contexts")
     on = F.shiftright("gram", 8) == F.col("_ctx")
     rest = grams.join(ctx, on, "left_anti")
     suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)).bitwiseOR(F.lit(_ANY << (8 * ORDER)))
     rest = rest.groupBy(suffix.alias("gram")).agg(F.sum("n").alias("n"))
     kept = grams.join(ctx, on, "left_semi").unionByName(rest).toArrow()
     codes, freq = kept["gram"].to_numpy(), kept["n"].to_numpy()
-    model = spark.sparkContext.broadcast((codes, freq, heavy))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
+    beyond = grams.join(ctx, on, "left_anti")
+    if CONTEXTS is not None:
+        beyond = beyond.join(materialise(counted.select("_ctx"), "lm-bound"), on, "left_semi")
+    bits = beyond.select(F.shiftright("gram", 8).alias("_c")).groupBy(F.shiftright("_c", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(_c & 63 as int)))").alias("bits"))
+    bits = bits.toArrow()  # 2 MB for all contexts there can be
+    far = np.zeros((1 << (8 * ORDER - 6)) if bits.num_rows else 0, np.int64)
+    far[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    model = spark.sparkContext.broadcast((codes, freq, heavy, far))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>, far array<long>, far_times array<long>, far_low array<double>"
     rows = materialise(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(model), schema), "lm-rows")
     rare = rows.select("row", F.inline(F.arrays_zip("rare", "times"))).toDF("row", "word", "times")
     rare = rare.join(words.filter(F.col("c") * HEAVY <= total), F.col("word") == F.col("_word"))
     rare = rare.groupBy(F.col("row").alias("_row")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
-    d = rows.drop("rare", "times").join(rare, F.col("row") == F.col("_row"), "left")
+    d = rows.drop("rare", "times", "far", "far_times", "far_low").join(rare, F.col("row") == F.col("_row"), "left").drop("_row")
+    score = F.col("score")
+    if len(far):
+        more = rows.select("row", F.inline(F.arrays_zip("far", "far_times", "far_low"))).toDF("row", "code", "far_times", "low")
+        more = more.join(_far_contexts(beyond, model), F.shiftright("code", 8) == F.col("_ctx"))
+        own = F.log10(F.try_element_at("by_code", F.col("code")) / (F.col("sum") + F.col("kinds")))
+        more = more.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("far_times") * F.coalesce(own, F.col("escape") + F.col("low"))).alias("far_score"))
+        d = d.join(more, F.col("row") == F.col("_row"), "left")
+        score = score + F.coalesce("far_score", F.lit(0.0))
     known = F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(n_docs > 0))
     logs = F.col("base") + F.coalesce("logs", F.lit(0.0)) + F.lit(math.log10(n_docs + 1)) - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
-    return d.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), logs.alias("base_score"), "score")
+    return d.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), logs.alias("base_score"), score.alias("score"))
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

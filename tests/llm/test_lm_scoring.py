@@ -89,5 +89,34 @@ def test_bounds_leave_word_counts_exact(docs, monkeypatch):
     assert sum(r.score for r in small) < sum(r.score for r in full)
 
 
+@pytest.mark.parametrize("sent", [12, 0])
+def test_contexts_beyond_the_trie_score_alike(docs, monkeypatch, sent):
+    _, df = docs
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
+    full = sorted(lm_scoring.score(df).collect(), key=key)
+    monkeypatch.setattr(lm_scoring, "SENT_CONTEXTS", sent, raising=False)
+    monkeypatch.setattr(lm_scoring, "_last", [None, None])
+    few = sorted(lm_scoring.score(df).collect(), key=key)
+    assert [r.score for r in few] == pytest.approx([r.score for r in full], rel=1e-5)
+
+
+def test_all_contexts_count(spark):
+    """More contexts than 131,072, each text with its own: every one is scored as it was trained."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(chr(rnd.randrange(0x10000, 0x110000)) for _ in range(60))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {}
+    for i, t in rows:
+        if not out(i):
+            b = b"\xff\xff\xff" + lower(t).encode() + b"\xff"
+            for j in range(3, len(b)):
+                for k in range(4):
+                    grams.setdefault(b[j - k : j], Counter())[b[j]] += 1
+    assert sum(len(c) == 3 for c in grams) > 1 << 17
+    got = {r.doc_id: r.score for r in lm_scoring.score(df).filter("doc_id % 100 = 0").collect()}
+    for i, t in rows[::100]:
+        assert got[i] == pytest.approx(code_length(t, grams), rel=1e-4)
+
+
 def test_empty(spark):
     assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
