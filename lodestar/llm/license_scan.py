@@ -2,7 +2,7 @@
 
 Every rule is a regular expression over the lower-cased (A-Z) text, with a
 label, a priority and a confidence. A rule is tried only where its keyword
-occurs. Overlapping detections are resolved by priority, then length, then
+occurs, which is a part of whatever the rule matches. Overlapping detections are resolved by priority, then length, then
 place: one whose interval lies within an accepted one is suppressed.
 
 Beside that the base scan: all places where the words of three licence names
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -241,22 +242,55 @@ def _compiled(pattern: str) -> re.Pattern[bytes]:
     return re.compile(re.sub(r" (?!\?)", r"\\s+", p.replace(" ?", r"\s*")).encode(), re.DOTALL)
 
 
+#: Words too frequent to filter by, unless a pattern has no other.
+_FREQUENT = {b"license", b"licen", b"general", b"public", b"software", b"version", b"the", b"of"}
+
+
+def _literals(parsed) -> Iterator[bytes]:
+    """The runs of bytes that every match of a parsed pattern has."""
+    run = b""
+    for op, arg in parsed:
+        if op is _parser.LITERAL:
+            run += bytes([arg])
+            continue
+        yield run
+        run = b""
+        if op is _parser.SUBPATTERN:
+            yield from _literals(arg[-1])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0]:
+            yield from _literals(arg[2])
+    yield run
+
+
+def _keyword(keyword: str, pattern: re.Pattern[bytes]) -> bytes:
+    """keyword, if every match of pattern has it, otherwise the longest run that every match has."""
+    own = list(_literals(_parser.parse(pattern.pattern, pattern.flags)))
+    if any(keyword.encode() in x for x in own):
+        return keyword.encode()
+    return max(own, key=lambda x: (x not in _FREQUENT, len(x)) if x else (False, 0))
+
+
+def _rule(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> Rule:
+    p = _compiled(pattern)
+    return Rule(label, _keyword(keyword, p), p, priority, confidence)
+
+
 def rules() -> list[Rule]:
     """Priority 5: an identifier tag, 4: licence text, 3: an explicit grant by name, 2: a name, 1: a link."""
     out = []
     for label, keyword, patterns in _lines(_TEXTS):
-        out += [Rule(label, keyword.encode(), _compiled(p), 4, 0.95) for p in patterns]
+        out += [_rule(label, keyword, p, 4, 0.95) for p in patterns]
     labels = []
     for label, keyword, patterns in _lines(_NAMES):
         labels.append(label)
         for p in patterns:
-            out.append(Rule(label, keyword.encode(), _compiled(f"{_GRANTS} {p}"), 3, 0.9))
-            out.append(Rule(label, keyword.encode(), _compiled(p), 2, 0.6))
+            out.append(_rule(label, keyword, f"{_GRANTS} {p}", 3, 0.9))
+            out.append(_rule(label, keyword, p, 2, 0.6))
     for label, keyword, patterns in _lines(_LINKS):
-        out += [Rule(label, keyword.encode(), _compiled(p), 1, 0.8) for p in patterns]
+        out += [_rule(label, keyword, p, 1, 0.8) for p in patterns]
     for label in dict.fromkeys(labels):
         tag = rf"spdx-license-identifier: ?\(?{re.escape(label)}(?:-only|-or-later|\+)?(?![\w.-])"
-        out.append(Rule(label, b"spdx-license", _compiled(tag), 5, 1.0))
+        out.append(_rule(label, "spdx-license", tag, 5, 1.0))
     return out
 
 

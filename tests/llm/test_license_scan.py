@@ -51,6 +51,41 @@ def test_signatures(text, labels):
     assert {r.label for *_, r in found} == labels
 
 
+def example(parsed):
+    """A text that a parsed pattern matches, optional parts left out."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else chr(arg[0][1][0]) if str(arg[0][0]) == "RANGE" else " "
+        elif name == "ANY":
+            out += "x"
+        elif name == "BRANCH":
+            out += example(arg[1][0])
+        elif name == "SUBPATTERN":
+            out += example(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += example(arg[2]) * arg[0]
+    return out
+
+
+def test_the_prefilter_loses_no_detection():
+    own = ls.rules()
+    filtered = ls.Scanner(own)
+    free = ls.Scanner([ls.Rule(r.label, b"", r.pattern, r.priority, r.confidence) for r in own])
+    names = ["expat license", "x11 license", "asl 2.0", "epl-2.0", "mpl-1.1", "psf license", "gfdl", "odbl", "internet systems consortium license", "open rail license", "lgplv3", "lgplv2.1"]
+    for r in own:
+        text = example(re._parser.parse(r.pattern.pattern, r.pattern.flags))
+        assert r.pattern.search(text.encode()), text
+        assert r.keyword and r.keyword in text.encode()
+        names.append(text)
+    for text in names:
+        found = [[(a, b, r.label) for a, b, r in s.detections(text.encode())] for s in (filtered, free)]
+        assert found[0] == found[1] != [], text
+
+
 def test_suppression_by_priority_and_containment():
     def rule(label, pattern, priority):
         return ls.Rule(label, b"a", re.compile(pattern), priority, 0.5)
