@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ _ZONES = set(
 )
 _HEADERS = {"header", "masthead"}
 _WORD = re.compile(r"[A-Za-z][a-z]*")
+#: Names that tell of a zone elsewhere: has-sidebar, no-sidebar.
+_MODIFIER = re.compile(r"(?<![A-Za-z])(?:has|no|with|without|hide|show)[-_]+[\w-]+", re.IGNORECASE)
 
 
 @dataclass
@@ -61,27 +64,35 @@ class Block:
     heading: bool
 
 
-def _zone(tag: str, attrs: str, in_article: bool) -> bool:
+def _zone(tag: str, attrs: str, in_article: bool) -> int:
+    """0: no zone, 1: one by tag or hidden, 2: one by name."""
     if tag in _NO_ARTICLE or tag == "header" and not in_article:
-        return True
+        return 1
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+            return 1
         if key in ("class", "id", "role"):
-            names = {w.lower() for w in _WORD.findall(value)}
+            names = {w.lower() for w in _WORD.findall(_MODIFIER.sub(" ", value))}
             if names & (_ZONES - _HEADERS if in_article else _ZONES) and not (tag in ("article", "main") and names & {"article", "main", "content", "post", "entry"}):
-                return True
-    return False
+                named = 2
+    return named
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
+    """The text blocks of a page, in order.
+
+    A zone by name that encloses main, or the first article with most of the page's words, is
+    the page's wrapper and no zone.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # holder, opens a zone, is an article
-    zones = articles = links = heading = 0
+    open_: list[tuple[str, int, bool]] = []  # holder, number of the zone it opens or 0, is an article
+    spans: list[list[int]] = []  # zones: kind, place and block of the start, of the end
+    first_article = main = -1
+    articles = links = heading = 0
     text: list[str] = []
     linked: list[str] = []
 
@@ -91,10 +102,14 @@ def blocks(page: str) -> list[Block]:
             if own:
                 n = own.count(" ") + 1
                 k = len(html.unescape(" ".join(linked)).split())
-                out.append(Block(own, n, min(1.0, k / n), zones > 0, articles > 0, heading > 0))
+                out.append(Block(own, n, min(1.0, k / n), False, articles > 0, heading > 0))
             text.clear()
             linked.clear()
 
+    def close(z: int) -> None:
+        if z:
+            spans[z - 1][3:] = at, len(out)
+
     def say(piece: str) -> None:
         text.append(piece)
         if links:
@@ -121,7 +136,7 @@ def blocks(page: str) -> list[Block]:
                     links = 0
                     while True:
                         name, z, a = open_.pop()
-                        zones -= z
+                        close(z)
                         articles -= a
                         if name == tag:
                             break
@@ -136,15 +151,30 @@ def blocks(page: str) -> list[Block]:
             if tag in _HOLDERS and not m[4].rstrip().endswith("/>"):
                 if tag in ("li", "dd", "dt", "tr", "td", "th") and open_ and open_[-1][0] == tag:
                     _, z, a = open_.pop()
-                    zones -= z
+                    close(z)
                     articles -= a
                 z, a = _zone(tag, m[4], articles > 0), tag in ("article", "main")
-                open_.append((tag, z, a))
-                zones += z
+                if z:
+                    spans.append([z, m.start(), len(out), len(page), -1])
+                open_.append((tag, len(spans) if z else 0, a))
+                if tag == "main":
+                    main = m.start()
+                if a and first_article < 0:
+                    first_article = m.start()
                 articles += a
     if at < len(page):
         say(page[at:])
     flush()
+    before = [0, *accumulate(b.words for b in out)]
+    depth = [0] * (len(out) + 1)
+    for kind, start, lo, end, hi in spans:
+        hi = len(out) if hi < 0 else hi
+        if kind == 2 and (start < main < end or start < first_article < end and 2 * (before[hi] - before[lo]) > before[-1]):
+            continue
+        depth[lo] += 1
+        depth[hi] -= 1
+    for block, n in zip(out, accumulate(depth), strict=False):
+        block.zone = n > 0
     return out
 
 

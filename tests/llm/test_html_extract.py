@@ -68,3 +68,12 @@ def test_rows(spark):
     got = sorted(he.extract(df).collect(), key=repr)
     assert sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=repr) == sorted([tuple(r) for r in got], key=repr)
     assert he.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div id="page" class="no-sidebar"', 'main class="with-sidebar"', 'div class="more tags"', 'div id="search"'])
+def test_wrappers_keep_their_article(wrapper):
+    text = "This is the long main text of the page, with many words in it. " * 6
+    side = '<div class="sidebar"><article><p>Read this other story now</p></article></div>'
+    page = f"<body><{wrapper}><article><p>{text}</p></article>{side}</{wrapper.split()[0]}></body>"
+    own = he.blocks(page)
+    assert [b.zone for b in own] == [False, True]
