@@ -9,15 +9,18 @@ what the shorter context has seen, the excluded mass depends on the longer
 context only, so each trie node carries one escape weight and scoring is a table
 look-up. A document's score is its pretrained log10 probability.
 
-All contexts count. The SENT_CONTEXTS most frequent longest ones and all shorter ones
-go to the executors as a trie, as bounded memory demands; the rest stays in a table
-of contexts, which the grams to be scored in them meet in a join. CONTEXTS, where set,
-bounds the model itself: bytes in contexts beyond are coded from shorter ones. Word counts are exact and have no bound: words more frequent than one in
-HEAVY tokens, fewer than HEAVY by arithmetic, go to the executors, the rest meets
-its counts in a join.
+All contexts count. The trie is sparse: contexts and the symbols after them are sets of bits
+with ranks, and only what training showed has a number. All contexts shorter than ORDER go to
+the executors (fewer than 2 ** 24 grams by arithmetic), and of the longest ones the most frequent, up to
+SENT_CONTEXTS of them and SENT_GRAMS of their grams. The rest stays in a table, which the
+grams to be scored in them meet in a join, with the same result. Word counts are exact and have no bound:
+words more frequent than one in HEAVY tokens, fewer than HEAVY by arithmetic, go to the
+executors, the rest meets its counts in a join.
 
 A null text is empty; an empty one has one token, its end. Repeated rows are
-counted and scored each. A null id counts as an empty text: training.
+counted and scored each; of equal contexts in number the lesser is sent. A null id counts as an empty
+text: training. An empty table gives an empty one. Texts of any length are scored whole, a stretch of
+bytes at a time. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, shipped, table
@@ -38,12 +41,16 @@ from .scan import slices, text_bytes
 FOLDS = 7
 HELD_OUT = 2
 ORDER = 3
-CONTEXTS: int | None = None
 SENT_CONTEXTS = 1 << 17
+SENT_GRAMS = 1 << 21
 HEAVY = 200_000
 #: A byte that UTF-8 never uses; stands before and after each text.
 _END = 0xFF
-_FLUSH = 400_000
+_FLUSH = 200_000
+#: Bytes of text that a task codes at a time; one longer text makes a stretch of its own.
+_BYTES = 1 << 20
+#: Codes looked up at a time.
+_LOOKUPS = 1 << 18
 
 
 def held_out() -> Column:
@@ -60,16 +67,15 @@ def framed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Each text is coded with its end symbol; contexts begin with end symbols.
     """
     n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
     b = np.full(len(data) + (ORDER + 1) * n, _END, np.uint8)
-    b[np.arange(len(data)) + (ORDER + 1) * doc + ORDER] = _LOWER[data]
+    coded = np.ones(len(b), bool)
+    for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        at = a + (ORDER + 1) * i
+        coded[at : at + ORDER] = False
+        b[at + ORDER : at + ORDER + z - a] = _LOWER[data[a:z]]
     codes = np.zeros(len(b), np.uint32)
     for j in range(ORDER + 1):
         codes[ORDER:] |= b[ORDER - j : len(b) - j].astype(np.uint32) << np.uint32(8 * j)
-    coded = np.ones(len(b), bool)
-    begin = off[:-1] + (ORDER + 1) * np.arange(n)
-    for j in range(ORDER):
-        coded[begin + j] = False
     return codes[coded], off + np.arange(n + 1)
 
 
@@ -93,7 +99,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[bytes] = Counter()
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _BYTES):
             data, off = text_bytes(part.column("text"))
             raw = data.tobytes().lower()
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
@@ -115,80 +121,82 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out([], codes[i : i + 100_000], counts[i : i + 100_000])
 
 
-#: Stands for the first context byte of what the trie leaves out; UTF-8 never uses it either.
-_ANY = 0xFE
-_ROWS = 1 << 13
+class Bits:
+    """A set of whole numbers below 2 ** width: bits, and how many there are before each 64 of them."""
 
+    def __init__(self, members: np.ndarray, width: int):
+        self.bits = np.zeros(max(1, 1 << max(width - 6, 0)), np.uint64)
+        np.bitwise_or.at(self.bits, members >> 6, np.uint64(1) << (members & 63).astype(np.uint64))
+        n = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = (np.cumsum(n) - n).astype(np.int32)
 
-class Trie:
-    """Byte contexts of length 0 to ORDER with log10 probabilities resolved for every symbol."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        """codes: ORDER context bytes, then the symbol; counts: how often."""
-        codes, counts = codes.astype(np.int64), counts.astype(np.float64)
-        below: np.ndarray | None = None
-        for k in range(ORDER):  # shorter contexts first, all of them
-            at, where = np.unique(codes & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
-            c = np.zeros((1 << (8 * k), 256), np.float32)
-            c.ravel()[at] = np.bincount(where, counts, len(at))
-            below = self._resolved(c, below, np.arange(len(c)))
-        real = codes >> (8 * ORDER) != _ANY
-        codes, counts = codes[real], counts[real]
-        which, where = np.unique(codes >> 8, return_inverse=True)
-        self.index = np.full(1 << (8 * ORDER), -1, np.int32)
-        self.index[which] = np.arange(len(which), dtype=np.int32)
-        c = np.zeros((len(which), 256), np.float32)
-        c[where, codes & 255] = counts
-        self.long = self._resolved(c, below, which).ravel()
-        self.short = below.ravel()
-
-    @staticmethod
-    def _resolved(c: np.ndarray, below: np.ndarray | None, ctx: np.ndarray) -> np.ndarray:
-        """log10 probabilities of 256 symbols in the contexts ctx, which have counts c.
-
-        below has those of the contexts shorter by their first byte.
-        """
-        out = np.empty(c.shape, np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for i in range(0, len(c), _ROWS):
-                x = c[i : i + _ROWS].astype(np.float64)
-                n, q = x.sum(axis=1), (x > 0).sum(axis=1)
-                own = np.log10(x / (n + q)[:, None])
-                escape = np.where(n > 0, np.log10(q / (n + q)), 0.0)
-                if below is None:  # order 0 escapes to the symbols that training never showed, evenly
-                    low = np.broadcast_to(-np.log10(np.maximum(256 - q, 1))[:, None], x.shape)
-                else:
-                    low = below[ctx[i : i + _ROWS] % len(below)].astype(np.float64)
-                    # the mass of symbols seen here is excluded from the shorter context
-                    left = 1 - np.where(x > 0, 10.0**low, 0.0).sum(axis=1)
-                    escape = escape - np.log10(np.maximum(left, 1e-7))
-                out[i : i + _ROWS] = np.where(x > 0, own, escape[:, None] + low)
-        return out
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each x among the members, and whether it is one."""
+        word, bit = self.bits[x >> 6], np.uint64(1) << (x & 63).astype(np.uint64)
+        return self.before[x >> 6] + np.bitwise_count(word & (bit - np.uint64(1))), word & bit != 0
+
+
+class Level:
+    """The contexts of one length: log10 probabilities of the symbols that training showed after
+    them, and what an escape to the next shorter contexts adds to the score there."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, below: Level | None):
+        """codes, sorted: context bytes, then the symbol; counts: how often."""
+        self.order, self.below = order, below
+        ctx, which = np.unique(codes >> 8, return_inverse=True)
+        self.contexts = Bits(ctx, 8 * order)
+        self.symbols = Bits(which << 8 | codes & 255, (max(1, len(ctx)) - 1).bit_length() + 8)
+        n, q = np.bincount(which, counts, len(ctx)), np.bincount(which, minlength=len(ctx))
+        self.seen = np.log10(counts / (n + q)[which]).astype(np.float32)
+        if below is None:  # order 0 escapes to the symbols that training never showed, evenly
+            left = np.maximum(256.0 - q, 1)
+        else:  # the mass of symbols seen here is excluded from the shorter context
+            left = np.maximum(1 - np.bincount(which, 10.0 ** below.score(codes & below.mask), len(ctx)), 1e-7)
+        self.escape = (np.log10(q / (n + q)) - np.log10(left)).astype(np.float32)
+
+    @property
+    def mask(self) -> int:
+        return (1 << (8 * (self.order + 1))) - 1
 
     def score(self, codes: np.ndarray) -> np.ndarray:
-        codes = codes.astype(np.int64)
-        at = self.index[codes >> 8]
-        found = self.long[np.maximum(at, 0) * 256 + (codes & 255)] if len(self.long) else np.zeros(len(codes), np.float32)
-        return np.where(at >= 0, found, self.lower(codes))
+        """log10 probability of the last byte of each code after the others."""
+        if not len(self.seen):
+            return np.full(len(codes), -math.log10(256)) if self.below is None else self.below.score(codes & self.below.mask)
+        ctx, known = self.contexts.find(codes >> 8)
+        ctx = np.where(known, ctx, 0)
+        at, seen = self.symbols.find(ctx << 8 | codes & 255)
+        seen &= known
+        out = np.where(seen, self.seen[np.where(seen, at, 0)], np.where(known, self.escape[ctx], 0.0)).astype(np.float64)
+        rest = np.flatnonzero(~seen)
+        if self.below is not None and len(rest):
+            out[rest] += self.below.score(codes[rest] & self.below.mask)
+        return out
 
-    def lower(self, codes: np.ndarray) -> np.ndarray:
-        """The scores that the next shorter contexts give."""
-        return self.short[codes & ((1 << (8 * ORDER)) - 1)]
 
+class Trie:
+    """Byte contexts of length 0 to ORDER; all of those shorter than ORDER, and some of the longest."""
 
-_last: list = [None, None]
+    def __init__(self, short: np.ndarray, short_counts: np.ndarray, long: np.ndarray, long_counts: np.ndarray):
+        """Codes of ORDER - 1 context bytes and a symbol, then of ORDER, and how often they were seen."""
+        level = None
+        for k in range(ORDER):
+            codes, where = np.unique(short & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+            level = Level(codes, np.bincount(where, short_counts, len(codes)), k, level)
+        order = np.argsort(long)
+        self.top = Level(long[order], long_counts[order], ORDER, level)
 
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        parts = [self.top.score(codes[i : i + _LOOKUPS].astype(np.int64)) for i in range(0, len(codes), _LOOKUPS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
-def _trie(model) -> Trie:
-    """The trie of a broadcast, built once in each Python worker."""
-    if _last[0] is not model:
-        _last[:] = model, Trie(*model.value[:2])
-    return _last[1]
+    def lower(self, codes: np.ndarray) -> np.ndarray:
+        """The scores that the next shorter contexts give."""
+        return self.top.below.score(codes.astype(np.int64) & self.top.below.mask)
 
 
 def _member(far: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Whether the contexts are in far, a set of bits, or empty."""
-    return (far[ctx >> 6] >> (ctx & 63).astype(np.int64)) & 1 == 1 if len(far) else np.zeros(len(ctx), bool)
+    """Whether the contexts are in far, a set of bits."""
+    return (far[ctx >> 6] >> (ctx & 63).astype(np.int64)) & 1 == 1
 
 
 def _far_contexts(grams: DataFrame, model) -> DataFrame:
@@ -196,10 +204,10 @@ def _far_contexts(grams: DataFrame, model) -> DataFrame:
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = _trie(model).lower(batch.column("gram").to_numpy()).astype(np.float64)
+            low = model.value[0].lower(batch.column("gram").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], names=["gram", "n", "low"])
 
-    d = grams.mapInArrow(lower, "gram long, n long, low double").groupBy(F.shiftright("gram", 8).alias("_ctx"))
+    d = grams.select("gram", "n").mapInArrow(lower, "gram long, n long, low double").groupBy(F.shiftright("gram", 8).alias("_ctx"))
     d = d.agg(
         F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("by_code"),
         F.sum("n").alias("sum"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), F.col("low"))).alias("gone"),
@@ -210,15 +218,15 @@ def _far_contexts(grams: DataFrame, model) -> DataFrame:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, heavy, far = _trie(model), *model.value[2:]
+        trie, heavy, far = model.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _BYTES):
                 data, off = text_bytes(part.column("text"))
                 codes, cut = framed(data, off)
-                each = trie.score(codes).astype(np.float64)
+                each = trie.score(codes)
                 # grams in contexts of the table: once for each text, with what the shorter context gives
-                at = np.flatnonzero(_member(far, codes >> 8))
+                at = np.flatnonzero(_member(far, codes >> 8)) if len(far) else np.zeros(0, np.int64)
                 key, one, far_times = np.unique((np.searchsorted(cut, at, "right") - 1 << 32) | codes[at].astype(np.int64), return_index=True, return_counts=True)
                 low = each[at[one]]
                 each[at] = 0.0
@@ -265,26 +273,23 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     heavy = {bytes(r[0]): math.log10(r[1] + 1) for r in words.filter(F.col("c") * HEAVY > total).toLocalIterator()}
-    grams = counts.filter("gram IS NOT NULL").select("gram", "n")
-    # contexts beyond the trie count for the next shorter ones there
-    counted = grams.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), "_ctx")
-    if CONTEXTS is not None:
-        counted = counted.limit(CONTEXTS)
-    ctx = materialise(counted.limit(SENT_CONTEXTS).select("_ctx"), "lm-contexts")
-    on = F.shiftright("gram", 8) == F.col("_ctx")
-    rest = grams.join(ctx, on, "left_anti")
-    suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)).bitwiseOR(F.lit(_ANY << (8 * ORDER)))
-    rest = rest.groupBy(suffix.alias("gram")).agg(F.sum("n").alias("n"))
-    kept = grams.join(ctx, on, "left_semi").unionByName(rest).toArrow()
-    codes, freq = kept["gram"].to_numpy(), kept["n"].to_numpy()
-    beyond = grams.join(ctx, on, "left_anti")
-    if CONTEXTS is not None:
-        beyond = beyond.join(materialise(counted.select("_ctx"), "lm-bound"), on, "left_semi")
-    bits = beyond.select(F.shiftright("gram", 8).alias("_c")).groupBy(F.shiftright("_c", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(_c & 63 as int)))").alias("bits"))
-    bits = bits.toArrow()  # 2 MB for all contexts there can be
+    by_ctx = Window.partitionBy("_ctx")
+    grams = counts.filter("gram IS NOT NULL").select("gram", "n", F.shiftright("gram", 8).alias("_ctx"))
+    grams = materialise(grams.withColumns({"sum": F.sum("n").over(by_ctx), "kinds": F.count("n").over(by_ctx)}), "lm-grams")
+    # the most frequent contexts, as many as both bounds allow
+    top = grams.groupBy("_ctx").agg(F.first("sum").alias("sum"), F.first("kinds").alias("kinds")).orderBy(F.desc("sum"), "_ctx").limit(SENT_CONTEXTS).toArrow()
+    n_sent = int(np.searchsorted(np.cumsum(top["kinds"].to_numpy()), SENT_GRAMS, "right"))
+    last = top.slice(n_sent - 1, 1).to_pylist() if n_sent else []
+    sent = (F.col("sum") > last[0]["sum"]) | ((F.col("sum") == last[0]["sum"]) & (F.col("_ctx") <= last[0]["_ctx"])) if last else F.lit(False)
+    beyond = grams.filter(~sent)
+    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    long = grams.filter(sent).select("gram", "n").toArrow()
+    trie = Trie(*(t[c].to_numpy() for t in (short, long) for c in ("gram", "n")))
+    bits = beyond.groupBy(F.shiftright("_ctx", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(_ctx & 63 as int)))").alias("bits"))
+    bits = bits.toArrow()  # 4 MB for all contexts there can be
     far = np.zeros((1 << (8 * ORDER - 6)) if bits.num_rows else 0, np.int64)
     far[bits["at"].to_numpy()] = bits["bits"].to_numpy()
-    model = spark.sparkContext.broadcast((codes, freq, heavy, far))
+    model = spark.sparkContext.broadcast((trie, heavy, far))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>, far array<long>, far_times array<long>, far_low array<double>"
     rows = materialise(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(model), schema), "lm-rows")
     rare = rows.select("row", F.inline(F.arrays_zip("rare", "times"))).toDF("row", "word", "times")

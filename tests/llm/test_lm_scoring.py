@@ -76,26 +76,25 @@ def test_scores(docs):
 
 
 def test_bounds_leave_word_counts_exact(docs, monkeypatch):
-    """Few heavy words and few contexts: the words' scores stay, the text's stay probabilities."""
+    """Few heavy words and few contexts sent: neither the words' scores nor the texts' change."""
     _, df = docs
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
     full = sorted(lm_scoring.score(df).collect(), key=key)
     monkeypatch.setattr(lm_scoring, "HEAVY", 10)
-    monkeypatch.setattr(lm_scoring, "CONTEXTS", 12)
+    monkeypatch.setattr(lm_scoring, "SENT_CONTEXTS", 12)
     small = sorted(lm_scoring.score(df).collect(), key=key)
     assert [r.base_score for r in small] == pytest.approx([r.base_score for r in full])
     assert [r.n_known for r in small] == [r.n_known for r in full]
     assert all(r.score < 0 for r in small)
-    assert sum(r.score for r in small) < sum(r.score for r in full)
+    assert [r.score for r in small] == pytest.approx([r.score for r in full], rel=1e-5)
 
 
-@pytest.mark.parametrize("sent", [12, 0])
-def test_contexts_beyond_the_trie_score_alike(docs, monkeypatch, sent):
+@pytest.mark.parametrize("bound", [("SENT_CONTEXTS", 12), ("SENT_CONTEXTS", 0), ("SENT_GRAMS", 40)])
+def test_contexts_beyond_the_trie_score_alike(docs, monkeypatch, bound):
     _, df = docs
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
     full = sorted(lm_scoring.score(df).collect(), key=key)
-    monkeypatch.setattr(lm_scoring, "SENT_CONTEXTS", sent, raising=False)
-    monkeypatch.setattr(lm_scoring, "_last", [None, None])
+    monkeypatch.setattr(lm_scoring, *bound)
     few = sorted(lm_scoring.score(df).collect(), key=key)
     assert [r.score for r in few] == pytest.approx([r.score for r in full], rel=1e-5)
 
