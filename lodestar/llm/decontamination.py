@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import shipped, table
-from .scan import mixed, slices, span_hashes, text_bytes, word_spans
+from .scan import mixed, packed_words, slices, text_bytes, word_spans
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -47,23 +48,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and the n + 1 offsets of the texts' words."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words, as a binary array, and the n + 1 offsets of the texts' words."""
     data, off = text_bytes(texts)
     data = _LOWER[data]
     starts, ends, first = word_spans(data, off, _BREAK)
-    return span_hashes(data, starts, ends), first
+    return packed_words(data, starts, ends), first
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n words from each place, and whether they lie in one text."""
+    """Hash of the numbers of the n words from each place, and whether they are known words of one text."""
     if len(words) < n:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     h = np.zeros(len(words) - n + 1, np.uint64)
+    known = np.ones(len(h), bool)
     for j in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - n + 1 + j]
+        own = words[j : len(words) - n + 1 + j]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + own.astype(np.uint64)
+        known &= own >= 0
     end = np.repeat(first[1:], np.diff(first))[: len(h)]
-    return mixed(h), np.arange(len(h)) + n <= end
+    return mixed(h), known & (np.arange(len(h)) + n <= end)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -96,18 +100,23 @@ class Items:
     """A block of test items and the places of their grams."""
 
     def __init__(self, ids: list, texts: list):
-        words, first = word_hashes(pa.array(texts, pa.string()))
+        own, first = words_of(pa.array(texts, pa.string()))
+        self.vocabulary = pc.unique(own)
+        words = self.numbers(own)
         self.ids, self.words, self.first = ids, words, first
         grams, within = gram_hashes(words, first)
         self.item = np.repeat(np.arange(len(ids)), np.diff(first))[: len(grams)][within]
         self.place = (np.arange(len(grams)) - np.repeat(first[:-1], np.diff(first))[: len(grams)])[within]
         self.gram = grams[within]
-        self.vocabulary, self.word = np.unique(words, return_inverse=True)
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.keys, self.cut = np.unique(self.gram, return_index=True)
         self.cut = np.append(self.cut, len(self.gram))
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the vocabulary, or -1: words are compared byte for byte."""
+        return pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The key number of each hash, or -1."""
         if not len(self.keys):
@@ -117,23 +126,24 @@ class Items:
 
     def _held(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How many words of each item stand, each anywhere, in words[begin:end]: no alignment matches more."""
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        pos = np.flatnonzero(self.vocabulary[at] == words)
-        spot = np.sort(at[pos] * (len(words) + 1) + pos)
+        pos = np.flatnonzero(words >= 0)
+        spot = np.sort(words[pos] * (len(words) + 1) + pos)
         size = np.diff(self.first)[item]
         out = np.zeros(len(item), np.int64)
         part = np.cumsum(size) // _LOOKUPS
         for own in np.split(np.arange(len(item)), np.flatnonzero(np.diff(part)) + 1):
             n = size[own]
             shift = np.cumsum(n) - n
-            word = self.word[np.arange(n.sum()) + np.repeat(self.first[item[own]] - shift, n)] * (len(words) + 1)
+            word = self.words[np.arange(n.sum()) + np.repeat(self.first[item[own]] - shift, n)] * (len(words) + 1)
             next_ = np.searchsorted(spot, word + np.repeat(begin[own], n))
             held = spot[np.minimum(next_, len(spot) - 1)] < word + np.repeat(end[own], n)
             out[own] = np.add.reduceat(held & (next_ < len(spot)), shift, dtype=np.int64)
         return out
 
-    def leaks(self, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple]:
+    def leaks(self, texts: pa.Array, threshold: float) -> Iterator[tuple]:
         """(text number, item number, score, seeds, first word, last word) of texts that hold an item."""
+        words, first = words_of(texts)
+        words = self.numbers(words)
         grams, within = gram_hashes(words, first)
         key = np.where(within, self.find(grams), -1)
         pos = np.flatnonzero(key >= 0)
@@ -194,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
             own = sent.value
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = list(own.leaks(*word_hashes(part.column("text")), threshold))
+                    found = list(own.leaks(part.column("text"), threshold))
                     d, i, *rest = zip(*found, strict=True) if found else [()] * 6
                     kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
                     cols = [part.column("doc_id").take(pa.array(d, pa.int64())), pa.array([own.ids[x] for x in i], pa.int64())]
@@ -216,7 +226,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                 named = pa.RecordBatch.from_arrays(batch.columns, names=["text" if i == at else str(i) for i in range(batch.num_columns)])
                 for part in slices(named, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[x[0] for x in sent.value.leaks(*word_hashes(part.column("text")), threshold)]] = False
+                    keep[[x[0] for x in sent.value.leaks(part.column("text"), threshold)]] = False
                     kept = part.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(kept.columns, names=batch.schema.names)
 

@@ -55,6 +55,37 @@ def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, off)
 
 
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words of the spans, which cover all of data but separators, as a binary array."""
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    body = data[np.cumsum(inside[:-1], dtype=np.int8) > 0] if len(starts) else data[:0]
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word: equal ones for equal bytes and for no others."""
+    return packed_words(data, starts, ends).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def run_numbers(words: np.ndarray, window: int) -> np.ndarray:
+    """A number for the `window` words from each place: equal ones for equal runs and for no others.
+
+    Numbers of runs of 1, 2, 4, ... words are paired and numbered anew, so nothing is hashed.
+    """
+    own, width = words, 1
+    while width < window and len(own):
+        step = min(width, window - width)
+        if len(own) <= step:
+            return own[:0]
+        _, own = np.unique(own[:-step] * (int(own.max()) + 1) + own[step:], return_inverse=True)
+        width += step
+    return own
+
+
 def powers(n: int, base: np.uint64, key: int) -> np.ndarray:
     p = _powers.get(key)
     if p is None or len(p) < n:
@@ -75,7 +106,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span, from prefix sums of a polynomial."""
+    """A 64-bit hash of the bytes of every span, from prefix sums of a polynomial.
+
+    Unequal words may share one, so it deals words out and decides no equality.
+    """
     n = len(data)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n + 1, _ODD, 0)[:n], out=prefix[1:])

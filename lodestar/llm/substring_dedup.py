@@ -4,7 +4,7 @@ A word goes if a window covers it whose word sequence also starts in a document
 of smaller id. The minimiser of a window is the least hash of its GRAM-word
 grams; consecutive windows with one minimiser form a super-k-mer, which travels
 as one packed string (its words, joined by spaces) to the minimiser's bucket,
-where the windows of all strings are sorted and counted.
+where the windows of all strings are numbered exactly, sorted and counted.
 
 Only minimisers that more than one document has need to travel. A first scan
 gives each document's minimisers; those that occur once are left at home, so
@@ -15,7 +15,9 @@ own hash, where equal ones meet all the same.
 
 Nulls and empty texts have no words and lose none. Documents shorter than a
 window keep all. Rows that repeat an id do not count as another document; a
-null id counts as larger than any other. The windows are judged on the input.
+null id counts as larger than any other. The windows are judged on the input. Of equal windows
+those of the smallest id stay, in every row that has it. Texts of any length are taken whole; an empty
+table gives an empty one; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, shipped, table
-from .scan import mixed, powers, slices, span_hashes, text_bytes, word_spans
+from .scan import mixed, run_numbers, slices, span_hashes, text_bytes, word_numbers, word_spans
 
 WINDOW = 50
 GRAM = 8
@@ -37,8 +39,6 @@ HOT = 20_000
 #: Bytes of text that a task hashes at a time; the tables of 64-bit words beside it take 50 times as much.
 _BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
-_SECOND_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -113,11 +113,11 @@ def _pack(window: int):
                         a, n = k["start"], k["count"]
                         if not k["hot"]:
                             packed = b" ".join(words[a : a + n + window - 1])
-                            rows.append((k["min"], hashlib.md5(packed).digest(), packed, order, key, a))
+                            rows.append((k["min"], _digest(packed), packed, order, key, a))
                             continue
                         for i in range(a, a + n):
                             packed = b" ".join(words[i : i + window])
-                            pid = hashlib.md5(packed).digest()
+                            pid = _digest(packed)
                             rows.append((int.from_bytes(pid[:8], "little", signed=True), pid, packed, order, key, i))
                     if len(rows) >= 20_000:
                         yield _packed(rows)
@@ -128,33 +128,28 @@ def _pack(window: int):
     return run
 
 
+def _digest(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "pid", "packed", "order", "key", "start"])
 
 
-def _span_pair(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each span: equal pairs are equal words."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(7)) * powers(n + 1, _SECOND, 2)[:n], out=prefix[1:])
-    second = (prefix[ends] - prefix[starts]) * powers(n + 1, _SECOND_INVERSE, 3)[starts]
-    return span_hashes(data, starts, ends), mixed(second)
-
-
 def count_windows(window: int):
     """Over packed strings sorted by bucket: per string, runs of windows and the least order they occur at."""
 
-    def groups(bucket: np.ndarray, pid: pa.Array, packed: pa.Array, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    def groups(pid: pa.Array, packed: pa.Array, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
         data, off = text_bytes(packed)
         starts, ends, first = word_spans(data, off)
         n = np.maximum(np.diff(first) - window + 1, 0)
         row = np.repeat(np.arange(len(n)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
-        one, two = _span_pair(data, starts[at], ends[at + window - 1])
-        b = bucket[row]
-        order = np.lexsort((low[row], two, one, b))
-        same = (b[order][1:] == b[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        # equal numbers are equal windows, byte for byte
+        number = run_numbers(word_numbers(data, starts, ends), window)[at] if len(at) else at
+        order = np.lexsort((low[row], number))
+        same = number[order][1:] == number[order][:-1]
         head = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
         run = np.cumsum(head) - 1
         least = np.empty(len(order), np.int64)
@@ -192,7 +187,7 @@ def count_windows(window: int):
         t = pa.Table.from_batches([x for x in held if x.num_rows] or held).combine_chunks() if held else None
         if t is not None and t.num_rows:
             c = {k: t[k].combine_chunks() for k in t.column_names}
-            yield groups(c["bucket"].to_numpy(), c["pid"], c["packed"], c["low"].to_numpy(), c["high"].to_numpy())
+            yield groups(c["pid"], c["packed"], c["low"].to_numpy(), c["high"].to_numpy())
 
     return run
 

@@ -84,8 +84,10 @@ def test_empty(spark, tables):
 
 
 def test_words():
-    h, first = dc.word_hashes(pa.array(["A b,B", None, "a\x00É9"]))
-    assert first.tolist() == [0, 3, 3, 5] and h[0] == h[3] and h[1] == h[2]
+    own, first = dc.words_of(pa.array(["A b,B", None, "a\x00É9"]))
+    assert own.to_pylist() == [b"a", b"b", b"b", b"a", "É9".encode()] and first.tolist() == [0, 3, 3, 5]
+    known = dc.Items([1], ["b 9 a"]).numbers(own)
+    assert known.tolist() == [2, 0, 0, 2, -1]
 
 
 def test_partial_and_much_edited_copies(spark):

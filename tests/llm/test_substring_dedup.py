@@ -56,3 +56,30 @@ def test_against_brute_force(spark, rows, hot, monkeypatch):
 
 def test_empty(spark):
     assert substring_dedup.dedupe(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def thue_morse(n):
+    w = b"a"
+    while len(w) < n:
+        w += w.translate(bytes.maketrans(b"ab", b"ba"))
+    return w.decode()
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_cannot_tell_apart(spark, n):
+    """Equal but for one word, whose letters are swapped: no window is repeated."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    shared = [f"s{i}" for i in range(49)]
+    rows = [(1, " ".join([*shared, word]), "", 0), (2, " ".join([*shared, other]), "", 0), (3, " ".join([*shared, word]), "", 0)]
+    got = sorted([tuple(r) for r in substring_dedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()], key=repr)
+    assert got == brute(rows)
+    assert [r[2] for r in got] == [0, 0, 50]
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    long = [f"v{rnd.randrange(5000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long), "", 0), (2, " ".join(["x", *long[1000:1100], "y"]), "", 0)]
+    got = [tuple(r) for r in substring_dedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
