@@ -1,20 +1,27 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits, lower-cased. Every GRAM-word gram of a test
-item is a seed, however often documents hold it, for an edited copy may keep any
-one of them only. Seeds that hit near one diagonal open a passage, as wide as an
-alignment through them can be. A passage that holds fewer of the item's words than
-a leak must match is passed over, as most of stock phrases are; the others are
-aligned with the item by Smith-Waterman over words (match 2, mismatch and gap -1).
-A score of THRESHOLD or more, as a share of the item's perfect score, is a leak:
-edited, reordered at the edges or paraphrased in part, as long as it aligns and
-keeps one gram. An alignment without any gram of the item is not looked for.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are runs of letters and digits, lower-cased. A passage leaks an item if their
+Smith-Waterman alignment over words (match 2, mismatch and gap -1) scores THRESHOLD or
+more, as a share of the item's perfect score: copies that are edited, cut, reordered at the
+edges or paraphrased in part.
+
+Seeds are pairs of neighbours in the item that a text has at a distance of one or two words.
+An alignment of m item words with M matches, a transitions that skip item words and c seeds
+scores a + 2 + 2c at most, and a <= min(m - M, 2M - 2tm) at a threshold t; so it holds
+c >= tm - 1 - (1 - t)m / 3 seeds (items of three words, where that is none, are
+also seeded by their outer words). Hence the seeds most common among the items may be left out, as
+many as are sure to be accompanied: the rarest m - c pairs of each item are kept, and at least
+one of them is in every leak. Seeds that hit near one diagonal open a passage, as wide as an alignment
+through them can be. A passage that holds fewer of the item's words, or seeds, than a leak must
+have is passed over; the others are aligned. So no alignment at THRESHOLD is lost.
 
 The items are broadcast in blocks of BLOCK_BYTES of text, one block after
-another, so what is sent has a bound whatever the size of the benchmark. Documents
+another, so what is sent has a bound whatever the size of the benchmark; each block is
+held against all documents, and none depends on another. Documents
 are never shuffled. Null and empty texts and items match nothing, nor do items of
-fewer words than a seed. Repeated rows are judged each; repeated items give
-rows each.
+fewer than MIN_WORDS words. Repeated rows are judged each, whatever their id; repeated
+items give rows each. Of equal scores the first passage is reported. Empty tables give none.
+Texts of any length are scanned whole, and other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import shipped, table
-from .scan import mixed, packed_words, slices, text_bytes, word_spans
+from .scan import packed_words, slices, text_bytes, word_spans
 
-GRAM = 3
 THRESHOLD = 0.5
+MIN_WORDS = 3
 BLOCK_BYTES = 16 << 20
 #: Seeds of diagonals farther apart than half the item and this open another passage.
 MARGIN = 8
@@ -56,18 +63,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return packed_words(data, starts, ends), first
 
 
-def gram_hashes(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the numbers of the n words from each place, and whether they are known words of one text."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(len(words) - n + 1, np.uint64)
-    known = np.ones(len(h), bool)
-    for j in range(n):
-        own = words[j : len(words) - n + 1 + j]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + own.astype(np.uint64)
-        known &= own >= 0
-    end = np.repeat(first[1:], np.diff(first))[: len(h)]
-    return mixed(h), known & (np.arange(len(h)) + n <= end)
+def seeds_needed(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many seeds an alignment at the threshold holds at least, for items of so many words."""
+    return np.maximum(1, np.ceil(threshold * size - 1 - (1 - threshold) * size / 3 - 1e-9)).astype(np.int64)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -97,32 +95,57 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items and the places of their grams."""
+    """A block of test items and the places of their seeds."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, threshold: float = THRESHOLD):
         own, first = words_of(pa.array(texts, pa.string()))
-        self.vocabulary = pc.unique(own)
+        self.vocabulary, self.threshold = pc.unique(own), threshold
         words = self.numbers(own)
         self.ids, self.words, self.first = ids, words, first
-        grams, within = gram_hashes(words, first)
-        self.item = np.repeat(np.arange(len(ids)), np.diff(first))[: len(grams)][within]
-        self.place = (np.arange(len(grams)) - np.repeat(first[:-1], np.diff(first))[: len(grams)])[within]
-        self.gram = grams[within]
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.keys, self.cut = np.unique(self.gram, return_index=True)
-        self.cut = np.append(self.cut, len(self.gram))
+        size = np.diff(first)
+        item = np.repeat(np.arange(len(ids)), size)
+        place = np.arange(len(words)) - first[item]
+        at = np.flatnonzero((place < size[item] - 1) & (size[item] >= MIN_WORDS))
+        outer = first[:-1][size == 3]
+        one, two = np.concatenate([at, outer]), np.concatenate([at + 1, outer + 2])
+        key, item, place = self.pair(words[one], words[two]), item[one], place[one]
+        # the rarest pairs of each item, by how many places of the block have them
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, times[which], item))
+        many = np.bincount(item, minlength=len(ids))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+        kept = rank < (many - seeds_needed(size, threshold) + 1)[item]
+        key, self.item, self.place = key[kept], item[kept], place[kept]
+        order = np.argsort(key, kind="stable")
+        key, self.item, self.place = key[order], self.item[order], self.place[order]
+        self.keys, self.cut = np.unique(key, return_index=True)
+        self.cut = np.append(self.cut, len(key))
+
+    def pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """A number for two words, of no other two."""
+        return one * len(self.vocabulary) + two
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The place of each word in the vocabulary, or -1: words are compared byte for byte."""
         return pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The key number of each hash, or -1."""
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """The key number of each pair, or -1."""
         if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+            return np.full(len(pairs), -1)
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, at, -1)
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of a seed's first word, key number), for seeds of one or two words' distance in one text."""
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        found = []
+        for d in (1, 2):
+            at = np.flatnonzero((words[:-d] >= 0) & (words[d:] >= 0) & (text[:-d] == text[d:]))
+            key = self.find(self.pair(words[at], words[at + d]))
+            found.append((at[key >= 0], key[key >= 0]))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
     def _held(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How many words of each item stand, each anywhere, in words[begin:end]: no alignment matches more."""
@@ -140,18 +163,22 @@ class Items:
             out[own] = np.add.reduceat(held & (next_ < len(spot)), shift, dtype=np.int64)
         return out
 
-    def leaks(self, texts: pa.Array, threshold: float) -> Iterator[tuple]:
+    def _seeded(self, item: np.ndarray, text: np.ndarray) -> bool:
+        """Whether text has as many seeds of item, those left out too, as an alignment at the threshold."""
+        need = int(seeds_needed(np.array(len(item)), self.threshold))
+        there = [self.pair(text[:-d], text[d:])[(text[:-d] >= 0) & (text[d:] >= 0)] for d in (1, 2)]
+        return need == 1 or np.count_nonzero(np.isin(self.pair(item[:-1], item[1:]), np.concatenate(there))) >= need
+
+    def leaks(self, texts: pa.Array) -> Iterator[tuple]:
         """(text number, item number, score, seeds, first word, last word) of texts that hold an item."""
         words, first = words_of(texts)
         words = self.numbers(words)
-        grams, within = gram_hashes(words, first)
-        key = np.where(within, self.find(grams), -1)
-        pos = np.flatnonzero(key >= 0)
+        pos, key = self.hits(words, first)
         if not len(pos):
             return
-        n = self.cut[key[pos] + 1] - self.cut[key[pos]]
+        threshold, n = self.threshold, self.cut[key + 1] - self.cut[key]
         hit = np.repeat(pos, n)
-        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.cut[key[pos]], n)
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.cut[key], n)
         doc = np.searchsorted(first, hit, "right") - 1
         item, diagonal = self.item[own], hit - first[doc] - self.place[own]
         size = np.diff(self.first)
@@ -170,7 +197,10 @@ class Items:
         best: dict[tuple[int, int], tuple] = {}
         for a, b, begin, end in zip(*(x[able].tolist() for x in (lo, hi, begin, end)), strict=True):
             d, i = int(doc[a]), int(item[a])
-            score, s, e = align(self.words[self.first[i] : self.first[i + 1]], words[first[d] + begin : first[d] + end])
+            own, passage = self.words[self.first[i] : self.first[i + 1]], words[first[d] + begin : first[d] + end]
+            if not self._seeded(own, passage):
+                continue
+            score, s, e = align(own, passage)
             share = score / (MATCH * int(size[i]))
             if share >= threshold and share > best.get((d, i), (0.0,))[0]:
                 best[d, i] = (share, b - a, begin + s, begin + e - 1)
@@ -178,7 +208,7 @@ class Items:
             yield (d, i, *found)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     """The items, BLOCK_BYTES of text at a time; an item of no words is left out."""
     own = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     total = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
@@ -186,7 +216,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
     for i in range(n):
         rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
         if rows:
-            yield Items([r.item_id for r in rows], [r.text for r in rows])
+            yield Items([r.item_id for r in rows], [r.text for r in rows], threshold)
 
 
 _FOUND = "item_id long, score double, n_seeds long, first_word long, last_word long"
@@ -197,14 +227,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     out = spark.createDataFrame([], f"doc_id long, {_FOUND}")
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, threshold):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = list(own.leaks(part.column("text"), threshold))
+                    found = list(own.leaks(part.column("text")))
                     d, i, *rest = zip(*found, strict=True) if found else [()] * 6
                     kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
                     cols = [part.column("doc_id").take(pa.array(d, pa.int64())), pa.array([own.ids[x] for x in i], pa.int64())]
@@ -217,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with their columns, that hold no test item. No shuffle."""
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, threshold):
         sent = docs.sparkSession.sparkContext.broadcast(items)
         at = docs.columns.index("text")
 
@@ -226,7 +256,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                 named = pa.RecordBatch.from_arrays(batch.columns, names=["text" if i == at else str(i) for i in range(batch.num_columns)])
                 for part in slices(named, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[x[0] for x in sent.value.leaks(part.column("text"), threshold)]] = False
+                    keep[[x[0] for x in sent.value.leaks(part.column("text"))]] = False
                     kept = part.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(kept.columns, names=batch.schema.names)
 

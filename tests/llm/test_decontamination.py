@@ -109,9 +109,45 @@ def test_partial_and_much_edited_copies(spark):
     for d, text in rows:
         for i, item in items:
             a, b = words(item), words(text)
-            if {*zip(a, a[1:], a[2:])} & {*zip(b, b[1:], b[2:])} and smith_waterman(a, b) / (2 * len(a)) >= dc.THRESHOLD:
+            if len(set(a) & set(b)) >= dc.THRESHOLD * len(set(a)) / 2 and smith_waterman(a, b) / (2 * len(a)) >= dc.THRESHOLD:
                 expected.add((d, i))
     assert len(expected) > 50
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()} == expected
     assert {r.doc_id for r in dc.clean_documents(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in expected}
+
+
+def test_no_alignment_at_the_threshold_is_lost():
+    """All pairs of random items and texts, most near the threshold, against the full table."""
+    rnd = random.Random(21)
+    common = [f"c{i}" for i in range(12)]
+    items = [[rnd.choice(common) if rnd.random() < 0.5 else f"i{i}-{j}" for j in range(rnd.randint(3, 24))] for i in range(25)]
+    texts = [rnd.choices(common, k=80)]
+    for item in items:
+        for kind in range(6):
+            copy = []
+            for j, w in enumerate(item):
+                if kind == 0 and j % 3 == 1 or kind == 3 and rnd.random() < 0.35:
+                    copy.append("edited")  # each third word: no three in a row are left
+                elif kind == 1:
+                    copy += [w, "put"][: 2 if j + 1 < len(item) else 1]  # a word between any two
+                elif kind == 2 and rnd.random() < 0.3:
+                    copy += rnd.choices(["put", *common], k=rnd.randint(0, 3))
+                elif not (kind == 4 and rnd.random() < 0.3 or kind == 5 and j < len(item) // 2):
+                    copy.append(w)
+            texts.append(rnd.choices(common, k=5) + copy + rnd.choices(common, k=5))
+    own = dc.Items(list(range(len(items))), [" ".join(w.replace("-", "x") for w in x) for x in items])
+    got = {(d, i): score for d, i, score, *_ in own.leaks(pa.array([" ".join(w.replace("-", "x") for w in t) for t in texts]))}
+    want = {(d, i): smith_waterman(x, t) / (2 * len(x)) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    want = {k: v for k, v in want.items() if v >= dc.THRESHOLD}
+    assert got == want
+    assert sum(v == dc.THRESHOLD for v in want.values()) > 10
+
+
+def test_repeated_ids_null_ids_and_long_texts(spark):
+    item = [f"w{i}" for i in range(20)]
+    long = " ".join(["filler"] * 400_000 + item + ["filler"] * 1000)
+    rows = [(1, " ".join(item)), (1, "clean"), (None, " ".join(item)), (None, "clean too"), (2, long), (3, " ".join(item[:3]) + " z" * 50)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item)), (5, " ".join(item)), (None, "x y z")], "item_id long, text string")
+    assert sorted([r.doc_id or 0 for r in dc.leaks(docs, bench).collect()]) == [0, 0, 1, 1, 2, 2]
+    assert sorted(r.text[:6] for r in dc.clean_documents(docs, bench).collect()) == ["clean", "clean ", "w0 w1 "]
