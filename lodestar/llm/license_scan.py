@@ -10,7 +10,10 @@ stand consecutively. Its labels are always part of the labels; suppression
 concerns the rules' own. score is the highest confidence of what was found,
 0 where nothing was.
 
-A null text is empty: no words, no labels. Repeated rows are scanned each.
+A null text is empty: no words, no labels. Repeated rows are scanned each, whatever their
+id; of the same place the first label by name stays. Texts of any length are scanned whole, in time
+that grows with the text and its finds. An empty table gives an empty one; other columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -308,11 +311,15 @@ class Scanner:
         for keyword, own in self.by_keyword.items():
             if keyword in low:
                 found += [(m.start(), m.end(), r) for r in own for m in r.pattern.finditer(low)]
-        found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+        # whatever holds a find comes before it; of the same place the first by priority and label
+        found.sort(key=lambda x: (x[0], -x[1], -x[2].priority, x[2].label))
         kept: list[tuple[int, int, Rule]] = []
+        ends = [-1] * (1 + max((r.priority for *_, r in found), default=0))
         for x in found:
-            if not any(a <= x[0] and x[1] <= b for a, b, _ in kept):
+            # a find within one of no lesser priority goes; so does what lies in a find that went
+            if max(ends[x[2].priority :]) < x[1]:
                 kept.append(x)
+            ends[x[2].priority] = max(ends[x[2].priority], x[1])
         return sorted(kept, key=lambda x: x[:2])
 
     def scan(self, low: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int, Rule]]]:

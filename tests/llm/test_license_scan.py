@@ -102,3 +102,56 @@ def test_there_are_hundreds_and_the_filter_loses_none():
 
 def test_empty(spark):
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_suppression_against_brute_force():
+    """Random rules over random texts: a find goes if one ranked before it, kept, holds it."""
+    rnd = random.Random(5)
+    for _ in range(150):
+        own = []
+        for k in range(rnd.randint(1, 12)):
+            a, n = rnd.randrange(4), rnd.randint(1, 4)
+            p = rb"[ab]?".join(rnd.choice([b"a", b"b", b"c"]) for _ in range(n)) + (b"", b"c*", b"b+")[a % 3]
+            own.append(ls.Rule(f"r{rnd.randrange(6)}", b"", re.compile(p), rnd.randint(1, 5), 0.5))
+        text = bytes(rnd.choices(b"abc", k=rnd.randint(0, 60)))
+        found = [(m.start(), m.end(), r) for r in own for m in r.pattern.finditer(text)]
+        found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+        kept = []
+        for x in found:
+            if not any(a <= x[0] and x[1] <= b for a, b, _ in kept):
+                kept.append(x)
+        want = sorted((a, b, r.label, r.priority) for a, b, r in kept)
+        assert sorted((a, b, r.label, r.priority) for a, b, r in ls.Scanner(own).detections(text)) == want
+
+
+def test_rule_detections_against_every_rule_tried_everywhere(spark):
+    """The given documents: each rule without its keyword, suppression pair by pair."""
+    own = ls.rules()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in ls.scan_licenses(docs).collect()}
+    some = 0
+    for doc_id, text in docs.collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+        found = [(m.start(), m.end(), r) for r in own for m in r.pattern.finditer(low)]
+        kept = {
+            (a, b, r.label, r.confidence)
+            for a, b, r in found
+            if not any(c <= a and b <= d and (q.priority > r.priority or q.priority == r.priority and (d - c > b - a or q.label < r.label)) for c, d, q in found)
+        }
+        assert {tuple(x) for x in got[doc_id].detections} == kept
+        assert set(got[doc_id].labels.split(",")) - {""} == {x[2] for x in kept} | (set(got[doc_id].base_labels.split(",")) - {""})
+        some += bool(kept)
+    assert some
+
+
+def test_very_many_mentions_take_linear_time(spark):
+    import time
+
+    text = "licensed under the mit license. see the apache license, version 2.0 " * 50_000
+    began = time.time()
+    found = ls.Scanner().detections(text.encode())
+    assert time.time() - began < 10
+    assert len(found) == 100_000
+    rows = [(1, text, "", 0.0), (1, text, "", 0.0), (None, "mit license", "", 0.0), (None, None, "", 0.0)]
+    got = ls.scan_licenses(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_base", "labels").collect()
+    assert sorted([(r.doc_id or 0, r.n_base) for r in got]) == [(0, 0), (0, 1), (1, 100_000), (1, 100_000)]
