@@ -5,14 +5,28 @@ Readers take one row per query: qid, query and contexts, the texts by rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.text import clipped, cut_at_sentence, has_any, sentences, strip, tokens, ws_tokens
 
 RETRIEVED, FOR_READER, STORED = 10, 1000, 500
 FOR_ANSWER, FOR_FINGERPRINT = 5, 4
+#: Answers where there is nothing to answer from, and what leads an answer by kind of question.
 NO_CONTEXT = "I don't have enough information to answer this question."
+NO_ANSWER = "Unable to extract answer."
+NOT_RELEVANT = "The available information doesn't contain relevant details to answer this question."
+INFORMATION, EXPLANATION, CONTEXT = "According to the information: ", "The explanation is: ", "Based on the context: "
+DEFINITION, SOURCES, INDICATION, AVAILABLE, GENERAL = (
+    "Based on the information provided: ", "According to the sources, ", "The information indicates: ", "Based on the available  ", "Regarding your question: ",
+)
+#: Bytes of passages looked for in one pass over the documents.
+_PASSAGES = 16 << 20
 
 
 def contexts(run: DataFrame, docs: DataFrame, hits: int = RETRIEVED) -> DataFrame:
@@ -30,6 +44,50 @@ def hydrate(run: DataFrame, docs: DataFrame) -> DataFrame:
     return run.select("qid", "doc_id", "score").join(docs.select("doc_id", "text"), "doc_id").select("qid", "doc_id", "score", "text")
 
 
+def passages_held(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """qid, doc_id of each document whose text holds a query's text, letter for letter.
+
+    The passages go to the documents in blocks of _PASSAGES bytes, as an automaton that reads each text
+    once; no document is shuffled. An empty passage is in every text, a null one in none.
+    """
+    spark = docs.sparkSession
+    own = passages.select("qid", "text").filter(F.col("text").isNotNull())
+    kinds = StructType([docs.schema["doc_id"], own.schema["qid"]])
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    n = max(1, -(-2 * total // _PASSAGES))
+    out = spark.createDataFrame([], kinds)
+    for i in range(n):
+        block = own.filter(F.pmod(F.xxhash64("qid", "text"), F.lit(n)) == i).collect()
+        sent = spark.sparkContext.broadcast([(r.qid, r.text) for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            asked: dict[str, list] = {}
+            for qid, text in sent.value:
+                asked.setdefault(text, []).append(qid)
+            always = asked.pop("", [])
+            machine = ahocorasick.Automaton()
+            for text, qids in asked.items():
+                machine.add_word(text, (text, qids))
+            if asked:
+                machine.make_automaton()
+            for batch in batches:
+                rows: list[int] = []
+                found: list = []
+                for j, text in enumerate(batch.column("text").to_pylist()):
+                    if text is not None:
+                        held = {t: qids for _, (t, qids) in machine.iter(text)} if asked else {}
+                        own_ids = [*always, *[q for qids in held.values() for q in qids]]
+                        rows += [j] * len(own_ids)
+                        found += own_ids
+                ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, to_arrow_type(kinds["qid"].dataType))], names=["doc_id", "qid"])
+
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, kinds))
+    return out.select("qid", "doc_id")
+
+
 def _first_of(ctx: DataFrame, key: Column) -> DataFrame:
     w = Window.partitionBy("qid", key).orderBy("rank")
     return ctx.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
@@ -105,37 +163,41 @@ def extractive_weighted(q: DataFrame, longest: int = 200) -> DataFrame:
 def first_context(q: DataFrame, longest: int = 200) -> DataFrame:
     """The first context, cut."""
     first = F.get("contexts", F.lit(0))
-    return q.select("qid", F.coalesce(clipped(first, longest), F.lit("Unable to extract answer.")).alias("answer"))
+    return q.select("qid", F.coalesce(clipped(first, longest), F.lit(NO_ANSWER)).alias("answer"))
 
 
 def generative(q: DataFrame, longest: int = 500) -> DataFrame:
     """A template by question words over the joined contexts."""
     ctx = F.substring(F.array_join("contexts", " | "), 1, longest)
-    lead = (
-        F.when(has_any(F.col("query"), "what", "who"), "According to the information: ")
-        .when(has_any(F.col("query"), "how", "why"), "The explanation is: ")
-        .otherwise("Based on the context: ")
-    )
+    lead = F.when(has_any(F.col("query"), "what", "who"), INFORMATION).when(has_any(F.col("query"), "how", "why"), EXPLANATION).otherwise(CONTEXT)
     return q.select("qid", F.when(F.size("contexts") == 0, NO_CONTEXT).otherwise(F.concat(lead, ctx)).alias("answer"))
 
 
-def generative_smart(q: DataFrame, longest: int = 800) -> DataFrame:
-    """Six templates over contexts that are cut at a sentence."""
-    ctx = cut_at_sentence(F.array_join("contexts", " | "), longest)
+def _by_question(q: DataFrame, ctx: Column) -> DataFrame:
+    """Six templates by question words over ctx, the contexts combined."""
     asked = F.col("query")
     lead = (
-        F.when(has_any(asked, "what", "which", "who") & has_any(asked, "definition", "meaning"), "Based on the information provided: ")
-        .when(has_any(asked, "what", "which", "who"), "According to the sources, ")
-        .when(has_any(asked, "how", "why"), "The explanation is: ")
-        .when(has_any(asked, "when", "where"), "The information indicates: ")
-        .when(has_any(asked, "is", "are", "does", "do", "can", "will"), "Based on the available  ")
-        .otherwise("Regarding your question: ")
+        F.when(has_any(asked, "what", "which", "who") & has_any(asked, "definition", "meaning"), DEFINITION)
+        .when(has_any(asked, "what", "which", "who"), SOURCES)
+        .when(has_any(asked, "how", "why"), EXPLANATION)
+        .when(has_any(asked, "when", "where"), INDICATION)
+        .when(has_any(asked, "is", "are", "does", "do", "can", "will"), AVAILABLE)
+        .otherwise(GENERAL)
     )
-    blank = "The available information doesn't contain relevant details to answer this question."
-    answer = F.when(F.size("contexts") == 0, NO_CONTEXT).when(F.length(strip(ctx)) == 0, blank).otherwise(F.concat(lead, ctx))
+    answer = F.when(F.size("contexts") == 0, NO_CONTEXT).when(F.length(strip(ctx)) == 0, NOT_RELEVANT).otherwise(F.concat(lead, ctx))
     return q.select("qid", answer.alias("answer"))
 
 
+def generative_smart(q: DataFrame, longest: int = 800) -> DataFrame:
+    """By question, over contexts that are cut at a sentence."""
+    return _by_question(q, cut_at_sentence(F.array_join("contexts", " | "), longest))
+
+
+def generative_simple(q: DataFrame, longest: int = 800) -> DataFrame:
+    """By question, over the first two contexts."""
+    return _by_question(q, F.substring(F.array_join(F.slice("contexts", 1, 2), " "), 1, longest))
+
+
 def placeholder(q: DataFrame, model: str) -> DataFrame:
     """What stands in for a language model: no model is called."""
     return q.select("qid", F.concat(F.lit(f"[{model}] "), F.col("query"), F.format_string(" (%d contexts)", F.size("contexts"))).alias("answer"))

@@ -1,19 +1,26 @@
-"""Sparse index: postings, term and collection statistics as tables."""
+"""Sparse index: counted documents, postings, term and collection statistics as tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions.text import tokens
-from ..runtime import BROADCAST_ROWS
+from ..runtime import BROADCAST_BYTES, BROADCAST_ROWS, shared_dir, shipped
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast where its count is within `most`; otherwise Spark shuffles it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, to be broadcast where it counts `most` rows and BROADCAST_BYTES at most; otherwise Spark shuffles it."""
+    width = [F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes]
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(width, F.lit(16))), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
 def exploded(df: DataFrame, words: Column, *keep: str | Column) -> DataFrame:
@@ -30,41 +37,58 @@ def term_counts(df: DataFrame, key: str, text: str = "text", out: str = "tf", to
 
 @dataclass
 class Index:
-    """postings(doc_id, term, tf, dl), terms(term, df), stats(n, avgdl).
+    """docs(doc_id, dl, words, tfs), terms(term, df), stats(n, avgdl)."""
 
-    few: whether the terms are counted and within what may be broadcast.
-    """
-
-    postings: DataFrame
+    docs: DataFrame
     terms: DataFrame
     stats: DataFrame
-    few: bool = False
-
-    def hinted(self, terms: DataFrame) -> DataFrame:
-        """A table of one row per term, to be broadcast if the terms are few."""
-        return F.broadcast(terms) if self.few else terms
 
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf, dl."""
+        p = self.docs.select("doc_id", F.inline(F.arrays_zip("words", "tfs")), "dl")
+        return p.toDF("doc_id", "term", "tf", "dl")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' words -> their distinct words and how often each occurs, counted where they are."""
+    for batch in batches:
+        toks = batch.column("toks")
+        off = toks.offsets.to_numpy().astype(np.int64)
+        words = toks.flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        width = max(1, len(words.dictionary))
+        pair, tf = np.unique(row * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        cut = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * width), pa.int32())
+        own = words.dictionary.take(pa.array(pair % width))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(off)), pa.ListArray.from_arrays(cut, own), pa.ListArray.from_arrays(cut, pa.array(tf.astype(np.int64)))], names=["doc_id", "dl", "words", "tfs"]
+        )
+
+
+def _of(counted: DataFrame) -> Index:
+    terms = counted.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Index(counted, terms, counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def build(docs: DataFrame, tokenise=tokens) -> Index:
+    """Index documents (doc_id, text). Words are counted within their document, without a shuffle; empty
+    documents count in n and in the average length."""
+    toks = docs.select("doc_id", tokenise(F.col("text")).alias("toks"))
+    kinds = StructType([toks.schema["doc_id"]]).add("dl", "long").add("words", ArrayType(StringType())).add("tfs", ArrayType(LongType()))
+    return _of(shipped(toks).mapInArrow(_count, kinds))
 
-def build(docs: DataFrame, only: DataFrame | None = None, tokenise=tokens) -> Index:
-    """Index documents (doc_id, text); only: terms that matter, others get no postings.
 
-    Restricting by term leaves the frequencies of those terms complete. Empty
-    documents count in n and in the average length. Each posting carries its
-    document's length, so scoring joins no table of documents.
-    """
-    toks = docs.select("doc_id", tokenise(F.col("text")).alias("toks"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    occ = exploded(toks, F.col("toks"), "doc_id", F.size("toks").cast("long").alias("dl"))
-    few = False
-    if only is not None:
-        only = only.select("term").distinct()
-        few = only.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        # dealt by document, what is left of the words needs no other shuffle: neither counts nor scores
-        occ = occ.join(F.broadcast(only) if few else only, "term", "left_semi").repartition("doc_id")
-    postings = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    # the condition always holds; it names all columns, so that both uses of postings share one exchange
-    terms = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
-    return Index(postings, terms, stats, few)
+def kept(docs: DataFrame, tokenise=tokens) -> Index:
+    """The index of docs in the shared folder: built and saved at first use, loaded from then on, by this
+    session or another; a changed document makes it another index."""
+    spark = docs.sparkSession
+    path, key = f"{shared_dir(spark)}/lodestar/index", f"{tokenise.__name__}-{content_key(docs)}"
+    found = load(spark, path, key)
+    if found is None:
+        save(build(docs, tokenise), path, key)
+        found = load(spark, path, key)
+    return found
 
 
 def content_key(docs: DataFrame) -> str:
@@ -75,9 +99,18 @@ def content_key(docs: DataFrame) -> str:
 
 
 def save(index: Index, path: str, key: str) -> None:
-    """Write the tables of an index under path; key, in the path, says of which content."""
-    for name in ("postings", "terms", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{key}/{name}")
+    """Write the tables of an index under path; key, in the path, says of which content. The documents are
+    written first, and the statistics come from what was written; the whole appears at once."""
+    spark = index.docs.sparkSession
+    own = f"{path}/_{uuid.uuid4().hex}"
+    index.docs.write.parquet(f"{own}/docs")
+    again = _of(spark.read.parquet(f"{own}/docs"))
+    again.terms.write.parquet(f"{own}/terms")
+    again.stats.write.parquet(f"{own}/stats")
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (own, f"{path}/{key}"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to) or not fs.rename(at, to):
+        fs.delete(at, True)  # another session was first
 
 
 def load(spark: SparkSession, path: str, key: str) -> Index | None:
@@ -85,7 +118,7 @@ def load(spark: SparkSession, path: str, key: str) -> Index | None:
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/stats/_SUCCESS")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
-    return Index(*[spark.read.parquet(f"{path}/{key}/{name}") for name in ("postings", "terms", "stats")])
+    return Index(*[spark.read.parquet(f"{path}/{key}/{name}") for name in ("docs", "terms", "stats")])
 
 
 def idf_bm25(n: Column, df: Column) -> Column:

@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import tokens, ws_tokens
-from .index import Index, build, exploded, idf_bm25, idf_tfidf, sized, term_counts
+from ..runtime import materialise, shipped
+from .index import Index, idf_bm25, idf_tfidf, kept, term_counts
+
+#: Pairs of a query and a word that are sent to the documents at once, and scores that a task holds.
+ASKED = 200_000
+_CELLS = 1 << 20
+#: Least raw score that does not round to 0.
+HALF = 5e-7
 
 #: Largest accuracy asked of percentile_approx.
 MOST_ACCURATE = 1 << 20
@@ -41,53 +54,149 @@ def approx_top_k(scores: DataFrame, k: int, score: str = "score", id_: str = "id
     return scores.orderBy(F.desc(score), id_).limit(k)
 
 
-def _run(scored: DataFrame, k: int) -> DataFrame:
-    """Sum of term scores of each query and document, positive ones, k best."""
-    s = scored.groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
-    return top_k(s, k, "qid")
-
-
-def _matched(index: Index, queries: DataFrame) -> DataFrame:
-    """Postings of query terms with their statistics: qid, qtf, doc_id, term, tf, dl, df, n, avgdl."""
-    q = sized(queries)
-    return index.postings.join(index.hinted(index.terms), "term").join(q, "term").join(F.broadcast(index.stats))
+@dataclass
+class _Asked:
+    """A block of queries: their known words, each with its idf and the queries that have it."""
+
+    qids: list
+    words: pa.Array
+    idf: np.ndarray
+    cut: np.ndarray
+    query: np.ndarray
+    times: np.ndarray
+    avgdl: float
+
+
+class _Best:
+    """The k best documents of each query so far, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, HALF)
+        self.query, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
+        """scores: of each document (rows) for each query (columns)."""
+        row, query = np.nonzero(scores >= self.least)
+        if not len(row):
+            return
+        self.query = np.concatenate([self.query, query])
+        self.score = np.concatenate([self.score, scores[row, query]])
+        self.doc = docs[row] if self.doc is None else np.concatenate([self.doc, docs[row]])
+        order = np.lexsort((self.doc, -np.round(self.score, 6), self.query))
+        q = self.query[order]
+        first = np.searchsorted(q, np.arange(len(self.least) + 1))
+        order = order[np.arange(len(q)) - first[q] < self.k]
+        self.query, self.score, self.doc = self.query[order], self.score[order], self.doc[order]
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.least)) >= self.k)
+        self.least[full] = np.maximum(HALF, self.score[np.searchsorted(self.query, full, "right") - 1] - 1e-6)
+
+
+def _scored(sent, weigh, k: int):
+    """Counted documents -> of each task and query the k best (query's place, doc_id, raw score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: _Asked = sent.value
+        best, n = _Best(len(q.qids), k), len(q.qids)
+        for batch in batches:
+            words = batch.column("words")
+            off = words.offsets.to_numpy().astype(np.int64)
+            which = pc.fill_null(pc.index_in(words.flatten(), value_set=q.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.flatnonzero(which >= 0)
+            row, term = np.searchsorted(off, at + off[0], "right") - 1, which[at]
+            tf, dl = batch.column("tfs").flatten().to_numpy()[at].astype(float), batch.column("dl").to_numpy().astype(float)
+            weight = weigh(tf, dl[row], q.avgdl, q.idf[term])
+            ids = batch.column("doc_id")
+            ids = np.array(ids.to_pylist(), dtype=str) if pa.types.is_string(ids.type) else ids.to_numpy()
+            step = max(1, _CELLS // max(1, n))
+            for i in range(0, batch.num_rows, step):  # so many documents that their scores fit
+                lo, hi = np.searchsorted(row, (i, i + step))
+                r, t, w = row[lo:hi] - i, term[lo:hi], weight[lo:hi]
+                many = q.cut[t + 1] - q.cut[t]
+                own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(q.cut[t], many)
+                cell = np.repeat(r, many) * n + q.query[own]
+                rows = min(step, batch.num_rows - i)
+                scores = np.bincount(cell, np.repeat(w, many) * q.times[own], rows * n)
+                best.add(scores.reshape(rows, n), ids[i : i + rows])
+        if best.doc is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.doc.tolist(), batch.column("doc_id").type), pa.array(best.score)], names=["place", "doc_id", "raw"])
+
+    return run
+
+
+def _run(index: Index, queries: DataFrame, k: int, weigh, idf, tokenise=tokens) -> DataFrame:
+    """qid, doc_id, score, rank: the sum of a query's word scores for each document, positive ones, k best.
+
+    Queries go to the documents in blocks of ASKED words and scores are added up where documents are: only
+    the k best of each task and query are shuffled. weigh(tf, dl, avgdl, idf) is a word's score in a
+    document, idf(n, df) a column.
+    """
+    spark = queries.sparkSession
+    q = term_counts(queries, "qid", out="qtf", tokenise=tokenise)
+    n, avgdl = index.stats.first()
+    q = materialise(q.join(index.terms, "term").select("qid", "term", "qtf", idf(F.lit(n), F.col("df")).alias("idf")), "asked")
+    kinds = {x: q.schema["qid"].dataType if x == "qid" else index.docs.schema["doc_id"].dataType for x in ("qid", "doc_id")}
+    names = StructType().add("place", "long").add("doc_id", kinds["doc_id"]).add("raw", "double")
+    blocks = max(1, math.ceil(q.count() / ASKED))
+    out = None
+    for i in range(blocks):
+        own = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        qids, words = pc.unique(own["qid"]), pc.unique(own["term"])
+        term = pc.index_in(own["term"], value_set=words).to_numpy().astype(np.int64)
+        order = np.argsort(term, kind="stable")
+        weights = np.zeros(len(words))
+        weights[term] = own["idf"].to_numpy()
+        asked = _Asked(
+            qids.to_pylist(), words, weights, np.searchsorted(term[order], np.arange(len(words) + 1)),
+            pc.index_in(own["qid"], value_set=qids).to_numpy().astype(np.int64)[order], own["qtf"].to_numpy()[order].astype(float), float(avgdl or 0.0),
+        )
+        found = shipped(index.docs).mapInArrow(_scored(spark.sparkContext.broadcast(asked), weigh, k), names)
+        named = spark.createDataFrame(list(enumerate(asked.qids)), StructType().add("_place", "long").add("qid", kinds["qid"]))
+        part = found.join(F.broadcast(named), F.col("place") == F.col("_place")).select("qid", "doc_id", F.round("raw", 6).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return top_k(out.filter("score > 0"), k, "qid")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """docs (doc_id, text), queries (qid, text) -> qid, doc_id, score, rank.
 
     Repeated query words weigh by their count, unknown words nothing; a query
-    without known words has no rows.
+    without known words has no rows. The index of docs is kept for later calls.
     """
-    q = term_counts(queries, "qid", out="qtf")
-    m = _matched(build(docs, q), q)
-    w = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf_bm25(F.col("n"), F.col("df")), k1, b)
-    return _run(m.withColumn("w", w), k)
+
+    def weigh(tf, dl, avgdl, idf):
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+    return _run(kept(docs), queries, k, weigh, idf_bm25)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Raw counts times ln(n / (df + 1)); lengths play no part."""
-    q = term_counts(queries, "qid", out="qtf")
-    m = _matched(build(docs, q), q)
-    return _run(m.withColumn("w", F.col("qtf") * F.col("tf") * idf_tfidf(F.col("n"), F.col("df"))), k)
+
+    def weigh(tf, dl, avgdl, idf):
+        return tf * idf
+
+    return _run(kept(docs), queries, k, weigh, idf_tfidf)
 
 
 def bm25_okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """White-space words; a negative idf gives way to epsilon times the mean idf of the whole vocabulary."""
-    q = term_counts(queries, "qid", out="qtf", tokenise=ws_tokens)
-    index = build(docs, tokenise=ws_tokens)
-    idf = index.terms.join(F.broadcast(index.stats)).withColumn("idf", idf_bm25(F.col("n"), F.col("df")))
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    own = build(docs, q, ws_tokens)
-    idf = idf.join(F.broadcast(mean)).select("term", "n", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    idf = own.hinted(idf.join(own.hinted(q.select("term").distinct()), "term", "left_semi"))
-    m = own.postings.join(idf, "term").join(sized(q), "term")
-    return _run(m.withColumn("w", F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), k1, b)), k)
+    index = kept(docs, ws_tokens)
+    n = index.stats.first().n
+    mean = index.terms.agg(F.avg(idf_bm25(F.lit(n), F.col("df")))).first()[0]
+
+    def idf(n: Column, df: Column) -> Column:
+        own = idf_bm25(n, df)
+        return F.when(own < 0, F.lit(epsilon) * F.lit(mean)).otherwise(own)
+
+    def weigh(tf, dl, avgdl, idf):
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+    return _run(index, queries, k, weigh, idf, ws_tokens)
 
 
 def term_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, term, weight of every posting."""
-    i = build(docs)
+    i = kept(docs)
     m = i.postings.join(i.terms, "term").join(F.broadcast(i.stats))
     w = bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf_bm25(F.col("n"), F.col("df")), k1, b)
     return m.select("doc_id", "term", F.round(w, 6).alias("weight"))
@@ -96,13 +205,10 @@ def term_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame
 def known_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, term, qtf of the query words that some document has."""
     q = term_counts(queries, "qid", out="qtf")
-    words = exploded(docs, tokens(F.col("text")))
-    return q.join(words.join(sized(q.select("term").distinct()), "term", "left_semi").distinct(), "term", "left_semi")
+    return q.join(kept(docs).terms, "term", "left_semi").select("qid", "term", "qtf")
 
 
 def empty_queries(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, n_known_terms, is_empty of every query, also of those that match nothing."""
-    n = known_terms(docs, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.coalesce("_n", F.lit(0)).alias("n_known_terms"), F.col("_n").isNull().alias("is_empty")
     known = known_terms(docs, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
-    return queries.select("qid").join(known, "qid", "left").select("qid", *n)
+    return queries.select("qid").join(known, "qid", "left").select("qid", F.coalesce("_n", F.lit(0)).alias("n_known_terms"), F.col("_n").isNull().alias("is_empty"))

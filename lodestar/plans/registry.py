@@ -87,5 +87,6 @@ readers = Registry(
     first_context=lambda longest=200, **_: lambda q: C.first_context(q, longest),
     generative=lambda longest=500, **_: lambda q: C.generative(q, longest),
     generative_smart=lambda longest=800, **_: lambda q: C.generative_smart(q, longest),
+    generative_simple=lambda longest=800, **_: lambda q: C.generative_simple(q, longest),
     llm=lambda model="model", **_: lambda q: C.placeholder(q, model),
 )

@@ -27,17 +27,9 @@ def queries(spark, d: str) -> DataFrame:
 
 
 def qrels(spark, d: str) -> DataFrame:
-    """A document that holds a benchmark passage is relevant to it. Candidates share the passage's first three words."""
-    def lead(c):
-        return F.array_join(F.slice(c, 1, 3), " ")
-
-    q = queries(spark, d).select("qid", F.col("text").alias("passage"), lead(T.tokens(F.col("text"))).alias("lead"))
-    t = docs(spark, d).withColumn("toks", T.tokens(F.col("text")))
-    k = F.greatest(F.size("toks") - 2, F.lit(0))
-    two = F.zip_with(F.slice("toks", F.lit(1), k), F.slice("toks", F.lit(2), k), lambda a, b: F.concat(a, F.lit(" "), b))
-    three = F.zip_with(two, F.slice("toks", F.lit(3), k), lambda a, b: F.concat(a, F.lit(" "), b))
-    t = t.select("doc_id", "text", F.explode(F.array_distinct(three)).alias("lead"))
-    return t.join(I.sized(q), "lead").filter(F.contains("text", F.col("passage"))).select("qid", "doc_id", F.lit(1).alias("rel")).distinct()
+    """A document that holds a benchmark passage is relevant to it."""
+    held = C.passages_held(docs(spark, d), queries(spark, d))
+    return held.select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
 QRELS_SQL = "SELECT item_id AS qid, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -113,17 +105,17 @@ def query_text(spark, d):
 
 
 def postings(spark, d):
-    return I.build(docs(spark, d)).postings.select("doc_id", "term", "tf")
+    return I.kept(docs(spark, d)).postings.select("doc_id", "term", "tf")
 
 
 def term_stats(spark, d):
-    i = I.build(docs(spark, d))
+    i = I.kept(docs(spark, d))
     t = i.terms.join(F.broadcast(i.stats))
     return t.select("term", "df", F.round(I.idf_bm25(F.col("n"), F.col("df")), 6).alias("idf_bm25"), F.round(I.idf_tfidf(F.col("n"), F.col("df")), 6).alias("idf_tfidf"))
 
 
 def index_stats(spark, d):
-    i = I.build(docs(spark, d))
+    i = I.kept(docs(spark, d))
     n = i.terms.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("df").alias("n_postings"))
     s = i.stats.join(F.broadcast(n))
     return s.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocabulary", "n_postings", F.round(F.try_divide("n_postings", F.col("n") * F.col("vocabulary")), 9).alias("density"))

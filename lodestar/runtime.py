@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest table, in rows, that an operator hands to broadcast(); callers count first.
+#: Largest table, in rows and in bytes, that an operator hands to broadcast(); callers count first.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shipped(df: DataFrame) -> DataFrame:
@@ -63,9 +64,8 @@ def spread(df: DataFrame, most: int = 8 << 20) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    spark.checkpoint.dir names it on a cluster. Only where that is unset does
-    a local master fall back to a folder of this machine, and a cluster to its
-    warehouse, which all executors see too.
+    spark.checkpoint.dir names it on a cluster. Only where that is unset does a local master
+    fall back to a folder of this machine; a cluster has no other folder that is surely shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -77,7 +77,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestar"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
