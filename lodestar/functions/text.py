@@ -73,6 +73,11 @@ def first_text(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(strip(c.cast("string")), F.lit("")) for c in candidates])
 
 
+def titled(title: Column, text: Column) -> Column:
+    """Title and text as one, stripped."""
+    return strip(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))
+
+
 def size_estimate(doc_id: Column, text: Column, title: Column, metadata: Column) -> Column:
     """Bytes a cached document takes: four per character of its fields."""
     parts = [F.coalesce(F.length(c.cast("string")), F.lit(0)) for c in (doc_id, text, title, metadata)]

@@ -38,7 +38,7 @@ def top_k(scores: DataFrame, k: int, *by: str, score: str = "score", id_: str =
 
 
 def approx_top_k(scores: DataFrame, k: int, score: str = "score", id_: str = "id", accuracy: int = 1000) -> DataFrame:
-    """About the k best rows of all: those above a threshold from an approximate percentile, then a bounded sort.
+    """The k best rows of all: those above a threshold from an approximate percentile, then a bounded sort.
 
     accuracy is the least one; it follows n / k, as the percentile's error must stay below the share that is kept,
     up to MOST_ACCURATE, as the summary grows with it. Where fewer than k rows pass, all rows are sorted.

@@ -12,6 +12,7 @@ from ..operators import scoring as S
 from ..operators import vectors as V
 from ..runtime import materialise, table
 from ..sources import text_files as L
+from . import report
 from .retrieval_queries import PUNCT_SQL, docs, queries
 
 #: Vectors whose id this divides are the queries; all vectors are searched.
@@ -158,12 +159,10 @@ def bleu(spark, d):
 
 
 def gen_eval(spark, d):
-    p = materialise(pairs(spark, d), "pairs")
+    p = materialise(pairs(spark, d).withColumn("contexts", F.array("ref")), "pairs")
     asked = table(spark, d, "conversations").filter("role = 'user'").agg(F.count(F.lit(1)).alias("n_user"))
-    r1 = M.rouge_n(p, 1, "conv_id", "turn").agg(F.round(F.avg("f1"), 6).alias("rouge1"), F.count(F.lit(1)).alias("n_pairs"))
-    r2 = M.rouge_n(p, 2, "conv_id", "turn").agg(F.round(F.avg("f1"), 6).alias("rouge2"))
-    b = M.bleu(p, "conv_id", "turn").agg(F.round(F.avg("bleu"), 6).alias("bleu"))
-    return r1.crossJoin(r2).crossJoin(b).crossJoin(asked).select("rouge1", "rouge2", "bleu", "n_pairs", (F.col("n_user") - F.col("n_pairs")).alias("n_missing"))
+    m = report.means(p, "conv_id", "turn").withColumnRenamed("n", "n_pairs")
+    return m.crossJoin(asked).select("rouge1", "rouge2", F.col("rougeL").alias("rouge_l"), "bleu", "faithfulness", "n_pairs", (F.col("n_user") - F.col("n_pairs")).alias("n_missing"))
 
 
 def log(spark, d: str) -> DataFrame:
@@ -361,6 +360,13 @@ def _prf(hits: str, a: str, b: str) -> str:
     return f"round({p}, 6) AS precision, round({r}, 6) AS recall, round(CASE WHEN {hits} > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0 END, 6) AS f1"
 
 
+_LCS = """l(conv_id, turn, i, row) AS (
+  SELECT conv_id, turn, 0, list_transform(r, lambda x: 0) FROM pairs
+  UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k])) FROM (
+    SELECT l.conv_id, l.turn, i, list_transform(r, lambda x, k: CASE WHEN x = p[i + 1] THEN coalesce(CASE WHEN k > 1 THEN row[k - 1] END, 0) + 1 ELSE row[k] END) AS c
+    FROM l JOIN pairs USING (conv_id, turn) WHERE i < len(p))
+), z AS (SELECT conv_id, turn, len(p) AS np, len(r) AS nr, coalesce(row[-1], 0) AS hits FROM l JOIN pairs USING (conv_id, turn) WHERE i = len(p))"""
+
 _BLEU = f"""{_PAIRS}, {_grams(1)}, {_grams(2)}, {_grams(3)}, {_grams(4)},
 bl AS (SELECT conv_id, turn, round(CASE WHEN o1.hits > 0 AND o2.hits > 0 AND o3.hits > 0 AND o4.hits > 0
   THEN least(1.0::DOUBLE, o1.np / o1.nr) * exp((ln(o1.hits / o1.pn) + ln(o2.hits / o2.pn) + ln(o3.hits / o3.pn) + ln(o4.hits / o4.pn)) / 4) ELSE 0 END, 6) AS bleu
@@ -406,6 +412,7 @@ ORACLE_SQL = {
     "dense_topk": f"WITH {_E}, {_top('e', _DENSE, 10)} SELECT qid, doc_id, score, rank FROM run",
     "vector_search_min": f"WITH {_E}, {_top('e', _DENSE, 10)} SELECT qid, doc_id, score, rank FROM run WHERE score >= 0.5",
     "int8_topk": f"WITH {_SYM}, {_top('q', _INT8, 10)} SELECT qid, doc_id, score, rank FROM run",
+    "approx_topk": "SELECT event_id AS id, value AS score FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 100",
     "topk": "SELECT * FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events WHERE value IS NOT NULL) WHERE rank <= 10",
     "global_topk": "SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 100",
     "quantize_symmetric": f"WITH {_SYM} SELECT doc_id, array_to_string(q, ',') AS q, round(s, 9) AS scale FROM q",
@@ -422,16 +429,12 @@ SELECT q.qid, k, round(count(x.doc_id) / k, 6) AS overlap FROM (SELECT DISTINCT
 LEFT JOIN (SELECT ra.qid, ra.doc_id, greatest(ra.rank, rb.rank) AS need FROM ra JOIN rb USING (qid, doc_id)) x ON x.qid = q.qid AND x.need <= k GROUP BY q.qid, k""",
     "rank_spearman": f"WITH {_SYM}, {_top('q', _INT8, 100, 'ra')}, {_top('q', _DENSE, 100, 'rb')} SELECT qid, count(*) AS n_common, round(corr(ra.rank, rb.rank), 6) AS spearman FROM ra JOIN rb USING (qid, doc_id) GROUP BY qid HAVING count(*) > 10",
     "rouge_n": f"WITH {_PAIRS}, {_grams(1)}, {_grams(2)} SELECT conv_id, turn, {_prf('hits', 'pn', 'rn')}, 1::BIGINT AS n FROM o1 UNION ALL SELECT conv_id, turn, {_prf('hits', 'pn', 'rn')}, 2::BIGINT AS n FROM o2",
-    "rouge_l": f"""WITH RECURSIVE {_PAIRS}, l(conv_id, turn, i, row) AS (
-  SELECT conv_id, turn, 0, list_transform(r, lambda x: 0) FROM pairs
-  UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k])) FROM (
-    SELECT l.conv_id, l.turn, i, list_transform(r, lambda x, k: CASE WHEN x = p[i + 1] THEN coalesce(CASE WHEN k > 1 THEN row[k - 1] END, 0) + 1 ELSE row[k] END) AS c
-    FROM l JOIN pairs USING (conv_id, turn) WHERE i < len(p))
-), z AS (SELECT conv_id, turn, len(p) AS np, len(r) AS nr, coalesce(row[-1], 0) AS hits FROM l JOIN pairs USING (conv_id, turn) WHERE i = len(p))
-SELECT conv_id, turn, {_prf('hits', 'np', 'nr')} FROM z""",
+    "rouge_l": f"WITH RECURSIVE {_PAIRS}, {_LCS} SELECT conv_id, turn, {_prf('hits', 'np', 'nr')} FROM z",
     "bleu": f"WITH {_BLEU} SELECT conv_id, turn, bleu FROM bl",
-    "gen_eval": f"""WITH {_BLEU}, r1 AS (SELECT {_prf('hits', 'pn', 'rn')} FROM o1), r2 AS (SELECT {_prf('hits', 'pn', 'rn')} FROM o2)
-SELECT (SELECT round(avg(f1), 6) FROM r1) AS rouge1, (SELECT round(avg(f1), 6) FROM r2) AS rouge2, (SELECT round(avg(bleu), 6) FROM bl) AS bleu, (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM conversations WHERE role = 'user') - (SELECT count(*) FROM pairs) AS n_missing""",
+    "gen_eval": f"""WITH RECURSIVE {_BLEU}, {_LCS}, r1 AS (SELECT {_prf('hits', 'pn', 'rn')} FROM o1), r2 AS (SELECT {_prf('hits', 'pn', 'rn')} FROM o2), rl AS (SELECT {_prf('hits', 'np', 'nr')} FROM z),
+fa AS (SELECT round(CASE WHEN len(p) > 0 THEN least(1.0::DOUBLE, len(list_intersect(list_distinct(p), r)) / len(list_distinct(p))::DOUBLE) ELSE 0 END, 6) AS f FROM pairs)
+SELECT (SELECT round(avg(f1), 6) FROM r1) AS rouge1, (SELECT round(avg(f1), 6) FROM r2) AS rouge2, (SELECT round(avg(f1), 6) FROM rl) AS rouge_l, (SELECT round(avg(bleu), 6) FROM bl) AS bleu,
+  (SELECT round(avg(f), 6) FROM fa) AS faithfulness, (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM conversations WHERE role = 'user') - (SELECT count(*) FROM pairs) AS n_missing""",
     "system_stats": f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (WHERE failed) AS failed, round(count(*) FILTER (WHERE NOT failed) / count(*), 6) AS success_rate, round(avg(n_results) FILTER (WHERE NOT failed), 6) AS avg_results, min(latency_ms) FILTER (WHERE NOT failed) AS min_ms, max(latency_ms) FILTER (WHERE NOT failed) AS max_ms FROM lg",
     "rolling_latency": f"WITH {_OK} SELECT query_id, round(avg(latency_ms) OVER (ORDER BY ts, query_id ROWS BETWEEN {N.ROLLING - 1} PRECEDING AND CURRENT ROW), 9) AS rolling_ms FROM ok",
     "running_latency": f"WITH {_OK} SELECT query_id, count(*) OVER w AS successes, min(latency_ms) OVER w AS min_ms, max(latency_ms) OVER w AS max_ms FROM ok WINDOW w AS (ORDER BY ts, query_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",

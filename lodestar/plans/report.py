@@ -13,15 +13,24 @@ from ..operators import metrics as M
 from ..sources import text_files as L
 
 
+def means(pairs: DataFrame, *key: str) -> DataFrame:
+    """One row: means of ROUGE-1, 2 and L, BLEU and faithfulness, and the number of pairs.
+
+    pairs: key, pred, ref, contexts, an array of texts.
+    """
+    score, n = M.faithfulness(F.col("pred"), F.col("contexts"))
+    out = pairs.agg(F.round(F.avg(score), 6).alias("faithfulness"), F.round(F.avg(n), 6).alias("supporting"), F.count(F.lit(1)).alias("n"))
+    p = pairs.select(*key, "pred", "ref")
+    for name, m, c in (("rouge1", M.rouge_n(p, 1, *key), "f1"), ("rouge2", M.rouge_n(p, 2, *key), "f1"), ("rougeL", M.rouge_l(p, *key), "f1"), ("bleu", M.bleu(p, *key), "bleu")):
+        out = out.crossJoin(m.agg(F.round(F.avg(c), 6).alias(name)))
+    return out
+
+
 def evaluate(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """One row of means. predictions: qid, answer, contexts; references: qid, answer. Empty sides are skipped."""
     ref = references.select("qid", F.col("answer").alias("ref")).filter(F.length("ref") > 0)
     p = predictions.select("qid", F.col("answer").alias("pred"), "contexts").filter(F.length("pred") > 0).join(ref, "qid")
-    score, n = M.faithfulness(F.col("pred"), F.transform("contexts", lambda c: c["text"]))
-    faith = p.agg(F.avg(score).alias("faithfulness"), F.avg(n).alias("supporting"), F.count(F.lit(1)).alias("n"))
-    for name, m, c in (("rouge1", M.rouge_n(p, 1, "qid"), "f1"), ("rouge2", M.rouge_n(p, 2, "qid"), "f1"), ("rougeL", M.rouge_l(p, "qid"), "f1"), ("bleu", M.bleu(p, "qid"), "bleu")):
-        faith = faith.crossJoin(m.agg(F.avg(c).alias(name)))
-    return faith
+    return means(p.withColumn("contexts", F.transform("contexts", lambda c: c["text"])), "qid")
 
 
 def errors(predictions: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +70,8 @@ def main(args: list[str]) -> int:
             t.show(truncate=False)
     elif args[:1] == ["validate"]:
         ok, found, stats = validate(spark, args[1])
-        found.show(100, truncate=False)
+        for r in found.toLocalIterator():
+            print(r.file, r.ord, r.error)
         if stats is not None:
             stats.show(truncate=False)
         return int(not ok)

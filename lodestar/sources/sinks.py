@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REPORT_ROWS = 1000
+from ..runtime import materialise
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -23,10 +23,24 @@ def query_log(log: DataFrame, path: str) -> None:
     log.withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("dt").json(path)
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """ord, line of a fixed-width table: head, rule, then the rows in the order of their lines."""
+    cell = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    width = df.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(x)), F.lit(0))) for c, x in zip(df.columns, cell, strict=True)]).first()
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(x, w, " ") for x, w in zip(cell, width, strict=True)]), F.lit(" |"))
+    head = "| " + " | ".join(c.ljust(w) for c, w in zip(df.columns, width, strict=True)) + " |"
+    top = df.sparkSession.createDataFrame([(0, head), (1, "|" + "|".join("-" * (w + 2) for w in width) + "|")], "ord long, line string")
+    body = df.select(row.alias("line")).repartitionByRange("line").withColumn("_part", F.spark_partition_id())
+    body = materialise(body, "report")
+    per = body.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    per = per.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("line"))
+    body = body.withColumn("_own", own).join(F.broadcast(per), F.col("_part") == F.col("_p"))
+    return top.unionByName(body.select((F.col("_before") + F.col("_own") + 1).cast("long").alias("ord"), "line"))
+
+
 def markdown(df: DataFrame, title: str) -> str:
-    """A report's table of at most REPORT_ROWS rows, ordered by all columns."""
-    rows = df.orderBy(*df.columns).limit(REPORT_ROWS).collect()
-    cells = [df.columns, *[["" if v is None else str(v) for v in r] for r in rows]]
-    width = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
-    line = lambda r: "| " + " | ".join(x.ljust(w) for x, w in zip(r, width, strict=True)) + " |"
-    return "\n".join([f"# {title}", "", line(cells[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, cells[1:]), ""])
+    """A report's table as text, all its rows, fetched a part at a time."""
+    rows = markdown_lines(df).orderBy("ord").toLocalIterator()
+    return "\n".join([f"# {title}", "", *[r.line for r in rows], ""])

@@ -13,12 +13,21 @@ from ..functions.text import strip
 #: Field names in order of preference.
 DOC_IDS, DOC_TEXTS = ("id", "_id", "doc_id", "docid"), ("text", "content", "body", "passage", "document")
 QUERY_IDS, QUERY_TEXTS = ("id", "_id", "query_id", "qid"), ("text", "query", "title", "question", "body")
+#: Fixed value: any of these in the first line of judgements makes it a header, where reading is strict.
+HEADS = ("query", "doc", "rel", "score")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """ord from 1 and line of a text file: the file's lines are numbered where it is opened, one task a file."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("p", "line"))
-    return whole.select((F.col("p") + 1).cast("long").alias("ord"), "line")
+    """ord from 1 and line of a text file, or of a folder's files by name. Files are read in splits: lines are
+    counted by split, then numbered within, so that no task holds a file."""
+    read = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    per = read.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    per = per.select(F.col("_f").alias("_file"), F.col("_b").alias("_block"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i"))
+    d = read.withColumn("_i", F.monotonically_increasing_id()).withColumn("_own", own)
+    d = d.join(per, (F.col("_f") == F.col("_file")) & (F.col("_b") == F.col("_block")))
+    return d.select((F.col("_before") + F.col("_own")).cast("long").alias("ord"), "line")
 
 
 def _fields(names: tuple[str, ...], also: tuple[str, ...]) -> str:
@@ -58,8 +67,11 @@ def load_queries(rows: DataFrame) -> DataFrame:
 
 def load_qrels(rows: DataFrame, strict: bool = False) -> DataFrame:
     """qid, doc_id, rel. Tabs, else white space, part the fields; a first line that names its columns
-    falls out, as do rows of bad numbers. strict takes whole numbers only."""
-    head = (F.col("ord") == 1) & F.lower("line").contains("query")
+    falls out, as do rows of bad numbers. strict takes whole numbers only, and any of HEADS for a name."""
+    named = F.lower("line").contains("query")
+    for name in HEADS if strict else ():
+        named = named | F.lower("line").contains(name)
+    head = (F.col("ord") == 1) & named
     parts = F.when(F.contains("line", F.lit("\t")), F.split(strip(F.col("line")), "\t")).otherwise(F.split(strip(F.col("line")), r"\s+"))
     d = rows.filter(~head).select("ord", parts.alias("p")).filter(F.size("p") >= 3)
     number = F.get("p", F.lit(2))
@@ -120,20 +132,41 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksum(spark: SparkSession, path: str) -> DataFrame:
-    """path, SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-def raw_vectors(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """vec_id, embedding of a headerless float32 file of n vectors."""
+    """path, SHA-256 of each file of a folder, or of one file; a file is read as a stream, whatever its size."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if status.isFile() and not name.startswith(("_", ".")):
+            stream = fs.open(status.getPath())
+            try:
+                out.append((status.getPath().toString(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            finally:
+                stream.close()
+    return spark.createDataFrame(out, "path string, sha256 string")
+
+
+def unpacked(flat: DataFrame, dim: int) -> DataFrame:
+    """vec_id, embedding of rows vec_id, bytes: dim little-endian float32 each."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            for content in b.column("content").to_pylist():
-                m = np.frombuffer(content, "<f4").reshape(n, -1)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), flat], names=["vec_id", "embedding"])
+            data = np.frombuffer(b"".join(b.column("bytes").to_pylist()), "<f4")
+            cut = pa.array(np.arange(b.num_rows + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.ListArray.from_arrays(cut, pa.array(data))], names=["vec_id", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vec_id long, embedding array<float>")
+    return flat.select("vec_id", "bytes").mapInArrow(run, "vec_id long, embedding array<float>")
+
+
+def raw_vectors(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """vec_id, embedding of a headerless float32 file of n vectors; the file is read in splits, by record."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    if n == 0 or size % (4 * n):
+        raise ValueError(f"{size} bytes are no {n} vectors of float32")
+    records = spark.sparkContext.binaryRecords(path, size // n).zipWithIndex().map(lambda x: (x[1], bytes(x[0])))
+    return unpacked(spark.createDataFrame(records, "vec_id long, bytes binary"), size // n // 4)

@@ -280,3 +280,45 @@ def test_sinks(spark, tmp_path):
     sinks.json_lines(d, f"{tmp_path}/j")
     assert sorted(spark.read.text(f"{tmp_path}/j").collect()) == [('{"id":1,"c":"z"}',), ('{"id":2,"a":"b"}',)]
     assert sinks.markdown(d, "R").splitlines()[2:5] == ["| id | a | c |", "|----|---|---|", "| 1  |   | z |"]
+    many = spark.range(2500)
+    assert len(sinks.markdown(many, "R").splitlines()) == 2504
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    rows = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\r\n".join(rows[:1500]) + "\r\n")
+    (tmp_path / "b.txt").write_text("\n".join(rows[1500:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        one = L.lines(spark, str(tmp_path / "b.txt"))
+        assert [r.line for r in one.orderBy("ord").collect()] == rows[1500:]
+        both = L.lines(spark, str(tmp_path)).orderBy("ord").collect()
+        assert [r.line for r in both] == rows and [r.ord for r in both] == list(range(1, 4001))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_passages_of_any_length_anywhere(spark):
+    docs = [(1, "alpha beta gamma"), (2, "xalpha betax"), (3, ""), (4, None), (5, "beta")]
+    passages = [(1, "alpha beta"), (2, "beta"), (3, ""), (4, None), (5, "a b"), (6, "beta")]
+    got = C.passages_held(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "qid long, text string")).collect()
+    want = {(q, d) for q, p in passages for d, t in docs if p is not None and t is not None and p in t}
+    assert {(r.qid, r.doc_id) for r in got} == want and len(got) == len(want)
+
+
+def test_queries_in_blocks_score_alike(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    d = spark.createDataFrame([(f"d{i}", " ".join(rnd.choices(words, k=rnd.randint(0, 30)))) for i in range(300)], "doc_id string, text string").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", " ".join(rnd.choices(words, k=5))) for i in range(20)], "qid string, text string")
+    whole = sorted(S.bm25(d, q, 7).collect())
+    monkeypatch.setattr(S, "ASKED", 9)
+    monkeypatch.setattr(S, "_CELLS", 30)
+    assert sorted(S.bm25(d, q, 7).collect()) == whole
+
+
+def test_gamma_lengths(spark):
+    n = [r[0] for r in synthetic.zipf_corpus(spark, 3000).select(F.size(F.split("text", " "))).collect()]
+    assert min(n) >= 5 and max(n) <= 200 and 46 < sum(n) / len(n) < 54
+    assert 1 <= min(len(r.text.split()) for r in synthetic.zipf_queries(spark, 50).collect())
