@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import analytics_queries as _a
+from . import operation_queries as _o
 from . import retrieval_queries as _r
 
-QUERIES = {**_r.QUERIES, **_a.QUERIES}
-ORACLE_SQL = {**_r.ORACLE_SQL, **_a.ORACLE_SQL}
+QUERIES = {**_r.QUERIES, **_a.QUERIES, **_o.QUERIES}
+ORACLE_SQL = {**_r.ORACLE_SQL, **_a.ORACLE_SQL, **_o.ORACLE_SQL}

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contexts as C
+from ..operators.index import build as build_index
 from ..runtime import materialise
 from ..sources import text_files as L
 from .registry import readers, retrievers
@@ -112,6 +113,16 @@ def scaling(build: Callable[[DataFrame], DataFrame], docs: DataFrame, sizes: tup
     return out
 
 
+def index_sizes(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """n, vocabulary, postings of the index of the first n documents by id, for each n and for all."""
+    total, out = docs.count(), None
+    for n in sorted({*[x for x in sizes if x < total], total}):
+        own = build_index(docs if n == total else docs.orderBy("doc_id").limit(n))
+        part = own.terms.agg(F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def main(path: str) -> None:
     """python -m lodestar.plans.experiment CONFIG.json"""
     from ..runtime import session

@@ -148,6 +148,19 @@ def checksum(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(out, "path string, sha256 string")
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """vec_id, bytes of rows vec_id, embedding: little-endian float32."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = [np.asarray(v, "<f4").tobytes() for v in b.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(rows, pa.binary())], names=["vec_id", "bytes"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, bytes binary")
+
+
 def unpacked(flat: DataFrame, dim: int) -> DataFrame:
     """vec_id, embedding of rows vec_id, bytes: dim little-endian float32 each."""
     import numpy as np

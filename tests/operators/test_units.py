@@ -20,7 +20,7 @@ from lodestar.operators import metrics as M
 from lodestar.operators import monitoring as N
 from lodestar.operators import scoring as S
 from lodestar.operators import vectors as V
-from lodestar.plans import experiment, registry, report
+from lodestar.plans import cli, experiment, registry, report
 from lodestar.sources import sinks, synthetic
 from lodestar.sources import text_files as L
 
@@ -322,3 +322,17 @@ def test_gamma_lengths(spark):
     n = [r[0] for r in synthetic.zipf_corpus(spark, 3000).select(F.size(F.split("text", " "))).collect()]
     assert min(n) >= 5 and max(n) <= 200 and 46 < sum(n) / len(n) < 54
     assert 1 <= min(len(r.text.split()) for r in synthetic.zipf_queries(spark, 50).collect())
+
+
+def test_command_lines(spark, folder, tmp_path, capsys):
+    assert cli.main([]) == 2 and "integration OUT" in capsys.readouterr().out
+    e = cli.efficiency(spark, str(folder), queries=2)
+    assert e["documents"] == 12 and e["build"]["error"] is None and [q["error"] for q in e["queries"]] == [None, None] and [x["n"] for x in e["scaling"]] == [12]
+    assert [r.k for r in cli.baseline(spark, str(folder)).orderBy("k").collect()] == [10, 100]
+    base = {"output_dir": f"{tmp_path}/a", "experiments": [{"name": "x", "dataset": str(folder), "retriever": {"type": "bm25", "params": {}}, "reader": {"type": "extractive"}}]}
+    assert [r["succeeded"] for r in cli.ablate(spark, base, {"reader.type": ["generative_simple", "none"]})] == [1, 0]
+    assert [r.error for r in cli.bench(spark, ["topk"]).collect()] == [None]
+    grade, advice = cli.integration(spark, f"{tmp_path}/i")
+    assert grade.first().score >= 0.5 and all(r.text for r in advice.collect())
+    assert spark.read.option("header", True).csv(f"{tmp_path}/i/checks").count() == 6
+    assert "# Grade" in "".join(r.value for r in spark.read.text(f"{tmp_path}/i/report").collect())
