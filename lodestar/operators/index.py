@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,9 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from ..functions.text import tokens
 from ..runtime import BROADCAST_BYTES, BROADCAST_ROWS, shared_dir, shipped
 
+#: Files whose sizes and times are looked at to see whether a table is the one it was.
+_REMEMBERED = 1000
+
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast where it counts `most` rows and BROADCAST_BYTES at most; otherwise Spark shuffles it."""
@@ -79,11 +83,33 @@ def build(docs: DataFrame, tokenise=tokens) -> Index:
     return _of(shipped(toks).mapInArrow(_count, kinds))
 
 
+_keys: dict[tuple, str] = {}
+
+
+def _content_key(docs: DataFrame) -> str:
+    """content_key, remembered for as long as the plan and its files stay what they are; a plan without
+    files, or with Python in it, is read each time."""
+    spark = docs.sparkSession
+    files = sorted(docs.inputFiles())
+    plan = re.sub(r"#\d+L?", "", docs._jdf.queryExecution().optimizedPlan().toString())
+    if not files or len(files) > _REMEMBERED or "Python" in plan or "Arrow" in plan or "LogicalRDD" in plan:
+        return content_key(docs)
+    conf, stamps = spark._jsc.hadoopConfiguration(), []
+    for f in files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        stamps.append((f, status.getLen(), status.getModificationTime()))
+    known = (spark.sparkContext.applicationId, plan, tuple(stamps))
+    if known not in _keys:
+        _keys[known] = content_key(docs)
+    return _keys[known]
+
+
 def kept(docs: DataFrame, tokenise=tokens) -> Index:
     """The index of docs in the shared folder: built and saved at first use, loaded from then on, by this
     session or another; a changed document makes it another index."""
     spark = docs.sparkSession
-    path, key = f"{shared_dir(spark)}/lodestar/index", f"{tokenise.__name__}-{content_key(docs)}"
+    path, key = f"{shared_dir(spark)}/lodestar/index", f"{tokenise.__name__}-{_content_key(docs)}"
     found = load(spark, path, key)
     if found is None:
         save(build(docs, tokenise), path, key)
