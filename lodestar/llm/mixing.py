@@ -5,7 +5,9 @@ of its source, and a last, fractional epoch is drawn by Efraimidis-Spirakis
 sampling: key = -ln(u) / weight, u a hash of the id, so reruns agree; sorted by
 key within the source, prefix-summed up to what is left of the target. A long
 document may stop the sum short; the gap is then filled likewise, in the same
-order, from the documents left that fit it, PASSES times in all.
+order, from the documents left that fit it, until none fits. Each pass takes a document at least, and leaves a
+gap smaller than one that it passed over, so gaps shrink fast. Rows that repeat an id go
+together: a source is full where the next one's rows don't fit together.
 
 The prefix sums are taken in two levels, over BUCKETS ranges of the key and then
 inside the one range that holds the cut, so that a source with a third of all
@@ -27,7 +29,6 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BUCKETS = 4096
-PASSES = 5
 SEED = "lodestar"
 #: Stands for a null id where ids are compared.
 _NO_ID = -(1 << 63)
@@ -85,15 +86,17 @@ def plan(sized: DataFrame) -> DataFrame:
     by_source = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     t = targets(by_source)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    t = t.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    p = materialise(t.withColumn("passes", F.array().cast("array<struct<most:double,bucket:int,key:double,id:bigint>>")), "mix-targets")
-    for _ in range(PASSES):
-        p = materialise(_with_pass(sized, p), "mix-plan")
+    # sizes are whole numbers, so what is left may be one
+    rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 1e-6)
+    t = t.withColumn("epochs", epochs).withColumn("rest", rest)
+    p = materialise(t.withColumn("passes", F.array().cast("array<struct<most:bigint,bucket:int,key:double,id:bigint>>")), "mix-targets")
+    while (more := _with_pass(sized, p)) is not None:
+        p = materialise(more, "mix-plan")
     return p
 
 
-def _with_pass(sized: DataFrame, p: DataFrame) -> DataFrame:
-    """p with one more pass, and what it leaves of rest."""
+def _with_pass(sized: DataFrame, p: DataFrame) -> DataFrame | None:
+    """p with one more pass, and what it leaves of rest; None if no document fits any more."""
     fits = _joined(sized, p).filter(~_selected() & (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
     fits = fits.select("source", "bucket", "key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "size", "rest")
     b = fits.groupBy("source", "bucket").agg(F.sum("size").alias("bsize"), F.first("rest").alias("rest"))
@@ -101,14 +104,17 @@ def _with_pass(sized: DataFrame, p: DataFrame) -> DataFrame:
     # the range that holds the cut is the first to reach beyond rest; without one, all is taken
     b = b.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("bsize")).alias("base")))).alias("cut"), F.max("upto").alias("all"))
     b = materialise(b.select(F.col("source").alias("c_source"), F.col("cut.bucket").alias("c_bucket"), F.coalesce("cut.base", "all").alias("base")), "mix-ranges")
+    if b.isEmpty():
+        return None
     at = fits.join(b, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
     upto = Window.partitionBy("source", "bucket").orderBy("key", "id").rangeBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("own", F.sum("size").over(upto)).filter(F.col("base") + F.col("own") <= F.col("rest"))
     at = at.groupBy(F.col("source").alias("a_source")).agg(F.max(F.struct("key", "id", "own")).alias("last"))
     p = p.join(b, F.col("source").eqNullSafe(F.col("c_source")), "left").join(at, F.col("source").eqNullSafe(F.col("a_source")), "left")
     one = F.struct(F.col("rest").alias("most"), F.coalesce("c_bucket", F.lit(BUCKETS)).alias("bucket"), F.col("last.key").alias("key"), F.col("last.id").alias("id"))
+    taken = F.coalesce("base", F.lit(0)) + F.coalesce("last.own", F.lit(0))
     return p.select(
-        "source", "source_size", "weight", "target", "epochs", (F.col("rest") - F.coalesce("base", F.lit(0)) - F.coalesce("last.own", F.lit(0))).alias("rest"),
+        "source", "source_size", "weight", "target", "epochs", F.when(taken > 0, F.col("rest") - taken).otherwise(F.lit(0)).alias("rest"),
         F.when(F.col("base").isNull(), F.col("passes")).otherwise(F.array_append("passes", one)).alias("passes"),
     )
 
@@ -163,19 +169,8 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 
-def _pass_sql(i: int) -> str:
-    """Table g{i - 1} becomes g{i} by one pass."""
-    fits = "NOT sel AND size > 0 AND size <= rest"
-    return f"""r{i} AS (
-  SELECT *, sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id) AS r FROM g{i - 1}
-), g{i} AS (
-  SELECT * EXCLUDE (r, sel, rest), sel OR ({fits} AND r <= rest) AS sel,
-         rest - coalesce(max(CASE WHEN {fits} AND r <= rest THEN r END) OVER (PARTITION BY source), 0) AS rest FROM r{i}
-)"""
-
-
 OP2_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          length(coalesce(text, '')) AS n,
          (('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
@@ -199,8 +194,18 @@ t AS (
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
 ), g0 AS (
-  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, false AS sel FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
-), {", ".join(_pass_sql(i) for i in range(1, PASSES + 1))}
+  SELECT k.*, source_size, target, epochs, floor(target - epochs * source_size + 1e-6::DOUBLE)::BIGINT AS rest, false AS sel
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+), g AS (
+  SELECT 0 AS pass, doc_id, source, size, key, source_size, target, epochs, rest, sel FROM g0
+  UNION ALL
+  SELECT pass + 1, doc_id, source, size, key, source_size, target, epochs,
+         CASE WHEN t > 0 THEN rest - t ELSE 0 END, sel OR (fits AND r <= rest)
+  FROM (SELECT *, coalesce(max(CASE WHEN fits AND r <= rest THEN r END) OVER (PARTITION BY source), 0) AS t FROM (
+    SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id)::BIGINT AS r, count(*) FILTER (WHERE fits) OVER () AS n
+    FROM (SELECT *, NOT sel AND size > 0 AND size <= rest AS fits FROM g)
+  ) WHERE n > 0)
+)
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN sel THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM g{PASSES}
+FROM g WHERE pass = (SELECT max(pass) FROM g)
 """

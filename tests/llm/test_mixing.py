@@ -66,6 +66,18 @@ def test_targets_epochs_and_reruns(spark, rows):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_sources_are_filled_until_nothing_fits(spark, rows):
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        left = own[0].target - sum(r.taken for r in own)
+        least = min(r.times for r in own)
+        # a document of one epoch less than others is longer than what is left
+        assert left >= -1e-6
+        if any(r.times > least for r in own if r.size):
+            assert all(r.size > left for r in own if r.times == least and r.size)
+
+
 def test_better_documents_are_drawn_more_often(spark):
     rows = [(i, "word " * (60 if i % 2 else 40), s, "") for i in range(4000) for s in ("a", "b", "c")]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).filter("source = 'b'").collect()
