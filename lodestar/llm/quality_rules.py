@@ -2,7 +2,8 @@
 
 Words are maximal runs of non-white-space (space, \\t, \\n, \\v, \\f, \\r separate).
 A null or empty text has no words; every count is 0 and it fails the base rule.
-Repeated rows are judged alike. Columns of the input that are not asked for are
+Repeated rows are judged alike, whatever their id. Texts of any length are judged whole, and none
+fails for being long. An empty table gives an empty one. Columns of the input that are not asked for are
 not read, so clashing names do no harm.
 """
 
@@ -40,7 +41,7 @@ class Rule:
 
 #: The threshold table. Ratios are shares of words, lines or characters.
 RULES = (
-    Rule("length", "n_words", low=50, high=1_000_000),
+    Rule("length", "n_words", low=50),
     Rule("mean_word_length", "mean_word_chars", low=2.0, high=15.0),
     Rule("symbols", "symbol_ratio", high=0.10),
     Rule("stop_words", "n_stop_words", low=2),
@@ -61,11 +62,18 @@ def measures(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     word_lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.select(*keep, t.alias("_t"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("_w"), word_lines.alias("_l"))
     k = F.greatest(F.size("_w") - 2, F.lit(0))
-    second = F.zip_with(F.slice("_w", F.lit(1), k), F.slice("_w", F.lit(2), k), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.zip_with(second, F.slice("_w", F.lit(3), k), lambda a, b: F.concat(a, F.lit(" "), b))
-    d = d.withColumn("_s", F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    # windows sort by a hash, and by their words where hashes agree
+    def window(a: Column, i: Column) -> Column:
+        b, c = F.get("_w", i + 1), F.get("_w", i + 2)
+        return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
+
+    d = d.withColumn("_s", F.sort_array(F.transform(F.slice("_w", F.lit(1), k), window)))
+
+    def same(x: Column, y: Column) -> Column:
+        return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
     # of sorted windows, those equal to a neighbour occur twice or more
-    d = d.withColumn("_e", _pairs(F.col("_s"), F.size("_s"), lambda a, b: a["g"] == b["g"]))
+    d = d.withColumn("_e", _pairs(F.col("_s"), F.size("_s"), same))
     no = F.array(F.lit(False))
     twice = F.zip_with(F.concat(no, F.col("_e")), F.concat(F.col("_e"), no), lambda a, b: a | b)
     starts = F.filter(F.zip_with(F.col("_s"), twice, lambda s, y: F.when(y, s["i"])), lambda x: x.isNotNull())
@@ -161,7 +169,6 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND n_words <= 1000000
          AND word_chars / n_words >= 2 AND word_chars / n_words <= 15
          AND CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END <= 0.1
          AND n_stop_words >= 2
