@@ -12,7 +12,8 @@ large groups too, and the sum over all leaves is even. No task holds
 more than a leaf.
 
 A null text counts as an empty one: both are one group, of 16 bytes a row.
-Repeated rows get slots of their own. A group larger than a fair share stays
+Repeated rows get slots of their own; ids may repeat or be null. An empty table gives an empty one, texts of
+any length count whole, and other columns play no part, whatever their names. A group larger than a fair share stays
 whole: its shard holds little else.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, shipped, table
+from .joins import looked_up
 
 N_SHARDS = 40
 OVERHEAD = 16
@@ -99,7 +101,7 @@ def _leaf(large: list[int], leaves: int):
 
 def assign_groups(groups: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """group_key string, weight long -> group_key, shard."""
-    groups = materialise(groups.select("group_key", "weight"), "shard-groups")
+    groups = groups.select("group_key", "weight")
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     above = F.col("weight") * (n_shards * LARGE) > total
     large = groups.filter(above).collect()  # fewer than n_shards * LARGE rows
@@ -121,7 +123,7 @@ def group_keys(docs: DataFrame, *keep) -> DataFrame:
 def _slots(d: DataFrame, rows: int) -> DataFrame:
     """Gapless slots in each shard: offsets by hash bucket, then places in the bucket."""
     n = max(1, math.ceil(rows / (N_SHARDS * LEAF_GROUPS)))
-    d = d.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    d = d.withColumn("_b", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(n)).cast("int"))
     per = d.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -132,19 +134,19 @@ def _slots(d: DataFrame, rows: int) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
     rows = materialise(group_keys(docs, "doc_id"), "shard-rows")
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("weight"))
-    d = rows.join(assign_groups(groups, n_shards), "group_key")
+    groups = materialise(rows.groupBy("group_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    d = looked_up(rows, "group_key", assign_groups(groups, n_shards), groups)
     return _slots(d, rows.count()).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """The rows of docs, with their columns, and shard_id. Rows of one text share a shard."""
     keyed = group_keys(docs.select("text"))
-    groups = keyed.groupBy("group_key").agg(F.sum("size").alias("weight"))
+    groups = materialise(keyed.groupBy("group_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")), "shard-groups")
     placed = assign_groups(groups, n_shards).withColumnRenamed("shard", "_shard")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     boxed = group_keys(boxed.select("_row", "_row.text"), "_row").select("_row", "group_key")
-    d = boxed.join(placed, "group_key")
+    d = looked_up(boxed, "group_key", placed, groups)
     name = "shard_id"
     while name in docs.columns:
         name = "_" + name

@@ -6,20 +6,25 @@ none, or a null one, has fingerprint 0 and is linked like any other. Repeated
 rows share fingerprint and component. An empty table gives an empty one.
 
 Linking: 64 bits are cut into three fields of 22, 21 and 21 bits, so two
-fingerprints at distance 4 or less differ in at most one bit of some field.
+fingerprints at distance 4 or less differ in at most one bit of some field. Beyond MANY fingerprints
+there are two fields of 32 bits and two differing bits of one: more replicas, but far fewer members an
+anchor; links are the same either way.
 The anchors of a field are the words of a covering code of radius 1: the
 Hamming(7,4) code on its first 7 bits, everything on the rest. A fingerprint
 is at home at the one anchor within radius 1, and is replicated to every anchor,
-within radius + threshold 1, that is home to a word at distance 1 or less: 1 for
-itself, 1 for each free bit, and up to 3 for the coded bits. At each anchor the
+within radius + threshold, that is home to a word at the threshold's distance or less. At each anchor the
 members at home are compared with all replicas. Anchors with very many
 members are split by salting those at home; the replicas go to every salt.
 At an anchor only a spanning forest of the links is kept, never all pairs.
+
+Of one component the smallest id counts, null ones last; ids may repeat. Texts of any length are
+taken whole; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +34,16 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, shipped, table
 from .components import components
+from .joins import looked_up
 from .scan import slices
 
 SHINGLE = 4
 DISTANCE = 4
-FIELDS = ((0, 22), (22, 21), (43, 21))
+#: Bit and width of the fields, and how many bits may differ in one of them.
+FIELDS, RADIUS = ((0, 22), (22, 21), (43, 21)), 1
+WIDE_FIELDS, WIDE_RADIUS = ((0, 32), (32, 32)), 2
+#: Distinct fingerprints beyond which fields are wide: replicas then cost less than comparisons.
+MANY = 1 << 30
 #: Members of an anchor beyond which those at home are salted, this many to a salt.
 HOT = 20_000
 _BLOCK = 1 << 22
@@ -87,33 +97,34 @@ def _hamming() -> list[int]:
     return words
 
 
-def _code() -> tuple[list[int], list[list[int]]]:
-    """For each 7-bit word: its nearest code word, and the nearest ones of its neighbours besides."""
+def _code(most: int) -> tuple[list[int], list[list[list[int]]]]:
+    """For each 7-bit word its nearest code word, and for distances 0 to most those of all words so near."""
     code = _hamming()
     near = [min(code, key=lambda c: (c ^ w).bit_count()) for w in range(128)]
-    return near, [sorted({near[w ^ (1 << i)] for i in range(7)} - {near[w]}) for w in range(128)]
-
-
-def _of_field(tag: Column, nearest: Column, others: Column, free: Column, n_free: int) -> list[Column]:
-    def anchor(c: Column, r: Column) -> Column:
-        return tag.bitwiseOR(F.shiftleft(r, 7)).bitwiseOR(c.cast("long"))
+    return near, [[sorted({near[v] for v in range(128) if (v ^ w).bit_count() <= d}) for w in range(128)] for d in range(most + 1)]
 
-    home = F.array(F.struct(anchor(nearest, free).alias("anchor"), F.lit(True).alias("home")))
-    away = F.array(*[anchor(nearest, free.bitwiseXOR(F.lit(1 << j))) for j in range(n_free)])
-    away = F.concat(away, F.transform(others, lambda c: anchor(c, free)))
-    return [home, F.transform(away, lambda a: F.struct(a.alias("anchor"), F.lit(False).alias("home")))]
 
-
-def _anchors(fp: Column) -> Column:
+def _anchors(fp: Column, fields: tuple[tuple[int, int], ...] = FIELDS, radius: int = RADIUS) -> Column:
     """Array of (anchor, home): where fp is at home and where it is replicated to."""
-    near, others = _code()
-    near_c = F.array(*[F.lit(x) for x in near])
-    others_c = F.array(*[F.array(*[F.lit(y) for y in x]) if x else F.array().cast("array<int>") for x in others])
+    near, reach = _code(radius)
+    near, reach = F.array(*[F.lit(x) for x in near]), [F.array(*[F.array(*[F.lit(y) for y in x]) for x in r]) for r in reach]
     out = []
-    for f, (shift, width) in enumerate(FIELDS):
+    for f, (shift, width) in enumerate(fields):
         v = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
         coded, free = v.bitwiseAND(F.lit(127)).cast("int"), F.shiftrightunsigned(v, 7)
-        out += _of_field(F.lit(f << 40), F.get(near_c, coded), F.get(others_c, coded), free, width - 7)
+
+        def anchor(c: Column, r: Column, tag: int = f << 40) -> Column:
+            return F.lit(tag).bitwiseOR(F.shiftleft(r, 7)).bitwiseOR(c.cast("long"))
+
+        home, parts = anchor(F.get(near, coded), free), []
+        for j in range(radius + 1):  # j bits differ in the free part, the others in the coded one
+            flips = [sum(1 << i for i in x) for x in combinations(range(width - 7), j)]
+            flips = F.array(*[F.lit(m).cast("long") for m in flips])
+            coded_near = F.get(reach[radius - j], coded)
+            parts.append(F.flatten(F.transform(flips, lambda m: F.transform(coded_near, lambda w: anchor(w, free.bitwiseXOR(m))))))  # noqa: B023
+        out.append(F.array(F.struct(home.alias("anchor"), F.lit(True).alias("home"))))
+        away = F.filter(F.concat(*parts), lambda a: a != home)  # noqa: B023
+        out.append(F.transform(away, lambda a: F.struct(a.alias("anchor"), F.lit(False).alias("home"))))
     return F.concat(*out)
 
 
@@ -199,7 +210,8 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Distinct fp long -> u, v: links whose components are those of all pairs within distance."""
     if distance > DISTANCE:
         raise ValueError(f"the fields are cut for a distance of {DISTANCE} or less")
-    at = fps.select("fp", F.inline(_anchors(F.col("fp"))))
+    wide = fps.count() > MANY
+    at = fps.select("fp", F.inline(_anchors(F.col("fp"), *((WIDE_FIELDS, WIDE_RADIUS) if wide else (FIELDS, RADIUS)))))
     hot = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
     hot = materialise(hot.select(F.col("anchor").alias("_a"), F.least(F.ceil(F.col("n") / HOT), F.lit(4095)).cast("int").alias("salts")), "hot-anchors")
     if hot.isEmpty():
@@ -217,10 +229,10 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def _linked(docs: DataFrame, keep: tuple[str, ...], least: Column, n: int, distance: int) -> tuple[DataFrame, DataFrame]:
     """The rows' keep and fp, and of each distinct fp its least, an aggregate of keep, and the root that links lead to."""
     rows = materialise(fingerprints(docs, *keep, n=n), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(least.alias("least")), "distinct-fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     links = link_fingerprints(fps.select("fp"), distance)
     roots = components(links)
-    named = fps.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     return rows, materialise(named, "fingerprint-roots")
 
 
@@ -228,8 +240,8 @@ def cluster(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> Data
     """doc_id, fp, component_id: the smallest doc_id that links lead to."""
     rows, named = _linked(docs, ("doc_id",), F.min("doc_id"), n, distance)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    by_fp = looked_up(named.select("root", "fp"), "root", least).select("fp", "component_id")
+    return looked_up(rows, "fp", by_fp, named.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -36,6 +36,29 @@ def test_the_textbook_case():
     assert sorted(sums) == [14, 16]
 
 
+def plain_differencing(weights, k):
+    """The two partial partitions of largest spread, the earlier of equals, are added in opposite order."""
+    parts = [[0] * (k - 1) + [w] for w in weights]
+    while len(parts) > 1:
+        order = sorted(range(len(parts)), key=lambda i: (parts[i][0] - parts[i][-1], i))
+        a, b = parts[order[0]], parts[order[1]]
+        parts = [p for i, p in enumerate(parts) if i not in order[:2]] + [sorted(x + y for x, y in zip(a, reversed(b), strict=True))]
+    return parts[0]
+
+
+def test_groups_against_plain_differencing(spark):
+    rnd = random.Random(6)
+    for k in (2, 5, 40):
+        groups = [(f"{i:03}", int(rnd.paretovariate(0.8) * 50) + 16) for i in range(rnd.randint(60, 220))]
+        groups = [(g, w + 16 * sum(x[1] for x in groups) // 40_960) for g, w in groups]  # each above the bound of large ones
+        sums = Counter()
+        size = dict(groups)
+        for r in sharding.assign_groups(spark.createDataFrame(groups, "group_key string, weight long"), k).collect():
+            sums[r.shard] += size[r.group_key]
+        want = plain_differencing(sorted(size.values(), reverse=True), k)
+        assert sorted(sums[i] for i in range(k)) == want
+
+
 @pytest.fixture
 def rows():
     rnd = random.Random(4)

@@ -90,8 +90,9 @@ def test_no_link_is_lost(spark, monkeypatch):
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     label = brute_components(fps)
-    for hot in (20_000, 50):
+    for hot, many in ((20_000, 1 << 30), (50, 1 << 30), (20_000, 0), (300, 0)):
         monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "MANY", many)
         links = [(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in simhash.link_fingerprints(df).collect()]
         assert all((u ^ v).bit_count() <= 4 for u, v in links)
         from lodestar.llm.components import components
@@ -106,3 +107,24 @@ def test_no_link_is_lost(spark, monkeypatch):
 
 def test_empty(spark):
     assert simhash.cluster(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keys_that_hold_most_rows(spark, monkeypatch):
+    from lodestar.llm import joins
+
+    monkeypatch.setattr(joins, "SHARE", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(600)], "i long, k string")
+    lookup = spark.createDataFrame([("hot", 1), *[(f"k{j}", j + 2) for j in range(39)], ("none", 0)], "k string, v long")
+    got = joins.looked_up(rows, "k", lookup)
+    assert sorted(got.columns) == ["i", "k", "v"]
+    assert sorted((r.i, r.k, r.v) for r in got.collect()) == sorted((r.i, r.k, r.v) for r in rows.join(lookup, "k").collect())
+
+
+def test_copies_of_one_text_hold_a_third(spark, monkeypatch):
+    from lodestar.llm import joins
+
+    monkeypatch.setattr(joins, "SHARE", 20)
+    rnd = random.Random(2)
+    rows = [(i, "the same text of all these copies" if i % 3 == 0 else " ".join(rnd.choices([f"v{j}" for j in range(500)], k=60))) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in simhash.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 300 and {got[i] for i in range(0, 300, 3)} == {0} and all(got[i] == i for i in range(300) if i % 3)
