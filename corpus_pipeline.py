@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next one's docs. All but the last return
 the columns of docs; sharding adds shard_id.
+
+Null and empty texts fail the quality rules. Repeated rows are copies of each other: one stays. An id that
+comes with different texts, or a null one, names nothing: each text is judged by itself, and rows of equal texts and
+ids share a shard and a fate. Of equal candidates the smallest id stays, null last, then the text of the least
+hash. Texts of any length go through whole. An empty table gives an empty one with the same columns; columns
+that the stages don't know, whatever their names, are carried along.
 """
 
 from __future__ import annotations
