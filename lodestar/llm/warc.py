@@ -31,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, scratch_path, shipped, table
+from ..runtime import BROADCAST_ROWS, materialise, scratch_path, shipped, spread, table
+from .joins import SHARE
 
 LEAST_REVISIT = 1000
 #: The dictionary is trained on so many pages, the least by a hash of their id, and so many characters of each.
@@ -202,16 +203,36 @@ def parse(data: bytes, name: str = "archive") -> dict:
     }
 
 
+def _told(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows with revisits and without the html of those, for the payloads in first (_digest, first).
+
+    A row so settled has a key of its own from then on, so that no payload's copies meet in one task.
+    """
+    d = rows.join(first, (F.col("_key") == F.col("_digest")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
+    d = d.withColumn("revisits", F.coalesce("revisits", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))))
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    d = d.withColumns({"html": F.when(F.col("revisits").isNull(), F.col("html")), "_key": F.when(F.col("_digest").isNull(), F.col("_key")).otherwise(own)})
+    return d.select(*rows.columns)
+
+
 def described(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest, payload_bytes, revisits: the page_id of the response to revisit, or null."""
+    """page_id, url, html, payload_digest, payload_bytes, revisits: the page_id of the response to revisit, or null.
+
+    Payloads that repeat are broadcast if they are counted few; otherwise those of more than 1 / SHARE of the
+    copies are, which are few by arithmetic, and the others meet their copies in a shuffle.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.length(payload).cast("long").alias("payload_bytes"))
     large = rows.filter(F.col("payload_bytes") >= LEAST_REVISIT)
-    first = large.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select(F.col("payload_digest").alias("_digest"), "first")
-    d = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
-    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return d.select("page_id", "url", F.when(revisits.isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", revisits.alias("revisits"))
+    first = large.groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = materialise(first, "warc-repeats")
+    kinds, copies = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sent = F.lit(True) if kinds <= BROADCAST_ROWS else F.col("n") * SHARE > copies
+    rows = rows.withColumns({"_key": F.col("payload_digest"), "revisits": F.lit(None).cast(pages.schema["page_id"].dataType)})
+    d = _told(rows, F.broadcast(first.filter(sent).drop("n")))
+    if kinds > BROADCAST_ROWS:
+        d = _told(d, first.filter(~sent).drop("n"))
+    return d.select("page_id", "url", "html", "payload_digest", "payload_bytes", "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -276,7 +297,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    manifest = write_archives(spread(table(spark, sf_dir, "pages"), 1 << 20), scratch_path(spark, "warc"))
     return read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -24,7 +24,11 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("sent", [warc.BROADCAST_ROWS, 1])
+def test_round_trip(spark, monkeypatch, sent):
+    """All repeats broadcast, and only those of a fifth of the copies."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(warc, "SHARE", 5)
     rnd = random.Random(6)
     big = ["<p>" + "".join(rnd.choices("abcdé \r\n", k=n)) for n in (996, 997, 1500, 9000)]
     rows = [(i, f"http://x/{i}", rnd.choice([*big, "", None, "small", "\r\n\r\n"]), 1, "clash") for i in range(150)]
