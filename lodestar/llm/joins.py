@@ -1,4 +1,4 @@
-"""Joins with a table of one row a key, where a few keys may hold most rows."""
+"""Joins with a table of few rows a key, where a few keys may hold most rows."""
 
 from __future__ import annotations
 
@@ -12,16 +12,17 @@ SHARE = 2000
 
 
 def looked_up(rows: DataFrame, key: str, lookup: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """rows inner-joined with lookup, which has one row for each key.
+    """rows inner-joined with lookup, whose rows for each key are one or bounded.
 
     Keys of more than 1 / SHARE of the rows are few, so their part of lookup is broadcast and their rows stay
     where they are; the others meet in a shuffle, in which none weighs much. counts: key, n, where
-    the rows of each key are counted already.
+    the rows of each key are counted already; else rows, a table, is read to count them.
     """
     if counts is None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts.select(F.col(key).alias("_key"), "n"), "key-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+        counts, total = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(key, "_key"), rows.count()
+    else:
+        counts = materialise(counts.select(F.col(key).alias("_key"), "n"), "key-counts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
     hot = materialise(counts.filter(F.col("n") * SHARE > total).filter(F.col("n") > SHARE).select("_key"), "hot-keys")
     if hot.isEmpty():
         return rows.join(lookup, key)

@@ -11,7 +11,9 @@ gives each document's minimisers; those that occur once are left at home, so
 what is packed follows the repeated part of the corpus. Equal packed strings
 are aggregated before and in the shuffle. A minimiser with more than HOT
 super-k-mers is split: its windows travel one by one, to the bucket of their
-own hash, where equal ones meet all the same.
+own hash, where equal ones meet all the same. No super-k-mer is longer than one gram can be
+the minimiser of; where a text repeats itself, the rest makes further ones for the same bucket. So what
+a packed string gives is bounded, and strings of more than a share of all rows meet theirs by a broadcast.
 
 Nulls and empty texts have no words and lose none. Documents shorter than a
 window keep all. Rows that repeat an id do not count as another document; a
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, shipped, table
+from .joins import looked_up
 from .scan import mixed, run_numbers, slices, span_hashes, text_bytes, word_numbers, word_spans
 
 WINDOW = 50
@@ -52,7 +55,7 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of all super-k-mers.
+    """Minimiser, first window and number of windows of all super-k-mers, of window - gram + 1 windows at most.
 
     hashes: of the words of several documents; first: the n + 1 offsets of the documents' words.
     """
@@ -76,8 +79,12 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -
     starts = np.flatnonzero(valid & change)
     stop = np.ones(len(valid), bool)
     stop[:-1] = (least[1:] != least[:-1]) | ~valid[1:]
-    ends = np.flatnonzero(valid & stop) + 1
-    return least[starts], starts, ends - starts
+    n_windows = np.flatnonzero(valid & stop) + 1 - starts
+    most = window - gram + 1
+    pieces = -(-n_windows // most)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts, n_windows = np.repeat(starts, pieces) + piece * most, np.repeat(n_windows, pieces) - piece * most
+    return least[starts], starts, np.minimum(n_windows, most)
 
 
 def _scan(window: int, gram: int):
@@ -114,14 +121,14 @@ def _pack(window: int):
                         if not k["hot"]:
                             packed = b" ".join(words[a : a + n + window - 1])
                             rows.append((k["min"], _digest(packed), packed, order, key, a))
-                            continue
-                        for i in range(a, a + n):
-                            packed = b" ".join(words[i : i + window])
-                            pid = _digest(packed)
-                            rows.append((int.from_bytes(pid[:8], "little", signed=True), pid, packed, order, key, i))
-                    if len(rows) >= 20_000:
-                        yield _packed(rows)
-                        rows = []
+                        else:
+                            for i in range(a, a + n):
+                                packed = b" ".join(words[i : i + window])
+                                pid = _digest(packed)
+                                rows.append((int.from_bytes(pid[:8], "little", signed=True), pid, packed, order, key, i))
+                        if len(rows) >= 20_000:
+                            yield _packed(rows)
+                            rows = []
                 if rows:
                     yield _packed(rows)
 
@@ -230,10 +237,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     packed = materialise(texts.mapInArrow(_pack(window), kinds), "packed")
     strings = packed.groupBy("bucket", "pid", "packed").agg(F.min("order").alias("low"), F.max("order").alias("high"))
     strings = strings.repartition("bucket").sortWithinPartitions("bucket")
-    runs = strings.mapInArrow(count_windows(window), "pid binary, at int, count int, least long")
-    runs = runs.select(F.col("pid").alias("_pid"), "at", F.col("count").alias("n"), "least")
-    spans = packed.select("pid", "order", "key", "start").join(runs, F.col("pid") == F.col("_pid")).filter("least < order")
-    spans = spans.select("order", "key", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + F.col("n") + window - 1).alias("z"))
+    runs = materialise(strings.mapInArrow(count_windows(window), "pid binary, at int, count int, least long"), "window-runs")
+    spans = looked_up(packed.select("pid", "order", "key", "start"), "pid", runs).filter("least < order")
+    spans = spans.select("order", "key", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + F.col("count") + window - 1).alias("z"))
     return scanned, texts, spans
 
 

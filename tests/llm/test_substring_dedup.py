@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from lodestar.llm import substring_dedup
+from lodestar.llm import joins, substring_dedup
 
 SCHEMA = "doc_id long, text string, key string, n long"
 
@@ -54,6 +55,34 @@ def test_against_brute_force(spark, rows, hot, monkeypatch):
     assert sorted(got, key=repr) == brute(rows)
 
 
+def test_copies_beyond_a_share_of_all_rows(spark, monkeypatch):
+    """Packed strings of many copies are looked up by a broadcast; so are those of a text that repeats itself."""
+    monkeypatch.setattr(joins, "SHARE", 12)
+    sent = []
+    monkeypatch.setattr(joins, "materialise", lambda df, label: sent.append(substring_dedup.materialise(df, label)) or sent[-1])
+    rnd = random.Random(5)
+    copy = " ".join(f"c{rnd.randrange(900)}" for _ in range(70))
+    rows = [(i, f"head{i} {copy} tail{i}", "", 0) for i in range(40)] + [(100 + i, "again and " * 400 + f"end{i}", "", 0) for i in range(3)]
+    rows += [(200, " ".join(f"n{i}" for i in range(90)), "", 0)]
+    got = [tuple(r) for r in substring_dedup.dedupe(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    assert sent[-1].count() > 0
+
+
+def test_super_kmers_are_bounded():
+    """Each window is in one super-k-mer of its minimiser, also where one word fills a text."""
+    rnd = random.Random(2)
+    words = np.array([7] * 500 + [rnd.randrange(50) for _ in range(300)] + [1, 2] * 100, np.uint64)
+    first = np.array([0, 500, 800, 1000])
+    mins, at, n = substring_dedup.super_kmers(words, first, 50, 8)
+    assert n.min() >= 1 and n.max() <= 43
+    covered = [(i, m) for m, a, k in zip(mins.tolist(), at.tolist(), n.tolist(), strict=True) for i in range(a, a + k)]
+    assert [i for i, _ in covered] == [i for a, z in zip(first[:-1], first[1:], strict=True) for i in range(a, z - 49)]
+    by_window = {}
+    for i, m in covered:
+        assert by_window.setdefault(tuple(words[i : i + 50].tolist()), m) == m
+
+
 def test_empty(spark):
     assert substring_dedup.dedupe(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
