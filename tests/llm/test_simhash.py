@@ -128,3 +128,16 @@ def test_copies_of_one_text_hold_a_third(spark, monkeypatch):
     rows = [(i, "the same text of all these copies" if i % 3 == 0 else " ".join(rnd.choices([f"v{j}" for j in range(500)], k=60))) for i in range(300)]
     got = {r.doc_id: r.component_id for r in simhash.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == 300 and {got[i] for i in range(0, 300, 3)} == {0} and all(got[i] == i for i in range(300) if i % 3)
+
+
+def test_one_row_repeated_holds_a_third(spark, monkeypatch):
+    """Rows of one id and text, null ids too, leave one; every other text stays."""
+    from lodestar.llm import joins
+
+    monkeypatch.setattr(joins, "SHARE", 20)
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choices([f"u{j}" for j in range(500)], k=60))
+    rows = [(None, "this row comes again and again", "x")] * 100 + [(7, "so does this one, with an id", "x")] * 100 + [(100 + i, text(), "y") for i in range(100)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id string").repartition(4))
+    assert got.columns == ["doc_id", "text", "_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(set(rows), key=repr)
