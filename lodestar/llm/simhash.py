@@ -257,7 +257,8 @@ def one_of_each(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) ->
     text, both = F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text").alias("_g")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g"))
     rows, named = _linked(docs.select("doc_id", "text", text, both), ("doc_id", "_h", "_g"), first, n, distance)
-    keep = named.groupBy("root").agg(F.min("least").alias("_k")).select(F.struct("_k._h", "_k._g").alias("_id"))
+    # a table, whose size is known: the join is planned once, and texts move once
+    keep = materialise(named.groupBy("root").agg(F.min("least").alias("_k")).select(F.struct("_k._h", "_k._g").alias("_id")), "kept-rows")
     boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.struct(text, both).alias("_id"))
     d = looked_up(boxed, "_id", keep, rows.groupBy(F.struct("_h", "_g").alias("_id")).agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("_id").orderBy("_id")
