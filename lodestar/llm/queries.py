@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
 from .html_extract import op3_html_extract
+from .jaccard_join import OP11_SQL, op11_jaccard_join
 from .license_scan import op1_license_scan
 from .lm_scoring import op9_lm_scoring
 from .mixing import OP2_SQL, op2_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force, round trips or held-out text.
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_jaccard_join": OP11_SQL,
 }
