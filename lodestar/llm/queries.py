@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op3_html_extract
 from .jaccard_join import OP11_SQL, op11_jaccard_join
 from .license_scan import op1_license_scan
@@ -16,6 +17,7 @@ from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
 from .simhash import op4_simhash
 from .substring_dedup import OP10_SQL, op10_substring_dedup
+from .vector_codes import OP12_SQL, op12_vector_codes
 from .warc import OP5_SQL, op5_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,8 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_jaccard_join": op11_jaccard_join,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force, round trips or held-out text.
@@ -41,4 +45,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_jaccard_join": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
