@@ -34,7 +34,7 @@ from .vector_rows import blocks, finite, first_rows
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 #: Entries of nearly a part's norm that give the first distance, and pairs that are evaluated at a time.
-_PROBES, _PAIRS = 4, 1 << 19
+_PROBES, _PAIRS = 12, 1 << 19
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
