@@ -19,7 +19,7 @@ which are the same for all documents, so that no pair is lost, whatever they are
 
 Verifying. In each round every set of an unsettled bucket (one with two components or more) is compared with one pivot
 at most; after ROUNDS rounds, all pairs of a bucket that still are of different components are tested by their
-sizes and the bound that 64 counters of tokens give, and the rest exactly. Tokens are 64-bit hashes:
+sizes and the bound that 64 counters of tokens give, each at the least signature that both have, and the rest exactly. Tokens are 64-bit hashes:
 within a pair of documents of 20,000 words, two unlike shingles share one with a chance below 1e-10.
 
 Nulls, empty texts and those of white space have an empty set, are linked with nothing and have their own id as component.
@@ -35,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +174,9 @@ def _signed(percent: int):
                 a, many = off[i], off[i + 1] - off[i]
                 found = signatures(n, levels.slice(a, many).to_pylist(), tokens.slice(a, many).to_pylist(), percent)
                 m = len(found)
-                cols = [pa.array(found, pa.int64()), pa.array(np.full(m, v)), pa.array(np.full(m, n)), pa.array(found.values(), pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names=["sig", "v", "n", "lone"])
+                lone = pc.sum(pc.equal(levels.slice(a, many), 0)).as_py()
+                cols = [pa.array(found, pa.int64()), *[pa.array(np.full(m, x)) for x in (v, n, lone)], pa.array(found.values(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["sig", "v", "n", "own", "lone"])
 
     return run
 
@@ -192,11 +194,27 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def _crossed(percent: int):
-    """Over rows sorted by (sig, salt), those at home first: pairs of different components that sizes and sketches allow."""
+    """Over rows sorted by (sig, salt), those at home first: pairs of different components that sizes and sketches allow,
+    at the least signature that both have."""
+
+    def marks(off: np.ndarray, sigs: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Bits of which of `both` each row has, in words of 64."""
+        at = np.searchsorted(both, sigs)
+        known = both[np.minimum(at, len(both) - 1)] == sigs
+        row, at = np.repeat(np.arange(len(off) - 1), np.diff(off))[known], at[known]
+        bits = np.zeros((len(off) - 1, -(-len(both) // 64)), np.uint64)
+        np.bitwise_or.at(bits, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        return bits
 
     def allowed(x, y) -> np.ndarray:
-        (v, n, comp, s), (w, m, other, t) = x, y
-        i, j = np.nonzero((comp[:, None] != other[None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None])))
+        (v, n, comp, s, earlier), (w, m, other, t, earlier2) = x, y
+        near = (comp[:, None] != other[None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
+        both = np.intersect1d(earlier[1], earlier2[1])
+        if len(both) and near.any():
+            a, b = marks(*earlier, both), marks(*earlier2, both)
+            for word in range(a.shape[1]):  # what shares an earlier signature is compared there
+                near &= (a[:, word, None] & b[None, :, word]) == 0
+        i, j = np.nonzero(near)
         out = []
         for at in range(0, len(i), 1 << 14):
             a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
@@ -218,13 +236,15 @@ def _crossed(percent: int):
                 continue
             sig, salt, home = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "salt", "home"))
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, _SLOTS)
-            cols = (*[b.column(c).to_numpy() for c in ("v", "n", "comp")], sketch)
+            cols, sigs = (*[b.column(c).to_numpy() for c in ("v", "n", "comp")], sketch), b.column("earlier")
+            off, sigs = sigs.offsets.to_numpy().astype(np.int64), sigs.values.to_numpy()
             cut = np.flatnonzero((np.diff(sig) != 0) | (np.diff(salt) != 0) | (np.diff(home.astype(np.int8)) != 0)) + 1
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
                 if key != (sig[a], salt[a]):
                     key, held = (sig[a], salt[a]), []
                 for lo in range(a, z, 1024):
-                    part, own = tuple(x[lo : min(z, lo + 1024)] for x in cols), bool(home[a])
+                    hi, own = min(z, lo + 1024), bool(home[a])
+                    part = (*[x[lo:hi] for x in cols], (off[lo : hi + 1] - off[lo], sigs[off[lo] : off[hi]]))
                     for other in [*held, *([part] if own else [])]:
                         out.append(allowed(other, part))
                         if sum(map(len, out)) > 1 << 18:
@@ -285,7 +305,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def forest(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """at (sig, v, n): buckets; sets (v, n, toks, sketch) -> v, comp: components of the links within buckets."""
+    """at (sig, v, n, own): buckets; sets (v, n, toks, sketch) -> v, comp: components of the links within buckets."""
     comp = at.select("v", F.col("v").alias("comp")).distinct()
     comp = materialise(comp, "set-components")
 
@@ -294,20 +314,24 @@ def forest(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return m, m.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), *more).filter("_lo < _hi").drop("_lo", "_hi")
 
     for i in range(ROUNDS):
-        m, pivots = unsettled(F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("p"))
+        h = F.xxhash64("v", F.lit(i))
+        first = F.struct(F.col("own"), h) if i == 0 else F.struct(h)  # sets of few tokens of their own are in the middle of their group
+        m, pivots = unsettled(F.min(F.struct(first.alias("h"), F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("p"))
         tried = m.join(pivots, "sig").filter((F.col("comp") != F.col("p.c")) & _alike(F.col("n"), F.col("p.m"), percent))
         pairs = tried.groupBy(F.col("v").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.a").alias("a"), "b")
         comp = _merged(comp, _links(pairs, sets, percent))
     m, left = unsettled(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("salts"))
-    m = m.join(left, "sig").join(sets.select("v", "sketch"), "v")
-    m = m.select("sig", "v", "n", "comp", "sketch", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    m = materialise(m.join(left, "sig"), "unsettled")
+    own = m.groupBy("v").agg(F.sort_array(F.collect_list("sig")).alias("sigs")).join(sets.select("v", "sketch"), "v")
+    m = m.join(own, "v").withColumn("earlier", F.filter("sigs", lambda x: x < F.col("sig")))
+    m = m.select("sig", "v", "n", "comp", "sketch", "earlier", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     m = m.withColumn("home", F.col("_own") == F.col("salt")).drop("_own").repartition("sig", "salt").sortWithinPartitions("sig", "salt", F.desc("home"))
     pairs = shipped(m).mapInArrow(_crossed(percent), "a long, b long").distinct()
     return _merged(comp, _links(pairs, sets, percent))
 
 
 def _indexed(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The buckets (sig, v, n) with two sets or more, and the sets in them."""
+    """The buckets (sig, v, n, own: tokens that no other set is known to have) with two sets or more, and the sets in them."""
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     least = reps.select("v", "n", F.explode("least").alias("token"))
     often = least.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -331,10 +355,10 @@ def _indexed(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> tupl
     level = F.when(F.col("c") >= COMMON, 3).when(F.col("c") >= RARE, 2).when(F.col("c") > 1, 1).otherwise(0).alias("level")
     toks = sets.select("v", "n", F.explode("toks").alias("token")).join(counts, "token", "left")
     ordered = toks.groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct(level, "token"))).alias("ordered"))
-    signed = materialise(shipped(ordered).mapInArrow(_signed(percent), "sig long, v long, n long, lone boolean"), "signatures")
+    signed = materialise(shipped(ordered).mapInArrow(_signed(percent), "sig long, v long, n long, own long, lone boolean"), "signatures")
     # a light set's prefix: tokens of its own, which only heavy ones may have besides
     alone = signed.filter("lone").select(F.col("sig").alias("_t")).distinct()
-    light = least.join(sized(materialise(alone, "lone-signatures"), _SENT), F.col("token") == F.col("_t")).select(F.col("token").alias("sig"), "v", "n")
+    light = least.join(sized(materialise(alone, "lone-signatures"), _SENT), F.col("token") == F.col("_t")).select(F.col("token").alias("sig"), "v", "n", F.col("n").alias("own"))
     light = materialise(light.join(sets.select("v"), "v", "left_anti"), "light-signatures")
     at = signed.drop("lone").unionByName(light)
     shared = at.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("sig")
