@@ -11,17 +11,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import tokens, ws_tokens
-from ..runtime import materialise, shipped
-from .index import Index, idf_bm25, idf_tfidf, kept, term_counts
+from ..runtime import BROADCAST_ROWS, materialise
+from .index import Index, Range, askers, block_rows, bucket_of, by_range, idf_bm25, idf_tfidf, named, places_of, ranges, term_counts
+from .segments import kept
 
-#: Pairs of a query and a word that are sent to the documents at once, and scores that a task holds.
+#: Pairs of a query and a word that are sent to the index at once, and postings that a task adds up at a time.
 ASKED = 200_000
 _CELLS = 1 << 20
-#: Least raw score that does not round to 0.
-HALF = 5e-7
+#: Share of the sum of a query's bounds that the words left to the second round have, at most.
+LATER = 0.1
+#: Words that are listed in the scan's filter; more are only joined.
+_LISTED = 200
+#: Least raw score that does not round to 0, and what sums and rounding may differ by.
+HALF, _NEAR = 5e-7, 2e-6
 
 #: Largest accuracy asked of percentile_approx.
 MOST_ACCURATE = 1 << 20
@@ -56,108 +61,243 @@ def approx_top_k(scores: DataFrame, k: int, score: str = "score", id_: str = "id
 
 @dataclass
 class _Asked:
-    """A block of queries: their known words, each with its idf and the queries that have it."""
+    """A block of queries: their known words, each with its idf and the queries that have it.
 
-    qids: list
-    words: pa.Array
+    first: whether a query's word is read in the first round. The others are those of least bound, and their scores lie
+    between low and high for each query, whatever the document.
+    """
+
+    words: list
     idf: np.ndarray
     cut: np.ndarray
     query: np.ndarray
     times: np.ndarray
+    first: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     avgdl: float
 
 
-class _Best:
-    """The k best documents of each query so far, ties to the smaller id."""
+def _asked(own: pa.Table, n_queries: int, avgdl: float, weigh) -> _Asked:
+    """own: place, term, qtf, idf, most_tf, least_dl of a block."""
+    words = pc.unique(own["term"])
+    term = pc.index_in(own["term"], value_set=words).to_numpy().astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    term, query = term[order], own["place"].to_numpy()[order]
+    times, idf = own["qtf"].to_numpy()[order].astype(float), own["idf"].to_numpy()[order]
+    bound = times * weigh(own["most_tf"].to_numpy()[order].astype(float), own["least_dl"].to_numpy()[order].astype(float), avgdl, idf)
+    best = np.maximum(bound, 0)
+    total = np.bincount(query, best, n_queries)
+    by = np.lexsort((best, query))
+    sums = np.cumsum(best[by])
+    before = np.concatenate([[0], sums])[np.searchsorted(query[by], np.arange(n_queries))]
+    first = np.ones(len(query), bool)
+    first[by] = sums - before[query[by]] > LATER * total[query[by]]
+    weights = np.zeros(len(words))
+    weights[term] = idf
+    low, high = (np.bincount(query[~first], x[~first], n_queries) for x in (np.minimum(bound, 0), best))
+    return _Asked(words.to_pylist(), weights, np.searchsorted(term, np.arange(len(words) + 1)), query, times, first, low, high, avgdl)
+
+
+def _summed(q: _Asked, weigh, of: Range, only: np.ndarray | None, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, places and scores in a range, of some queries at a time; only: these queries, part: these of the queries' words."""
+    block, place, tf, dl = places_of(of)
+    word = of.blocks.column("word").to_numpy()
+    many = np.bincount(block, minlength=len(word))
+    at = np.concatenate([[0], np.cumsum(many)])
+    weight = weigh(tf.astype(float), dl.astype(float), q.avgdl, q.idf[word][block])
+    asked = q.cut[word + 1] - q.cut[word]
+    entry = np.arange(asked.sum()) - np.repeat(np.cumsum(asked) - asked, asked) + np.repeat(q.cut[word], asked)
+    own = np.repeat(np.arange(len(word)), asked)
+    stay = np.ones(len(entry), bool) if part is None else part[entry]
+    if only is not None:
+        stay &= np.isin(q.query[entry], only)
+    entry, own = entry[stay], own[stay]
+    order = np.argsort(q.query[entry], kind="stable")
+    entry, own = entry[order], own[order]
+    query, ends = q.query[entry], np.cumsum(many[own])
+    i = 0
+    while i < len(entry):
+        z = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _CELLS, "right")))
+        z = int(np.searchsorted(query, query[z - 1], "right"))  # a query's words stay together
+        m = many[own[i:z]]
+        posting = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - at[own[i:z]], m)
+        width = int(place.max(initial=0)) + 1
+        key = np.repeat(query[i:z] - query[i], m) * width + place[posting]
+        score = np.repeat(q.times[entry[i:z]], m) * weight[posting]
+        cells = int(query[z - 1] - query[i] + 1) * width
+        if cells <= 4 * len(key):
+            score, found = np.bincount(key, score, cells), np.bincount(key, minlength=cells)
+            key = np.flatnonzero(found)
+            score = score[key]
+        else:
+            key, inverse = np.unique(key, return_inverse=True)
+            score = np.bincount(inverse, score, len(key))
+        yield query[i] + key // width, key % width, score
+        i = z
+
+
+def _best_of(query: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best of each query are, ties to the smaller place, best first."""
+    order = np.lexsort((place, -np.round(score, 6), query))
+    query = query[order]
+    new = np.ones(len(query), bool)
+    new[1:] = query[1:] != query[:-1]
+    start = np.flatnonzero(new)
+    return order[np.arange(len(query)) - np.repeat(start, np.diff([*start, len(query)])) < k]
+
+
+class _Least:
+    """The k-th best score that a task has seen of each query."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.least = k, np.full(n, HALF)
-        self.query, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), None
-
-    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
-        """scores: of each document (rows) for each query (columns)."""
-        row, query = np.nonzero(scores >= self.least)
-        if not len(row):
-            return
-        self.query = np.concatenate([self.query, query])
-        self.score = np.concatenate([self.score, scores[row, query]])
-        self.doc = docs[row] if self.doc is None else np.concatenate([self.doc, docs[row]])
-        order = np.lexsort((self.doc, -np.round(self.score, 6), self.query))
-        q = self.query[order]
-        first = np.searchsorted(q, np.arange(len(self.least) + 1))
-        order = order[np.arange(len(q)) - first[q] < self.k]
-        self.query, self.score, self.doc = self.query[order], self.score[order], self.doc[order]
-        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.least)) >= self.k)
-        self.least[full] = np.maximum(HALF, self.score[np.searchsorted(self.query, full, "right") - 1] - 1e-6)
-
-
-def _scored(sent, weigh, k: int):
-    """Counted documents -> of each task and query the k best (query's place, doc_id, raw score)."""
+        self.k, self.held = k, np.full((n, k), -np.inf)
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        return self.held[query, 0]
+
+    def add(self, query: np.ndarray, score: np.ndarray) -> None:
+        """k scores of a query at most, those of a query together."""
+        own, start = np.unique(query, return_index=True)
+        both = np.full((len(own), 2 * self.k), -np.inf)
+        both[:, : self.k] = self.held[own]
+        both[np.searchsorted(own, query), self.k + np.arange(len(query)) - np.repeat(start, np.diff([*start, len(query)]))] = score
+        self.held[own] = np.partition(both, self.k, axis=1)[:, self.k :]  # the least of them first
+
+
+def _first_round(sent, weigh, k: int):
+    """Blocks of the first words -> (place, range, raw): of each query and range the k best sums that may still count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: _Asked = sent.value
-        best, n = _Best(len(q.qids), k), len(q.qids)
-        for batch in batches:
-            words = batch.column("words")
-            off = words.offsets.to_numpy().astype(np.int64)
-            which = pc.fill_null(pc.index_in(words.flatten(), value_set=q.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.flatnonzero(which >= 0)
-            row, term = np.searchsorted(off, at + off[0], "right") - 1, which[at]
-            tf, dl = batch.column("tfs").flatten().to_numpy()[at].astype(float), batch.column("dl").to_numpy().astype(float)
-            weight = weigh(tf, dl[row], q.avgdl, q.idf[term])
-            ids = batch.column("doc_id")
-            ids = np.array(ids.to_pylist(), dtype=str) if pa.types.is_string(ids.type) else ids.to_numpy()
-            step = max(1, _CELLS // max(1, n))
-            for i in range(0, batch.num_rows, step):  # so many documents that their scores fit
-                lo, hi = np.searchsorted(row, (i, i + step))
-                r, t, w = row[lo:hi] - i, term[lo:hi], weight[lo:hi]
-                many = q.cut[t + 1] - q.cut[t]
-                own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(q.cut[t], many)
-                cell = np.repeat(r, many) * n + q.query[own]
-                rows = min(step, batch.num_rows - i)
-                scores = np.bincount(cell, np.repeat(w, many) * q.times[own], rows * n)
-                best.add(scores.reshape(rows, n), ids[i : i + rows])
-        if best.doc is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.doc.tolist(), batch.column("doc_id").type), pa.array(best.score)], names=["place", "doc_id", "raw"])
+        least = _Least(len(q.low), k)
+        for own in ranges(batches):
+            if not own.blocks.num_rows:
+                continue
+            for query, place, score in _summed(q, weigh, own, None, q.first):
+                possible = (score + q.high[query] >= HALF) & (score + q.high[query] >= least.of(query) + q.low[query] - _NEAR)
+                query, place, score = query[possible], place[possible], score[possible]
+                best = _best_of(query, place, score, k)
+                query, score = query[best], score[best]
+                if len(query):
+                    least.add(query, score)
+                    cols = [pa.array(query), pa.array(np.full(len(query), own.number)), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["place", "range", "raw"])
 
     return run
 
 
+def _second_round(sent, weigh, k: int):
+    """Blocks of all words in the ranges that are left, each range led by its ids and queries -> (place, doc_id, raw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: _Asked = sent.value
+        least = _Least(len(q.low), k)
+        for own in ranges(batches):
+            if not own.blocks.num_rows or not len(own.queries):
+                continue
+            ids = own.ids.combine_chunks()
+            for query, place, score in _summed(q, weigh, own, own.queries, None):
+                possible = (score >= HALF) & (score >= least.of(query) - _NEAR)
+                query, place, score = query[possible], place[possible], score[possible]
+                best = _best_of(query, place, score, k)
+                query, place, score = query[best], place[best], score[best]
+                if len(query):
+                    least.add(query, score)
+                    yield pa.RecordBatch.from_arrays([pa.array(query), ids.take(pa.array(place)), pa.array(score)], names=["place", "doc_id", "raw"])
+
+    return run
+
+
+def _block_hits(index: Index, q: DataFrame, k: int, avgdl: float, weigh) -> tuple[DataFrame, DataFrame] | None:
+    """(place, doc_id, raw) of a block of queries q, and (place, qid); None where nothing can score."""
+    spark = q.sparkSession
+    own = q.toArrow().combine_chunks()
+    qids = pc.unique(own["qid"])
+    own = own.append_column("place", pc.cast(pc.index_in(own["qid"], value_set=qids), pa.int64()))
+    asked = _asked(own, len(qids), avgdl, weigh)
+    sent = spark.sparkContext.broadcast(asked)
+    entry_word = np.repeat(np.arange(len(asked.words)), np.diff(asked.cut))
+    early = np.bincount(entry_word, asked.first, len(asked.words)) > 0
+    bucket = dict(zip(own["term"].to_pylist(), own["bucket"].to_pylist(), strict=True))
+    words = pa.table({"_term": asked.words, "word": np.arange(len(asked.words)), "early": early, "_b": pa.array([bucket[w] for w in asked.words], pa.int32())})
+
+    def blocks_of(which: pa.Table) -> DataFrame:
+        """The blocks of these words, from their buckets."""
+        listed = F.broadcast(spark.createDataFrame(which.select(["_term", "word"])))
+        found = index.blocks.filter(F.col("bucket").isin(pc.unique(which["_b"]).to_pylist()))
+        if which.num_rows <= _LISTED:
+            found = found.filter(F.col("term").isin(which["_term"].to_pylist()))
+        return found.join(listed, F.col("term") == F.col("_term"))
+
+    if not early.any():
+        return None
+    kinds = "place long, range long, raw double"
+    early_rows = by_range([*index.lost_places, block_rows(blocks_of(words.filter(words["early"])), "word")])
+    sums = materialise(early_rows.mapInArrow(_first_round(sent, weigh, k), kinds), "first-sums")
+    w = Window.partitionBy("place").orderBy(F.desc("raw"))
+    least = np.full(len(qids), HALF)
+    for r in sums.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == k).collect():  # one a query of the block
+        least[r.place] = max(HALF, r.raw + asked.low[r.place])
+    open_ = (asked.high >= least - _NEAR) & (asked.high > HALF / 2)  # documents without any of the first words may be among the best
+    limits = spark.createDataFrame(pa.table({"_p": np.arange(len(qids)), "_need": least - asked.high - _NEAR, "_open": open_}))
+    left = sums.groupBy("place", "range").agg(F.max("raw").alias("raw")).join(F.broadcast(limits), F.col("place") == F.col("_p"))
+    left = materialise(left.filter((F.col("raw") >= F.col("_need")) & ~F.col("_open")).select("range", "place"), "ranges-left")
+    listed = left.select(F.col("range").alias("_r")).distinct()
+    listed = F.broadcast(listed) if left.count() <= BROADCAST_ROWS else listed
+    blocks, docs, rows = blocks_of(words), index.docs, [askers(left)]
+    if open_.any():
+        wide = np.unique(entry_word[open_[asked.query]])
+        wide = F.broadcast(spark.createDataFrame(pa.table({"_w": wide})))
+        blocks = blocks.join(wide, F.col("word") == F.col("_w"), "left_semi").unionByName(
+            blocks.join(wide, F.col("word") == F.col("_w"), "left_anti").join(listed, F.col("range") == F.col("_r"), "left_semi")
+        )
+        every = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in np.flatnonzero(open_)]))
+        rows.append(askers(docs.select("range", every.alias("place"))))
+    else:
+        docs, blocks = (x.join(listed, F.col("range") == F.col("_r"), "left_semi") for x in (docs, blocks))
+    kinds = StructType().add("place", "long").add("doc_id", index.parts.schema["doc_ids"].dataType.elementType).add("raw", "double")
+    rows = by_range([named(docs), *index.lost_places, *rows, block_rows(blocks, "word")])
+    hits = rows.mapInArrow(_second_round(sent, weigh, k), kinds)
+    return hits, spark.createDataFrame(pa.table({"_place": np.arange(len(qids)), "qid": qids}))
+
+
 def _run(index: Index, queries: DataFrame, k: int, weigh, idf, tokenise=tokens) -> DataFrame:
     """qid, doc_id, score, rank: the sum of a query's word scores for each document, positive ones, k best.
 
-    Queries go to the documents in blocks of ASKED words and scores are added up where documents are: only
-    the k best of each task and query are shuffled. weigh(tf, dl, avgdl, idf) is a word's score in a
-    document, idf(n, df) a column.
+    Queries go to the index in blocks of ASKED words; only the buckets of their words are read. In a first round all but the
+    words of least bound are read, and their sums give each query a score that its k-th best cannot be below. In the second round
+    the other words too are read, in the ranges where a sum and the others' bounds reach that score; where those
+    bounds alone reach it, in all ranges. So every document that can be among the k best is scored in full, and others are not.
+    weigh(tf, dl, avgdl, idf) is a word's score in a document, larger for more occurrences and fewer words;
+    idf(n, df) a column.
     """
-    spark = queries.sparkSession
     q = term_counts(queries, "qid", out="qtf", tokenise=tokenise)
     n, avgdl = index.stats.first()
-    q = materialise(q.join(index.terms, "term").select("qid", "term", "qtf", idf(F.lit(n), F.col("df")).alias("idf")), "asked")
-    kinds = {x: q.schema["qid"].dataType if x == "qid" else index.docs.schema["doc_id"].dataType for x in ("qid", "doc_id")}
-    names = StructType().add("place", "long").add("doc_id", kinds["doc_id"]).add("raw", "double")
+    known = q.join(index.terms, "term").select("qid", "term", "qtf", "most_tf", "least_dl", idf(F.lit(n), F.col("df")).alias("idf"), bucket_of(F.col("term")).alias("bucket"))
+    q = materialise(known, "asked")
     blocks = max(1, math.ceil(q.count() / ASKED))
     out = None
     for i in range(blocks):
-        own = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        qids, words = pc.unique(own["qid"]), pc.unique(own["term"])
-        term = pc.index_in(own["term"], value_set=words).to_numpy().astype(np.int64)
-        order = np.argsort(term, kind="stable")
-        weights = np.zeros(len(words))
-        weights[term] = own["idf"].to_numpy()
-        asked = _Asked(
-            qids.to_pylist(), words, weights, np.searchsorted(term[order], np.arange(len(words) + 1)),
-            pc.index_in(own["qid"], value_set=qids).to_numpy().astype(np.int64)[order], own["qtf"].to_numpy()[order].astype(float), float(avgdl or 0.0),
-        )
-        found = shipped(index.docs).mapInArrow(_scored(spark.sparkContext.broadcast(asked), weigh, k), names)
-        named = spark.createDataFrame(list(enumerate(asked.qids)), StructType().add("_place", "long").add("qid", kinds["qid"]))
-        part = found.join(F.broadcast(named), F.col("place") == F.col("_place")).select("qid", "doc_id", F.round("raw", 6).alias("score"))
-        out = part if out is None else out.unionByName(part)
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        found = _block_hits(index, own, k, float(avgdl or 0.0), weigh)
+        if found is not None:
+            hits, places = found
+            part = hits.join(F.broadcast(places), F.col("place") == F.col("_place")).select("qid", "doc_id", F.round("raw", 6).alias("score"))
+            part = part if blocks == 1 else materialise(top_k(part.filter("score > 0"), k, "qid").drop("rank"), "hits")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        kinds = StructType([q.schema["qid"], StructField("doc_id", index.parts.schema["doc_ids"].dataType.elementType)]).add("score", "double")
+        out = q.sparkSession.createDataFrame([], kinds)
     return top_k(out.filter("score > 0"), k, "qid")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (doc_id, text), queries (qid, text) -> qid, doc_id, score, rank.
+def _index(docs: DataFrame | Index, tokenise=tokens) -> Index:
+    return docs if isinstance(docs, Index) else kept(docs, tokenise)
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """docs (doc_id, text), or an index of them; queries (qid, text) -> qid, doc_id, score, rank.
 
     Repeated query words weigh by their count, unknown words nothing; a query
     without known words has no rows. The index of docs is kept for later calls.
@@ -166,21 +306,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     def weigh(tf, dl, avgdl, idf):
         return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
-    return _run(kept(docs), queries, k, weigh, idf_bm25)
+    return _run(_index(docs), queries, k, weigh, idf_bm25)
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def tfidf(docs: DataFrame | Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """Raw counts times ln(n / (df + 1)); lengths play no part."""
 
     def weigh(tf, dl, avgdl, idf):
         return tf * idf
 
-    return _run(kept(docs), queries, k, weigh, idf_tfidf)
+    return _run(_index(docs), queries, k, weigh, idf_tfidf)
 
 
-def bm25_okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25_okapi(docs: DataFrame | Index, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """White-space words; a negative idf gives way to epsilon times the mean idf of the whole vocabulary."""
-    index = kept(docs, ws_tokens)
+    index = _index(docs, ws_tokens)
     n = index.stats.first().n
     mean = index.terms.agg(F.avg(idf_bm25(F.lit(n), F.col("df")))).first()[0]
 

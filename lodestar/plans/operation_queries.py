@@ -11,6 +11,7 @@ from ..operators import docstore as D
 from ..operators import index as I
 from ..operators import monitoring as N
 from ..operators import scoring as S
+from ..operators import segments as G
 from ..runtime import scratch_path, table
 from ..sources import sinks
 from ..sources import text_files as L
@@ -90,10 +91,10 @@ def index_reload(spark, d):
     """An index written under its content's key and loaded again: term, documents, occurrences."""
     at, t = scratch_path(spark, "index"), docs(spark, d)
     key = I.content_key(t)
-    I.save(I.build(t), at, key)
-    again = I.load(spark, at, key)
+    G.save(t, at, key)
+    again = G.load(spark, at, key)
     cf = again.postings.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return again.terms.join(cf, "term")
+    return again.terms.join(cf, "term").select("term", "df", "cf")
 
 
 def predictions_sink(spark, d):

@@ -11,6 +11,7 @@ from ..operators import docstore as D
 from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import scoring as S
+from ..operators import segments as G
 from ..runtime import materialise, spread, table
 
 WORDS = r"'[\p{L}\p{N}_]+'"
@@ -105,17 +106,17 @@ def query_text(spark, d):
 
 
 def postings(spark, d):
-    return I.kept(docs(spark, d)).postings.select("doc_id", "term", "tf")
+    return G.kept(docs(spark, d)).postings.select("doc_id", "term", "tf")
 
 
 def term_stats(spark, d):
-    i = I.kept(docs(spark, d))
+    i = G.kept(docs(spark, d))
     t = i.terms.join(F.broadcast(i.stats))
     return t.select("term", "df", F.round(I.idf_bm25(F.col("n"), F.col("df")), 6).alias("idf_bm25"), F.round(I.idf_tfidf(F.col("n"), F.col("df")), 6).alias("idf_tfidf"))
 
 
 def index_stats(spark, d):
-    i = I.kept(docs(spark, d))
+    i = G.kept(docs(spark, d))
     n = i.terms.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("df").alias("n_postings"))
     s = i.stats.join(F.broadcast(n))
     return s.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocabulary", "n_postings", F.round(F.try_divide("n_postings", F.col("n") * F.col("vocabulary")), 9).alias("density"))

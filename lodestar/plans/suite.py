@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index as I
 from ..operators import monitoring as N
 from ..operators import scoring as S
+from ..operators import segments as G
 from ..operators import vectors as V
 from ..sources import synthetic
 
@@ -93,7 +93,7 @@ def _best_first(data, rows) -> bool:
 def built_in() -> list[Suite]:
     def texts(spark):
         docs, queries = synthetic.zipf_corpus(spark, 10_000).cache(), synthetic.zipf_queries(spark, 100).cache()
-        I.kept(docs)
+        G.kept(docs)
         return docs, queries
 
     def embedded(spark):

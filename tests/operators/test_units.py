@@ -19,6 +19,7 @@ from lodestar.operators import index as I
 from lodestar.operators import metrics as M
 from lodestar.operators import monitoring as N
 from lodestar.operators import scoring as S
+from lodestar.operators import segments as G
 from lodestar.operators import vectors as V
 from lodestar.plans import cli, experiment, registry, report
 from lodestar.sources import sinks, synthetic
@@ -107,9 +108,9 @@ def test_index_is_kept_by_content(spark, tmp_path):
     d = spark.createDataFrame([(1, "a a b"), (2, "c")], "doc_id long, text string")
     key = I.content_key(d)
     assert key == I.content_key(d.orderBy("text", ascending=False)) != I.content_key(d.withColumn("text", F.upper("text")))
-    assert I.load(spark, str(tmp_path), key) is None
-    I.save(I.build(d), str(tmp_path), key)
-    assert sorted(I.load(spark, str(tmp_path), key).postings.collect()) == sorted(I.build(d).postings.collect())
+    assert G.load(spark, str(tmp_path), key) is None
+    G.save(d, str(tmp_path), key)
+    assert sorted(G.load(spark, str(tmp_path), key).postings.collect()) == sorted(I.build(d).postings.collect())
 
 
 def readers_input(spark, contexts, query="what is a word here"):
