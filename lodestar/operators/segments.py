@@ -59,13 +59,13 @@ def _publish(parts: DataFrame, less: DataFrame | None, path: str, segment: tuple
     spark = parts.sparkSession
     own = f"{path}/_{uuid.uuid4().hex}"
     bucketed = parts.repartition("bucket", F.pmod("range", F.lit(_groups(parts)))).sortWithinPartitions("bucket", "term", "range")
-    bucketed.write.partitionBy("bucket").parquet(f"{own}/parts")
+    bucketed.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{own}/parts")
     parts.limit(0).write.parquet(f"{own}/kinds")  # a table without documents has no other file
     if terms is None:
         terms = terms_of(_parts(spark, own).filter("bucket >= 0"))
         if less is not None:
             terms = terms.unionByName(less.select("term", (-F.col("df")).alias("df")), allowMissingColumns=True)
-    terms.write.parquet(f"{own}/terms")
+    terms.write.option("compression", "zstd").parquet(f"{own}/terms")
     at, fs = _at(spark, own)
     to, _ = _at(spark, f"{path}/{_name(segment)}")
     if fs.exists(to) or not fs.rename(at, to):
