@@ -278,46 +278,64 @@ def build(docs: DataFrame, tokenise=tokens) -> Index:
     return Index(parts, terms_of(parts.filter("bucket >= 0")))
 
 
-def content_key(docs: DataFrame) -> str:
-    """Changes whenever an id or a text of docs changes; the order of rows plays no part: a count, and two sums of 64-bit hashes,
-    which tell tables apart but for accidents."""
-    h = [F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)) for x in (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))]
-    return "-".join(map(str, docs.agg(F.count(F.lit(1)), *h).first()))
+def content_key(rows: DataFrame, *columns: str) -> str:
+    """Changes whenever a value of columns, ids and texts if none are named, changes; the order of rows plays no part: a count,
+    and two sums of 64-bit hashes, which tell tables apart but for accidents."""
+    own = columns or ("doc_id", "text")
+    h = [F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)) for x in (F.xxhash64(*own), F.xxhash64(F.lit(1), *reversed(own)))]
+    return "-".join(map(str, rows.agg(F.count(F.lit(1)), *h).first()))
 
 
 _keys: dict[tuple, str] = {}
 
 
-def _scanned(docs: DataFrame):
-    """The files' relation, if docs is nothing but some of its columns, dealt out anew perhaps; else None."""
-    plan = docs._jdf.queryExecution().analyzed()
+def _scanned(rows: DataFrame):
+    """The files' relation and the source of each column, if rows is nothing but columns of files, by their own or other
+    names, and literals, dealt out anew perhaps; else None."""
+    plan = rows._jdf.queryExecution().analyzed()
+    wanted = {plan.output().apply(i).exprId().toString(): i for i in range(plan.output().size())}
+    sources: dict[int, str] = {}
     while (kind := plan.getClass().getSimpleName()) in ("Project", "Repartition", "SubqueryAlias"):
-        if kind == "Project" and any(plan.projectList().apply(i).getClass().getSimpleName() != "AttributeReference" for i in range(plan.projectList().size())):
-            return None
+        for i in range(plan.projectList().size() if kind == "Project" else 0):
+            e = plan.projectList().apply(i)
+            if e.getClass().getSimpleName() == "Alias" and e.exprId().toString() in wanted:
+                place, child = wanted.pop(e.exprId().toString()), e.child()
+                if child.getClass().getSimpleName() == "Literal":
+                    sources[place] = f"{child.dataType().json()} {child.sql()}"
+                elif child.getClass().getSimpleName() != "AttributeReference" or child.exprId().toString() in wanted:
+                    return None
+                else:
+                    wanted[child.exprId().toString()] = place
         plan = plan.children().apply(0)
-    return plan.relation() if kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" else None
+    if kind != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    own = {plan.output().apply(i).exprId().toString(): plan.output().apply(i).name() for i in range(plan.output().size())}
+    if not wanted.keys() <= own.keys():
+        return None
+    sources |= {place: own[e] for e, place in wanted.items()}
+    return plan.relation(), tuple(f"{c}: {sources[i]}" for i, c in enumerate(rows.columns))
 
 
-def _source(docs: DataFrame) -> tuple | None:
+def _source(rows: DataFrame) -> tuple | None:
     """What tells a table that is read from files: columns, schema, format, options, and paths, sizes and times of all files."""
-    found = _scanned(docs)
+    found = _scanned(rows)
     if found is None:
         return None
-    spark = docs.sparkSession
-    roots = [found.location().rootPaths().apply(i).toString() for i in range(found.location().rootPaths().size())]
+    spark, (relation, columns) = rows.sparkSession, found
+    roots = [relation.location().rootPaths().apply(i).toString() for i in range(relation.location().rootPaths().size())]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length", "modificationTime")
     listed = files.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(i), *files.columns).cast("decimal(20,0)")) for i in (1, 2)]).first()
-    return (spark.sparkContext.applicationId, tuple(docs.columns), found.dataSchema().json(), found.fileFormat().toString(), found.options().toString(), tuple(roots), tuple(listed))
+    return (spark.sparkContext.applicationId, columns, relation.dataSchema().json(), relation.fileFormat().toString(), relation.options().toString(), tuple(roots), tuple(listed))
 
 
-def _content_key(docs: DataFrame) -> str:
+def _content_key(rows: DataFrame, *columns: str) -> str:
     """content_key, remembered for as long as bare files stay what they are; any other table is read each time."""
-    source = _source(docs)
+    source = _source(rows)
     if source is None:
-        return content_key(docs)
-    if source not in _keys:
-        _keys[source] = content_key(docs)
-    return _keys[source]
+        return content_key(rows, *columns)
+    if (source, columns) not in _keys:
+        _keys[source, columns] = content_key(rows, *columns)
+    return _keys[source, columns]
 
 
 def idf_bm25(n: Column, df: Column) -> Column:

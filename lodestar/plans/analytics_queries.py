@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cells as X
 from ..operators import docstore as D
 from ..operators import metrics as M
 from ..operators import monitoring as N
@@ -27,15 +28,23 @@ def _asked(c: DataFrame) -> DataFrame:
     return c.filter(F.col("doc_id") % EVERY == 0).withColumnRenamed("doc_id", "qid")
 
 
+def dense_corpus(spark, d: str) -> DataFrame:
+    return vectors(spark, d).withColumn("scale", F.lit(1.0))
+
+
+def int8_corpus(spark, d: str) -> DataFrame:
+    q, scale = V.quantise_symmetric(F.col("v"))
+    return vectors(spark, d).select("doc_id", q.alias("v"), (scale / 127).alias("scale"))
+
+
 def _dense(spark, d: str, k: int, least: float | None = None) -> DataFrame:
-    c = vectors(spark, d).withColumn("scale", F.lit(1.0))
-    return V.top_by_dot(c, _asked(c), k, least)
+    c = dense_corpus(spark, d)
+    return X.search(c, _asked(c), k, least)
 
 
 def _int8(spark, d: str, k: int) -> DataFrame:
-    q, scale = V.quantise_symmetric(F.col("v"))
-    c = vectors(spark, d).select("doc_id", q.alias("v"), (scale / 127).alias("scale"))
-    return V.top_by_dot(c, _asked(c), k)
+    c = int8_corpus(spark, d)
+    return X.search(c, _asked(c), k)
 
 
 def dense_topk(spark, d):

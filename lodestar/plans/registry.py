@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cells as X
 from ..operators import contexts as C
 from ..operators import scoring as S
 from ..operators import vectors as V
@@ -41,7 +42,7 @@ def _vectors(quantised: bool = True, **_) -> Retriever:
         if not quantised:
             q, scale = F.col("embedding"), F.lit(127.0)
         d = docs.select("doc_id", q.alias("v"), (scale / 127).alias("scale"))
-        return V.top_by_dot(d, queries.select("qid", q.alias("v"), (scale / 127).alias("scale")), k)
+        return X.search(d, queries.select("qid", q.alias("v"), (scale / 127).alias("scale")), k)
 
     return run
 

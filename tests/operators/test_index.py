@@ -54,17 +54,22 @@ def test_only_bare_files_are_remembered(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "a"), (2, "b")], DOCS).withColumn("other", F.lit("c")).write.parquet(at)
     d, read = spark.read.parquet(at), []
     keep = I.content_key
-    monkeypatch.setattr(I, "content_key", lambda x: read.append(1) or keep(x))
-    for x in (d.select("doc_id", "text"), d.select("doc_id", "text"), d.select("doc_id", "text").repartition(3), d):
+    monkeypatch.setattr(I, "content_key", lambda *x: read.append(1) or keep(*x))
+    bare = d.select("doc_id", "text")
+    for x in (bare, bare, bare.repartition(3), d.select("doc_id", F.col("text").alias("x")).select("doc_id", F.col("x").alias("text")), d):
         assert I._content_key(x) == keep(x)
     assert len(read) == 2  # two sets of columns
-    for x in (d.withColumn("text", F.col("other")), d.select("doc_id", F.col("other").alias("text")), d.filter("doc_id = 1"), d.limit(1), d.union(d)):
+    for x in (d.withColumn("text", F.col("other")), d.select("doc_id", F.col("other").alias("text")), d.withColumn("text", F.lit("c")), d.withColumn("text", F.lit("d"))):
+        for _ in range(2):
+            assert I._content_key(x) == keep(x)
+    assert len(read) == 6
+    for x in (d.filter("doc_id = 1"), d.limit(1), d.union(d), d.withColumn("text", F.upper("text")), d.distinct()):
         assert I._content_key(x) == keep(x)
-    assert len(read) == 7
+    assert len(read) == 11
     spark.createDataFrame([(3, "a")], DOCS).withColumn("other", F.lit("c")).write.mode("append").parquet(at)
     again = spark.read.parquet(at).select("doc_id", "text")
     assert I._content_key(again) == keep(again) != I._content_key(d.limit(2))
-    assert len(read) == 9
+    assert len(read) == 13
 
 
 def zipf_texts(seed, n, words=300):
