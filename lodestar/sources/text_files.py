@@ -173,13 +173,3 @@ def unpacked(flat: DataFrame, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.ListArray.from_arrays(cut, pa.array(data))], names=["vec_id", "embedding"])
 
     return flat.select("vec_id", "bytes").mapInArrow(run, "vec_id long, embedding array<float>")
-
-
-def raw_vectors(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """vec_id, embedding of a headerless float32 file of n vectors; the file is read in splits, by record."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
-    if n == 0 or size % (4 * n):
-        raise ValueError(f"{size} bytes are no {n} vectors of float32")
-    records = spark.sparkContext.binaryRecords(path, size // n).zipWithIndex().map(lambda x: (x[1], bytes(x[0])))
-    return unpacked(spark.createDataFrame(records, "vec_id long, bytes binary"), size // n // 4)

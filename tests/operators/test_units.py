@@ -22,7 +22,7 @@ from lodestar.operators import scoring as S
 from lodestar.operators import segments as G
 from lodestar.operators import vectors as V
 from lodestar.plans import cli, experiment, registry, report
-from lodestar.sources import sinks, synthetic
+from lodestar.sources import binary, sinks, synthetic
 from lodestar.sources import text_files as L
 
 
@@ -236,7 +236,7 @@ def test_files(spark, tmp_path):
     assert {tuple(r) for r in L.load_qrels(L.lines(spark, str(q))).collect()} == {("q1", "d1", 1), ("q1", "d2", 0)}
     v = tmp_path / "v.f32"
     np.arange(12, dtype="<f4").tofile(v)
-    assert [r.embedding for r in L.raw_vectors(spark, str(v), 3).orderBy("vec_id").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
+    assert [r.embedding for r in binary.register(spark).read.format("lodestar_vectors").option("n", 3).load(str(v)).orderBy("vec_id").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
     assert len(L.checksum(spark, str(v)).first().sha256) == 64
 
 
