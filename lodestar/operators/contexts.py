@@ -10,10 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.text import clipped, cut_at_sentence, has_any, sentences, strip, tokens, ws_tokens
+from ..runtime import in_blocks
 
 RETRIEVED, FOR_READER, STORED = 10, 1000, 500
 FOR_ANSWER, FOR_FINGERPRINT = 5, 4
@@ -26,7 +26,7 @@ DEFINITION, SOURCES, INDICATION, AVAILABLE, GENERAL = (
     "Based on the information provided: ", "According to the sources, ", "The information indicates: ", "Based on the available  ", "Regarding your question: ",
 )
 #: Bytes of passages looked for in one pass over the documents.
-_PASSAGES = 16 << 20
+_PASSAGES = 2 << 20
 
 
 def contexts(run: DataFrame, docs: DataFrame, hits: int = RETRIEVED) -> DataFrame:
@@ -47,45 +47,39 @@ def hydrate(run: DataFrame, docs: DataFrame) -> DataFrame:
 def passages_held(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """qid, doc_id of each document whose text holds a query's text, letter for letter.
 
-    The passages go to the documents in blocks of _PASSAGES bytes, as an automaton that reads each text
-    once; no document is shuffled. An empty passage is in every text, a null one in none.
+    The different passages go to the documents in blocks of _PASSAGES bytes, as an Aho-Corasick automaton, of some 50 bytes
+    for a byte of passages, that reads each text once; no document is shuffled. An empty passage is in every text, a null one in none.
     """
     spark = docs.sparkSession
     own = passages.select("qid", "text").filter(F.col("text").isNotNull())
-    kinds = StructType([docs.schema["doc_id"], own.schema["qid"]])
-    total = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // _PASSAGES))
+    kinds = StructType([docs.schema["doc_id"]]).add("passage", "string")
     out = spark.createDataFrame([], kinds)
-    for i in range(n):
-        block = own.filter(F.pmod(F.xxhash64("qid", "text"), F.lit(n)) == i).collect()
-        sent = spark.sparkContext.broadcast([(r.qid, r.text) for r in block])
+    for block in in_blocks(own.select("text").distinct(), F.octet_length("text") + 16, _PASSAGES):
+        sent = spark.sparkContext.broadcast([r.text for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
-            asked: dict[str, list] = {}
-            for qid, text in sent.value:
-                asked.setdefault(text, []).append(qid)
-            always = asked.pop("", [])
+            asked = [t for t in sent.value if t]
+            always = [""] * (len(asked) < len(sent.value))
             machine = ahocorasick.Automaton()
-            for text, qids in asked.items():
-                machine.add_word(text, (text, qids))
+            for text in asked:
+                machine.add_word(text, text)
             if asked:
                 machine.make_automaton()
             for batch in batches:
                 rows: list[int] = []
-                found: list = []
+                found: list[str] = []
                 for j, text in enumerate(batch.column("text").to_pylist()):
                     if text is not None:
-                        held = {t: qids for _, (t, qids) in machine.iter(text)} if asked else {}
-                        own_ids = [*always, *[q for qids in held.values() for q in qids]]
-                        rows += [j] * len(own_ids)
-                        found += own_ids
+                        held = [*always, *({t for _, t in machine.iter(text)} if asked else ())]
+                        rows += [j] * len(held)
+                        found += held
                 ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found, to_arrow_type(kinds["qid"].dataType))], names=["doc_id", "qid"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string())], names=["doc_id", "passage"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, kinds))
-    return out.select("qid", "doc_id")
+    return out.join(own, F.col("passage") == F.col("text")).select("qid", "doc_id")
 
 
 def _first_of(ctx: DataFrame, key: Column) -> DataFrame:

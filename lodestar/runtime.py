@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest table, in rows and in bytes, that an operator hands to broadcast(); callers count first.
 BROADCAST_ROWS = 100_000
@@ -61,6 +63,20 @@ def spread(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     return df.repartition(n) if size < n * most else df
 
 
+def in_blocks(rows: DataFrame, size: Column, most: int) -> Iterator[list[Row]]:
+    """The rows of a table in lists of `most` bytes at most, or of one larger row; the driver holds about two lists at a time."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    held, n = [], 0
+    for r in rows.withColumn("_size", size).repartition(max(1, -(-total // most))).toLocalIterator():
+        if held and n + r["_size"] > most:
+            yield held
+            held, n = [], 0
+        held.append(r)
+        n += r["_size"]
+    if held:
+        yield held
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
