@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import docstore as D
 from ..operators import index as I
+from ..operators import results as R
 from ..operators import scoring as S
 from ..operators import segments as G
 from ..runtime import materialise, scratch_path
@@ -39,12 +40,20 @@ def upsert_term_stats(spark, d: str) -> DataFrame:
     return i.terms.join(F.broadcast(i.stats)).select("term", "df", F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_search, upsert_term_stats)}
+def cached_search(spark, d: str) -> DataFrame:
+    """A search of half of the queries, then of all: only the others are scored."""
+    corpus, asked = docs(spark, d), queries(spark, d)
+    R.searched(S.bm25, corpus, asked.filter("qid % 2 = 0"))
+    return R.searched(S.bm25, corpus, asked)
+
+
+QUERIES = {f.__name__: f for f in (upsert_search, upsert_term_stats, cached_search)}
 
 _FIRST = "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN reverse(text) ELSE text END AS text FROM documents UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 50 = 1"
 _SECOND = f"(SELECT doc_id, CASE WHEN doc_id % 100 IN (1, 13, 77) THEN text || ' once more' ELSE text END AS text FROM ({_FIRST}))"
 
 ORACLE_SQL = {
+    "cached_search": _RETRIEVAL["bm25_topk"],
     "upsert_search": _RETRIEVAL["bm25_topk"].replace("FROM documents", f"FROM {_SECOND}"),
     "upsert_term_stats": _RETRIEVAL["bm25_topk"].partition("s_run AS")[0].rstrip(" ,\n").replace("FROM documents", f"FROM {_SECOND}") + " SELECT term, df, n AS n_docs, round(avgdl, 6) AS avgdl FROM df, st",
 }

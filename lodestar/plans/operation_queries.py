@@ -19,7 +19,7 @@ from . import experiment as E
 from . import report, suite
 from .analytics_queries import _INT8, _LOG, _QL, _SYM, log, qrels_lines
 from .registry import readers, retrievers
-from .retrieval_queries import _CTX, _EXTRACT, _NONE, _STRIP, BASE, _any, _bm25_weight, _scored, bm25_run, docs, queries, rag_predictions
+from .retrieval_queries import _CTX, _EXTRACT, _NONE, _STRIP, BASE, WORDS, _any, _bm25_weight, _scored, bm25_run, docs, queries, rag_predictions
 from .retrieval_queries import ORACLE_SQL as _RETRIEVAL
 
 
@@ -48,16 +48,12 @@ def jsonl_round_trip(spark, d):
 
 
 def load_predictions(spark, d):
-    """A file that is one JSON array, a line an element."""
+    """Files that are JSON arrays, a line an element."""
     at = scratch_path(spark, "predictions")
-    q = table(spark, d, "benchmark").filter("item_id IS NOT NULL")
     one = F.struct(F.col("item_id").cast("string").alias("docid"), F.substring("text", 1, 20).alias("text"))
     scores = F.create_map(F.col("item_id").cast("string"), (F.col("item_id") / 4).cast("double"))
-    row = F.to_json(F.struct(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"), F.reverse("text").alias("answer"), F.array(one).alias("contexts"), scores.alias("retriever_scores")))
-    first = q.agg(F.min("item_id").alias("_first"))
-    body = q.join(F.broadcast(first)).select("item_id", F.concat(F.when(F.col("item_id") == F.col("_first"), "[").otherwise(","), row).alias("value"))
-    end = spark.createDataFrame([(1 << 62, "]")], "item_id long, value string")
-    body.unionByName(end).repartition(1).sortWithinPartitions("item_id").select("value").write.text(at)
+    q = table(spark, d, "benchmark").filter("item_id IS NOT NULL").repartition(8)
+    sinks.json_arrays(q.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"), F.reverse("text").alias("answer"), F.array(one).alias("contexts"), scores.alias("retriever_scores")), at)
     p = L.load_predictions(spark, at)
     return p.select("qid", "query", "answer", F.col("contexts")[0]["docid"].alias("docid"), F.col("contexts")[0]["text"].alias("context"), F.element_at("retriever_scores", F.col("qid")).alias("score"))
 
@@ -74,9 +70,11 @@ def validate_dataset(spark, d):
 
 
 def file_checksum(spark, d):
+    """part, SHA-256 of files with every sixteenth passage, in order."""
     at = scratch_path(spark, "checksum")
-    queries(spark, d).repartition(1).sortWithinPartitions("qid").select("text").write.text(at)
-    return L.checksum(spark, at).select("sha256")
+    own = queries(spark, d).withColumn("part", F.pmod("qid", F.lit(16))).repartition("part").sortWithinPartitions("part", "qid")
+    own.select("part", "text").write.partitionBy("part").text(at)
+    return L.checksum(spark, at).select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), "sha256")
 
 
 def vector_records(spark, d):
@@ -206,20 +204,24 @@ def hybrid_topk(spark, d):
     return retrievers.create("hybrid")(t, q, 10)
 
 
-_GRID = {"retriever.type": ["bm25", "tfidf"], "retriever.params.top_k": [5, 50], "reader.type": ["extractive", "generative", "llm"]}
+_GRID = {"retriever.type": ["bm25", "tfidf"], "retriever.params.top_k": [3, 10]}
 
 
 def ablation_grid(spark, d):
-    base = {"output_dir": "out", "experiments": [{"name": "base", "dataset": "folder", "retriever": {"type": "okapi", "params": {"k1": 1.5}}, "reader": {"type": "llm"}}]}
-    rows = []
+    """The retrievers of a grid of configurations, each run: hits, queries with a hit and the sum of scores."""
+    base = {"output_dir": "out", "experiments": [{"name": "base", "retriever": {"type": "okapi", "params": {"top_k": 1}}}]}
+    out = None
     for name, config in E.ablations(base, _GRID):
-        x = config["experiments"][0]
-        rows.append((name, x["dataset"], x["retriever"]["type"], x["retriever"]["params"]["k1"], x["retriever"]["params"]["top_k"], x["reader"]["type"]))
-    return spark.createDataFrame(rows, "name string, dataset string, retriever string, k1 double, top_k long, reader string")
+        x = config["experiments"][0]["retriever"]
+        run = retrievers.create(x["type"])(docs(spark, d), queries(spark, d), x["params"]["top_k"])
+        own = run.agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("qid").alias("queries"), F.round(F.sum(F.col("score").cast("decimal(20,6)")), 3).cast("double").alias("total"))
+        own = own.select(F.lit(name).alias("name"), "hits", "queries", "total")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 class _Counted(suite.Suite):
-    """A suite over a table, that may fail at a step."""
+    """A suite over a table: its rows and words; it fails at a step, with what it has read."""
 
     category = "tables"
 
@@ -229,35 +231,43 @@ class _Counted(suite.Suite):
     def _step(self, step: str) -> None:
         self.steps.append(step)
         if self.fails == step:
-            raise ValueError(step)
+            raise ValueError(f"{step}: {self.data.agg(F.max('doc_id')).first()[0]}")
 
     def setup(self, spark):
         self._step("setup")
 
     def run(self, spark):
         self._step("run")
-        return {"rows": self.data.count()}
+        n, words = self.data.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(T.tokens(F.col("text")))), F.lit(0))).first()
+        return {"rows": n, "words": words}
 
     def cleanup(self, spark):
         self._step("cleanup")
 
 
 def suite_runs(spark, d):
-    """Suites that go through, and that fail at each step."""
-    own = [_Counted(n, table(spark, d, n)) for n in ("documents", "benchmark")] + [_Counted(f"fails at {s}", table(spark, d, "labels"), s) for s in ("setup", "run", "cleanup")]
+    """Suites over the documents of each language that go through, and that fail at each step."""
+    t = table(spark, d, "documents").filter("lang IS NOT NULL")
+    own = [_Counted(r.lang, t.filter(F.col("lang") == r.lang)) for r in t.select("lang").distinct().orderBy("lang").collect()]  # a few languages
+    own += [_Counted(f"fails at {s}", t, s) for s in ("setup", "run", "cleanup")]
     done = suite.run_suites(spark, own)
-    rows = [(r["suite"], r["category"], ",".join(s.steps), r["figures"].get("rows"), r["error"]) for r, s in zip(done, own, strict=True)]
-    return spark.createDataFrame(rows, "suite string, category string, steps string, n long, error string")
+    rows = [(r["suite"], ",".join(s.steps), r["figures"].get("rows"), r["figures"].get("words"), r["error"]) for r, s in zip(done, own, strict=True)]
+    return spark.createDataFrame(rows, "suite string, steps string, n long, n_words long, error string")
 
 
 def measured_calls(spark, d):
-    t = docs(spark, d)
+    """Searches of each eighth of the queries, as a harness measures them: hits and failures; of these calls some fail."""
+    index, asked, hits, out = G.kept(docs(spark, d)), queries(spark, d), {}, []
 
-    def broken():
-        raise KeyError("x")
+    def call(part):
+        hits[part] = S.bm25(index, asked.filter(F.pmod("qid", F.lit(8)) == part), 5).count()
+        if part % 3 == 0:
+            raise LookupError(f"part {part} has {hits[part]} hits")
 
-    done = [("counts", E.measured(t.count)), ("adds", E.measured(lambda a, b: a + b, 1, 2)), ("breaks", E.measured(broken))]
-    return spark.createDataFrame([(n, r["error"], r["seconds"] >= 0) for n, r in done], "name string, error string, timed boolean")
+    for part in range(8):
+        m = E.measured(call, part)
+        out.append((part, hits.get(part), m["error"], m["seconds"] > 0))
+    return spark.createDataFrame(out, "part long, hits long, error string, timed boolean")
 
 
 def docstore_reopened(spark, d):
@@ -291,11 +301,11 @@ def _advice() -> str:
 
 
 def _grid() -> str:
-    rows = []
+    weights, parts = {"bm25": _bm25_weight(), "tfidf": "tf * ln(n / (df + 1))"}, []
     for r in _GRID["retriever.type"]:
         for k in _GRID["retriever.params.top_k"]:
-            rows += [f"('retriever.type={r},retriever.params.top_k={k},reader.type={x}', 'folder', '{r}', 1.5::DOUBLE, {k}::BIGINT, '{x}')" for x in _GRID["reader.type"]]
-    return ", ".join(rows)
+            parts.append(f"SELECT 'retriever.type={r},retriever.params.top_k={k}' AS name, count(*) AS hits, count(DISTINCT qid) AS queries, round(sum(score::DECIMAL(20, 6)), 3)::DOUBLE AS total FROM (WITH {_scored(weights[r], k)} SELECT * FROM run)")
+    return " UNION ALL ".join(parts)
 
 
 ORACLE_SQL = {
@@ -311,7 +321,7 @@ UNION ALL SELECT 'unknown query' FROM g WHERE qid NOT IN (SELECT item_id::VARCHA
 UNION ALL SELECT 'unknown document' FROM g WHERE doc_id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE text <> '')
 UNION ALL SELECT CASE WHEN NOT regexp_full_match(s, '[+-]?[0-9]+') THEN 'score is no integer' ELSE 'score is not 0 or 1' END FROM g WHERE NOT regexp_full_match(s, '[+-]?[0-9]+') OR s NOT IN ('0', '1'))
 SELECT 'qrels' AS file, error, count(*) AS n FROM e GROUP BY error""",
-    "file_checksum": "SELECT sha256(string_agg(text || chr(10), '' ORDER BY item_id)) AS sha256 FROM benchmark",
+    "file_checksum": "SELECT item_id % 16 AS part, sha256(string_agg(text || chr(10), '' ORDER BY item_id)) AS sha256 FROM benchmark GROUP BY 1",
     "vector_records": "SELECT vec_id, unnest(range(0, len(embedding)))::BIGINT AS i, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings",
     "index_reload": f"WITH {BASE} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term",
     "predictions_sink": f"WITH {_EXTRACT} SELECT b.item_id AS qid, answer, doc_ids, best_score FROM benchmark b JOIN ans ON ans.qid = b.item_id LEFT JOIN (SELECT qid, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, max(score) AS best_score FROM run GROUP BY qid) h ON h.qid = b.item_id",
@@ -350,10 +360,13 @@ UNION ALL SELECT 'first_context', b.item_id, {_CUT.format('first')} FROM benchma
   SELECT a.doc_id AS qid, b.doc_id, round({_INT8}, 6) AS score FROM q a JOIN q b ON true WHERE a.doc_id IN (SELECT item_id FROM benchmark) AND b.doc_id IN (SELECT doc_id FROM documents))) WHERE rank <= 50),
 h AS (SELECT qid, doc_id, round(sum(w), 6) AS score FROM (SELECT qid, doc_id, 0.3::DOUBLE / rank AS w FROM rs UNION ALL SELECT qid, doc_id, 0.7::DOUBLE / rank FROM rv) GROUP BY ALL)
 SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
-    "ablation_grid": f"SELECT * FROM (VALUES {_grid()}) t(name, dataset, retriever, k1, top_k, reader)",
-    "suite_runs": """SELECT 'documents' AS suite, 'tables' AS category, 'setup,run,cleanup' AS steps, (SELECT count(*) FROM documents) AS n, NULL::VARCHAR AS error
-UNION ALL SELECT 'benchmark', 'tables', 'setup,run,cleanup', (SELECT count(*) FROM benchmark), NULL UNION ALL SELECT 'fails at setup', 'tables', 'setup,cleanup', NULL, 'ValueError: setup'
-UNION ALL SELECT 'fails at run', 'tables', 'setup,run,cleanup', NULL, 'ValueError: run' UNION ALL SELECT 'fails at cleanup', 'tables', 'setup,run,cleanup', (SELECT count(*) FROM labels), 'ValueError: cleanup'""",
-    "measured_calls": "SELECT * FROM (VALUES ('counts', NULL::VARCHAR, true), ('adds', NULL, true), ('breaks', 'KeyError: ''x''', true)) t(name, error, timed)",
+    "ablation_grid": _grid(),
+    "suite_runs": rf"""WITH w AS (SELECT lang, count(*) AS n, sum(len(regexp_extract_all(lower(coalesce(text, '')), {WORDS})))::BIGINT AS n_words FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT lang AS suite, 'setup,run,cleanup' AS steps, n, n_words, NULL::VARCHAR AS error FROM w
+UNION ALL SELECT 'fails at setup', 'setup,cleanup', NULL, NULL, 'ValueError: setup: ' || (SELECT max(doc_id) FROM documents WHERE lang IS NOT NULL)
+UNION ALL SELECT 'fails at run', 'setup,run,cleanup', NULL, NULL, 'ValueError: run: ' || (SELECT max(doc_id) FROM documents WHERE lang IS NOT NULL)
+UNION ALL SELECT 'fails at cleanup', 'setup,run,cleanup', (SELECT sum(n)::BIGINT FROM w), (SELECT sum(n_words)::BIGINT FROM w), 'ValueError: cleanup: ' || (SELECT max(doc_id) FROM documents WHERE lang IS NOT NULL)""",
+    "measured_calls": f"""WITH {_scored(_bm25_weight(), 5)}, h AS (SELECT part, count(run.doc_id) AS hits FROM (SELECT unnest(range(8)) AS part) LEFT JOIN run ON run.qid % 8 = part GROUP BY part)
+SELECT part, hits, CASE WHEN part % 3 = 0 THEN 'LookupError: part ' || part || ' has ' || hits || ' hits' END AS error, true AS timed FROM h""",
     "docstore_reopened": "WITH n AS (SELECT doc_id + 100 AS doc_id, reverse(text) AS text FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, md5(text) AS text_md5 FROM n UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,21 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(*slim).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """A folder of files, each one JSON array, an element a line: as many as df has partitions with rows."""
+
+    def run(batches):
+        first = True
+        for b in batches:
+            lines = [("[" if first and not i else ",") + x for i, x in enumerate(b.column("value").to_pylist())]
+            first = first and not lines
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

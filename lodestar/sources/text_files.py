@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..runtime import shipped
 
+#: Bytes of a file that is read at once for its checksum, at most.
+WHOLE = 256 << 20
 #: Field names in order of preference.
 DOC_IDS, DOC_TEXTS = ("id", "_id", "doc_id", "docid"), ("text", "content", "body", "passage", "document")
 QUERY_IDS, QUERY_TEXTS = ("id", "_id", "query_id", "qid"), ("text", "query", "title", "question", "body")
@@ -126,26 +129,46 @@ def validate_qrels(rows: DataFrame, qids: DataFrame, doc_ids: DataFrame) -> Data
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one JSON array of predictions."""
+    """Files of predictions, each one JSON array; a task reads a file."""
     kind = "qid STRING, query STRING, answer STRING, contexts ARRAY<STRUCT<docid: STRING, text: STRING>>, retriever_scores MAP<STRING, DOUBLE>"
     return spark.read.schema(kind).option("multiLine", True).json(path)
 
 
 def checksum(spark: SparkSession, path: str) -> DataFrame:
-    """path, SHA-256 of each file of a folder, or of one file; a file is read as a stream, whatever its size."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    for status in fs.listStatus(at):
-        name = status.getPath().getName()
-        if status.isFile() and not name.startswith(("_", ".")):
-            stream = fs.open(status.getPath())
-            try:
-                out.append((status.getPath().toString(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-            finally:
-                stream.close()
-    return spark.createDataFrame(out, "path string, sha256 string")
+    """path, SHA-256 of each file of a folder, those below it too, or of one file. Files are dealt to tasks; those of more than WHOLE
+    bytes are read as streams, in the filesystems of pyarrow."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.filter(F.col("length") <= WHOLE).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > WHOLE).select("path")
+    large = shipped(large).repartition("path").mapInArrow(_streamed, "path string, sha256 string")
+    found = small.unionByName(large)
+    if len(files.inputFiles()) > files.select("path").count():  # empty files have no row there
+        at, empty = spark._jvm.org.apache.hadoop.fs.Path(path), []
+        own = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while own.hasNext():
+            status = own.next()
+            if not status.getLen() and not status.getPath().getName().startswith(("_", ".")):
+                empty.append((status.getPath().toString(),))
+        found = found.unionByName(spark.createDataFrame(empty, "path string").withColumn("sha256", F.sha2(F.lit(b""), 256)))
+    return found
+
+
+def _streamed(batches):
+    import hashlib
+
+    import pyarrow as pa
+
+    from .binary import _fs
+
+    for b in batches:
+        rows = []
+        for path in b.column("path").to_pylist():
+            own, (fs, at) = hashlib.sha256(), _fs(path)
+            with fs.open_input_stream(at) as f:
+                while piece := f.read(1 << 22):
+                    own.update(piece)
+            rows.append(own.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(rows, pa.string())], names=["path", "sha256"])
 
 
 def packed(vectors: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens
 from lodestar.operators import index as I
+from lodestar.operators import results as R
 from lodestar.operators import scoring as S
 from lodestar.operators import segments as G
 
@@ -204,3 +205,23 @@ def test_the_second_writer_of_a_segment_fails(spark, tmp_path):
     assert [r.doc_id for r in G.load(spark, str(tmp_path), "own").postings.collect()] == [1]
     with pytest.raises(FileExistsError):
         G._publish(I.parts_of(d, tokens), None, f"{tmp_path}/own", (0, 0))
+
+
+def test_queries_asked_before_are_not_scored(spark, monkeypatch):
+    scored = []
+
+    def search(index, queries, k, k1=1.2):
+        scored.append(queries.count())
+        return S.bm25(index, queries, k, k1)
+
+    d = spark.createDataFrame([(i, f"word{i} common {'rare' * (i == 3)}") for i in range(40)] + [(90, None)], DOCS)
+    q = spark.createDataFrame([(1, "rare word5"), (2, "no hits"), (3, None), (4, "rare word5")], "qid long, text string")
+    ask = lambda docs, queries, **x: sorted(map(tuple, R.searched(search, docs, queries, 3, **x).collect()))
+    want = sorted(map(tuple, S.bm25(d, q, 3).collect()))
+    assert ask(d, q) == want and want and scored == [3]
+    assert ask(d, q) == want and scored == [3]  # none again
+    more = q.union(spark.createDataFrame([(5, "word7")], q.schema))
+    assert ask(d, more) == sorted(map(tuple, S.bm25(d, more, 3).collect())) and scored == [3, 1]
+    assert ask(d, q, k1=2.0) == sorted(map(tuple, S.bm25(d, q, 3, 2.0).collect())) and scored == [3, 1, 3]
+    changed = d.withColumn("text", F.concat("text", F.lit(" word5")))
+    assert ask(changed, q) == sorted(map(tuple, S.bm25(changed, q, 3).collect())) and scored == [3, 1, 3, 3]  # another corpus: all
