@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import ws_tokens
+from .index import sized
+
+#: Folders of a saved store, and ids that a look-up gives to the scan one by one, at most.
+BUCKETS, LISTED = 64, 200
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -78,10 +83,39 @@ def missing_refs(docs: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataF
     return d.unionByName(q)
 
 
-def save(docs: DataFrame, path: str, level: str = "zstd", files: int | None = None) -> None:
-    """Write the store as compressed Parquet; files rewrites it into so many."""
-    (docs if files is None else docs.repartition(files)).write.mode("overwrite").option("compression", level).parquet(path)
+def save(docs: DataFrame, path: str, level: str = "zstd", files: int | None = None, buckets: int = BUCKETS) -> None:
+    """Write the store as compressed Parquet, a folder for each bucket of ids, by id within, with a Bloom filter of the ids
+    in each row group; files: into how many a bucket is written. Null ids have a bucket of their own."""
+    own = docs.withColumn(_BUCKET, bucket_of(F.col("doc_id"), buckets))
+    deal = [_BUCKET] if not files or files == 1 else [_BUCKET, F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(files))]
+    write = own.repartition(*deal).sortWithinPartitions(_BUCKET, "doc_id").write.mode("overwrite").partitionBy(_BUCKET)
+    write.option("compression", level).option("parquet.bloom.filter.enabled#doc_id", "true").parquet(path)
+
+
+_BUCKET = "_bucket"
+
+
+def bucket_of(doc_id: Column, buckets: int) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(buckets)), F.lit(buckets)).cast("int")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(_BUCKET)
+
+
+def find(spark: SparkSession, path: str, wanted: DataFrame | list, buckets: int = BUCKETS) -> DataFrame:
+    """The documents of a saved store with the wanted ids (doc_id, or a list): only their buckets are read, and of these, for
+    LISTED ids or fewer, only the row groups whose Bloom filter or range may have one. Each document once."""
+    store = spark.read.parquet(path)
+    if not isinstance(wanted, list):
+        own = sized(wanted.select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()).withColumn("_b", bucket_of(F.col("_id"), buckets))
+        return store.join(own, (F.col(_BUCKET) == F.col("_b")) & (F.col("doc_id") == F.col("_id")), "left_semi").drop(_BUCKET)
+    if not wanted:
+        return store.limit(0).drop(_BUCKET)
+    kind = store.schema["doc_id"].dataType
+    at = spark.createDataFrame([(x,) for x in wanted], StructType([StructField("doc_id", kind)])).select(bucket_of(F.col("doc_id"), buckets)).distinct()
+    found = F.lit(False)
+    for i in range(0, len(wanted), 10):  # so many values of a list reach the scan one by one
+        found = found | F.col("doc_id").isin(wanted[i : i + 10])
+    found = found if len(wanted) <= LISTED else F.col("doc_id").isin(wanted)
+    return store.filter(F.col(_BUCKET).isin([r[0] for r in at.collect()]) & found).drop(_BUCKET)

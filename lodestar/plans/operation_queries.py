@@ -270,6 +270,14 @@ def measured_calls(spark, d):
     return spark.createDataFrame(out, "part long, hits long, error string, timed boolean")
 
 
+def docstore_lookup(spark, d):
+    """Documents of a saved store by id: buckets of other ids are not read."""
+    at = scratch_path(spark, "store")
+    D.save(docs(spark, d), at)
+    wanted = table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"))
+    return D.find(spark, at, wanted).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def docstore_reopened(spark, d):
     """A store that is saved, opened, added to and rewritten keeps its old documents."""
     at, to, t = scratch_path(spark, "store"), scratch_path(spark, "store"), docs(spark, d)
@@ -285,7 +293,7 @@ QUERIES = {
         title_text, bm25_okapi_titled, load_qrels_strict, jsonl_round_trip, load_predictions, validate_dataset, file_checksum, vector_records, index_reload,
         predictions_sink, report_markdown, report_csv, query_log_sink, experiment_counts, overall_grades, recommendations, index_scaling, size_estimate,
         build_time_estimate, first_context, generative_simple, llm_placeholder, registry_runs, registry_readers, hybrid_topk, ablation_grid, suite_runs,
-        measured_calls, docstore_reopened,
+        measured_calls, docstore_reopened, docstore_lookup,
     )
 }
 
@@ -368,5 +376,6 @@ UNION ALL SELECT 'fails at run', 'setup,run,cleanup', NULL, NULL, 'ValueError: r
 UNION ALL SELECT 'fails at cleanup', 'setup,run,cleanup', (SELECT sum(n)::BIGINT FROM w), (SELECT sum(n_words)::BIGINT FROM w), 'ValueError: cleanup: ' || (SELECT max(doc_id) FROM documents WHERE lang IS NOT NULL)""",
     "measured_calls": f"""WITH {_scored(_bm25_weight(), 5)}, h AS (SELECT part, count(run.doc_id) AS hits FROM (SELECT unnest(range(8)) AS part) LEFT JOIN run ON run.qid % 8 = part GROUP BY part)
 SELECT part, hits, CASE WHEN part % 3 = 0 THEN 'LookupError: part ' || part || ' has ' || hits || ' hits' END AS error, true AS timed FROM h""",
+    "docstore_lookup": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT doc_id * 2 FROM labels)",
     "docstore_reopened": "WITH n AS (SELECT doc_id + 100 AS doc_id, reverse(text) AS text FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, md5(text) AS text_md5 FROM n UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)",
 }

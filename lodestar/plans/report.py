@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import docstore as D
 from ..operators import metrics as M
+from ..sources import one_pass as P
 from ..sources import text_files as L
 
 
@@ -41,17 +42,13 @@ def errors(predictions: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def validate(spark: SparkSession, path: str) -> tuple[bool, DataFrame, DataFrame | None]:
-    """(valid, errors with their file, statistics or None). Errors of corpus or queries end the validation."""
-    kinds = {}
-    for name in ("corpus", "queries"):
-        rows = L.lines(spark, f"{path}/{name}.jsonl").filter(F.trim("line") != "")
-        bad = L.validate_jsonl(rows)
-        kinds[name] = (bad if not bad.isEmpty() else L.validate_records(rows)).select(F.lit(name).alias("file"), "ord", "error")
-    found = kinds["corpus"].unionByName(kinds["queries"])
-    if not found.isEmpty():
-        return False, found, None
-    docs, queries = L.load_corpus(L.lines(spark, f"{path}/corpus.jsonl")), L.load_queries(L.lines(spark, f"{path}/queries.jsonl"))
-    rows = L.lines(spark, f"{path}/qrels/test.tsv").filter("line <> ''")
+    """(valid, errors with their file, statistics or None). Errors of corpus or queries end the validation. Each file is read once."""
+    own = {"corpus": P.scan(spark, f"{path}/corpus.jsonl"), "queries": P.scan(spark, f"{path}/queries.jsonl", L.QUERY_IDS, L.QUERY_TEXTS, ())}
+    if any(x.malformed or x.invalid for x in own.values()):
+        parts = [x.errors.select(F.lit(name).alias("file"), "ord", "error") for name, x in own.items()]
+        return False, parts[0].unionByName(parts[1]), None
+    docs, queries = P.corpus(own["corpus"]), P.queries(own["queries"])
+    rows = P.lines(spark, f"{path}/qrels/test.tsv").filter("line <> ''")
     found = L.validate_qrels(rows, queries, docs).select(F.lit("qrels").alias("file"), "ord", "error")
     return found.isEmpty(), found, D.dataset_stats(docs, queries, L.load_qrels(rows))
 
