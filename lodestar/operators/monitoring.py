@@ -127,6 +127,23 @@ def latency_percentiles(log: DataFrame, *by: str) -> DataFrame:
     return _with(log.groupBy(*by).agg(F.round(F.avg("latency_ms"), 2).alias("mean_ms")), tails, by)
 
 
+#: Size of a quantile sketch, and the rank error that its quantiles keep to, merged or not, as a share of the rows.
+SKETCH, SKETCH_ERROR = 1024, 0.006
+
+
+def daily_sketches(log: DataFrame, *by: str) -> DataFrame:
+    """by, day, n, and a mergeable sketch of the successes' latencies: a row a day, some kilobytes, whatever the log's size."""
+    ok = log.filter(~F.col("failed") & F.col("latency_ms").isNotNull()).withColumn("day", F.to_date("ts"))
+    return ok.groupBy(*by, "day").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH)).alias("sketch"))
+
+
+def sketched_percentiles(days: DataFrame, ps: tuple[float, ...] = (0.5, 0.95, 0.99), *by: str) -> DataFrame:
+    """by, n, p, v: of any days of daily_sketches, merged, values of about rank p, within SKETCH_ERROR."""
+    all_ = days.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s")).filter("n > 0")
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("_s", F.lit(p)).alias("v")) for p in ps])).alias("_x")
+    return all_.select(*by, "n", each).select(*by, "n", "_x.p", "_x.v")
+
+
 def timing_stats(log: DataFrame, *by: str) -> DataFrame:
     """Mean, both deviations, extremes, p95."""
     base = log.groupBy(*by).agg(

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import bisect
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import monitoring as N
 from lodestar.operators.index import build
 from lodestar.streaming import query_log as Q
 
@@ -36,3 +40,42 @@ def test_postings_of_arriving_documents(spark, tmp_path):
     Q.append_postings(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id", "term", "tf").collect())
     assert got == sorted(tuple(r) for r in build(docs).postings.select("doc_id", "term", "tf").collect())
+
+
+def test_rolling_means_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    """Rows come out of order, in several batches, and the stream is started anew between them."""
+    d = spark.range(400).select(
+        F.timestamp_seconds(F.col("id") * 20 + F.col("id") % 3).alias("ts"), (F.col("id") % 3).alias("user_id"), F.col("id").alias("query_id"), (F.col("id") * 7 % 31).cast("double").alias("latency_ms"), (F.col("id") % 10 == 0).alias("failed")
+    )
+    at, to = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(3):
+            own = d.filter((F.col("query_id") >= 150 * part) & (F.col("query_id") < 150 * (part + 1)))
+            own.orderBy(F.xxhash64("query_id")).coalesce(1).write.mode("append").parquet(at)
+            if part == 2:  # a late success of all keys moves the watermark past the rest
+                last = spark.range(3).select(F.timestamp_seconds(F.lit(10**6)).alias("ts"), F.col("id").alias("user_id"), (F.col("id") + 10**6).alias("query_id"), F.lit(1.0).alias("latency_ms"), F.lit(False).alias("failed"))
+                last.coalesce(1).write.mode("append").parquet(at)
+            q = Q.rolling(Q.read_log(spark, at, d.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1), last=5)
+            q = q.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/checkpoint").format("parquet").option("path", to).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {(r.user_id, r.query_id): r.rolling_ms for r in spark.read.parquet(to).collect() if r.query_id < 10**6}
+    w = Window.partitionBy("user_id").orderBy("ts", "query_id").rowsBetween(-4, 0)
+    want = {(r.user_id, r.query_id): r.m for r in d.filter(~F.col("failed")).withColumn("m", F.avg("latency_ms").over(w)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sketches_keep_to_their_error(spark):
+    n = 60_000
+    d = spark.range(n).select(F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.exp(F.rand(5) * 9).alias("latency_ms"), (F.col("id") % 50 == 0).alias("failed")).cache()
+    days = N.daily_sketches(d)
+    assert days.count() == 7 and days.agg(F.sum("n")).first()[0] == n * 49 // 50
+    some = days.filter("day >= '1970-01-03'")
+    for own, from_ in ((days, 0), (some, 2 * 86400)):
+        values = sorted(r.latency_ms for r in d.filter(~F.col("failed") & (F.col("ts") >= F.timestamp_seconds(F.lit(from_)))).collect())
+        for r in N.sketched_percentiles(own, (0.01, 0.25, 0.5, 0.95, 0.99)).collect():
+            assert r.n == len(values)
+            assert abs(bisect.bisect_right(values, r.v) / len(values) - r.p) <= N.SKETCH_ERROR
+    assert N.sketched_percentiles(days.limit(0)).collect() == []
