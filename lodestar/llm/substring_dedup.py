@@ -229,8 +229,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     kmers = scanned.select("order", "key", F.inline(F.arrays_zip(F.col("mins").alias("min"), F.col("starts").alias("start"), F.col("counts").alias("count"))))
     kmers = kmers.toDF("order", "key", "min", "start", "count")
     shared = kmers.groupBy("min").agg(F.min("order").alias("lo"), F.max("order").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = materialise(shared.filter("lo < hi").select(F.col("min").alias("_min"), (F.col("n") > HOT).alias("hot")), "shared-minimisers")
-    found = kmers.join(shared, F.col("min") == F.col("_min"))
+    shared = materialise(shared.filter("lo < hi").select("min", "n", (F.col("n") > HOT).alias("hot")), "shared-minimisers")
+    found = looked_up(kmers, "min", shared.select("min", "hot"), shared.select("min", "n"))  # boilerplate has few minimisers, of a row for each document
     found = found.groupBy("order", "key").agg(F.collect_set(F.struct("min", "start", "count", "hot")).alias("found"))
     texts = materialise(rows.select("order", "key", "text").join(found, ["order", "key"]), "with-repeats")
     kinds = "bucket long, pid binary, packed binary, order long, key long, start int"
