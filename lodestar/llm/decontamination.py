@@ -15,9 +15,9 @@ one of them is in every leak. Seeds that hit near one diagonal open a passage, a
 through them can be. A passage that holds fewer of the item's words, or seeds, than a leak must
 have is passed over; the others are aligned. So no alignment at THRESHOLD is lost.
 
-The items are broadcast in blocks of BLOCK_BYTES of text, one block after
+The different items are broadcast in blocks of BLOCK_BYTES of text, one block after
 another, so what is sent has a bound whatever the size of the benchmark; each block is
-held against all documents, and none depends on another. Documents
+held against all documents, and which items share a block changes no column. Documents
 are never shuffled. Null and empty texts and items match nothing, nor do items of
 fewer than MIN_WORDS words. Repeated rows are judged each, whatever their id; repeated
 items give rows each. Of equal scores the first passage is reported. Empty tables give none.
@@ -26,7 +26,6 @@ Texts of any length are scanned whole, and other columns play no part, whatever
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import shipped, table
+from ..runtime import in_blocks, shipped, table
 from .scan import packed_words, slices, text_bytes, word_spans
 
 THRESHOLD = 0.5
@@ -163,11 +162,15 @@ class Items:
             out[own] = np.add.reduceat(held & (next_ < len(spot)), shift, dtype=np.int64)
         return out
 
+    def _seeds(self, item: np.ndarray, text: np.ndarray) -> int:
+        """How many pairs of neighbours in item, those that open no passage too, text has at a distance of one or two words."""
+        there = [self.pair(text[:-d], text[d:])[(text[:-d] >= 0) & (text[d:] >= 0)] for d in (1, 2)]
+        return int(np.count_nonzero(np.isin(self.pair(item[:-1], item[1:]), np.concatenate(there))))
+
     def _seeded(self, item: np.ndarray, text: np.ndarray) -> bool:
-        """Whether text has as many seeds of item, those left out too, as an alignment at the threshold."""
+        """Whether text has as many seeds of item as an alignment at the threshold."""
         need = int(seeds_needed(np.array(len(item)), self.threshold))
-        there = [self.pair(text[:-d], text[d:])[(text[:-d] >= 0) & (text[d:] >= 0)] for d in (1, 2)]
-        return need == 1 or np.count_nonzero(np.isin(self.pair(item[:-1], item[1:]), np.concatenate(there))) >= need
+        return need == 1 or self._seeds(item, text) >= need
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple]:
         """(text number, item number, score, seeds, first word, last word) of texts that hold an item."""
@@ -203,27 +206,27 @@ class Items:
             score, s, e = align(own, passage)
             share = score / (MATCH * int(size[i]))
             if share >= threshold and share > best.get((d, i), (0.0,))[0]:
-                best[d, i] = (share, b - a, begin + s, begin + e - 1)
+                best[d, i] = (share, self._seeds(own, passage[s:e]), begin + s, begin + e - 1)
         for (d, i), found in sorted(best.items()):
             yield (d, i, *found)
 
 
 def blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
-    """The items, BLOCK_BYTES of text at a time; an item of no words is left out."""
-    own = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    total = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, math.ceil(2 * total / BLOCK_BYTES))
-    for i in range(n):
-        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        if rows:
-            yield Items([r.item_id for r in rows], [r.text for r in rows], threshold)
+    """The different items, BLOCK_BYTES of text at a time; their texts are their ids. One larger item makes a block of its own."""
+    own = benchmark.select("text").filter(F.length("text") > 0).distinct()
+    for rows in in_blocks(own, F.octet_length("text") + 16, BLOCK_BYTES):
+        texts = sorted(r.text for r in rows)
+        yield Items(texts, texts, threshold)
 
 
-_FOUND = "item_id long, score double, n_seeds long, first_word long, last_word long"
+_FOUND = "item string, score double, n_seeds long, first_word long, last_word long"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, n_seeds, first_word, last_word of every leaked item; clean documents have no row."""
+    """doc_id, item_id, score, n_seeds, first_word, last_word of every leaked item; clean documents have no row.
+
+    n_seeds: the item's pairs of neighbours that the passage from first_word to last_word has at one or two words' distance.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     out = spark.createDataFrame([], f"doc_id long, {_FOUND}")
@@ -237,12 +240,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                     found = list(own.leaks(part.column("text")))
                     d, i, *rest = zip(*found, strict=True) if found else [()] * 6
                     kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                    cols = [part.column("doc_id").take(pa.array(d, pa.int64())), pa.array([own.ids[x] for x in i], pa.int64())]
+                    cols = [part.column("doc_id").take(pa.array(d, pa.int64())), pa.array([own.ids[x] for x in i], pa.string())]
                     cols += [pa.array(x, t) for x, t in zip(rest, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item", "score", "n_seeds", "first_word", "last_word"])
 
         out = out.unionByName(shipped(docs).mapInArrow(run, f"doc_id long, {_FOUND}"))
-    return out
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    return out.join(named, "item").select("doc_id", "item_id", "score", "n_seeds", "first_word", "last_word")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -76,6 +76,19 @@ def test_planted_copies_and_clean_documents(tables, block, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows} - {d for d, _ in planted})
 
 
+def test_rows_do_not_depend_on_the_block(spark, tables, monkeypatch):
+    docs, bench, _, _, items = tables
+    again = bench.unionByName(bench.filter("item_id < 3")).unionByName(spark.createDataFrame([(500, items[0][1]), (None, items[1][1])], bench.schema))
+    whole = sorted(map(tuple, dc.leaks(docs, again).collect()), key=repr)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 400)
+    assert sorted(map(tuple, dc.leaks(docs, again).collect()), key=repr) == whole
+    one = {r[0] for r in whole if r[1] == 0}
+    assert len(one) and sum(r[1] == 0 for r in whole) == 2 * len(one) and {r[0] for r in whole if r[1] == 500} == one
+    alone = sorted(map(tuple, dc.leaks(docs, bench.filter("item_id = 0")).collect()))
+    assert alone == sorted({r for r in whole if r[1] == 0})
+    assert all(0 < r[3] <= len(words(items[0][1])) - 1 for r in alone)
+
+
 def test_empty(spark, tables):
     docs, bench, *_ = tables
     assert dc.leaks(docs.limit(0), bench).collect() == []
