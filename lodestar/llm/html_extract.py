@@ -2,11 +2,12 @@
 
 A page is cut into flat blocks of text between block-level tags. Each block is
 described by its word count and link density, those of the blocks before and
-after it, and by where it lies: in an article, in a heading, in a zone by its tag (menu, footer,
-form, hidden), and in how far the names (class, id, role) around it tell of one: wholly,
+after it, the most words of a block near by, and by where it lies: in an article, in a heading, in a zone by its tag (menu, footer,
+form, hidden), and in how far the names (class, id, role) of its own element and of those around it tell of one: wholly,
 in part, or not. A decision tree, grown by Gini impurity on blocks drawn from the small labelled table
-below, says which blocks are main text. Names in part, and pages without an article, are
-decided by the words and links of a block and its neighbours.
+below, says which blocks are main text. Names in part, names that an article's sections bear as well (discussion, notice,
+menu), and pages without an article, are decided by the words and links of a block and its neighbours; a very long block among
+long ones outvotes any name. Hidden words within a block are no part of it.
 
 A null html is empty; a page without main text gives an empty text. Markup may be
 cut anywhere or left unclosed: an unclosed button, picture or the like ends where the next block
@@ -62,6 +63,11 @@ _ZONES = set(
     "share sharing social newsletter subscribe subscription signup login signin".split()
 )
 _WEAK = set("follow foot form forms more response search shares tag tags teaser teasers toc".split())
+#: Of the zones' names those that sections of an article bear as well, so that its words and links decide.
+_SECTIONS = set(
+    "alert dialog discussion discussions header menu menus notice notices overlay popular promotion promotions rail reactions related replies reply "
+    "respond responses social subscription subscriptions trending".split()
+)
 _NEUTRAL = set(
     "area articles bar block body bottom box btn buttons center class col collapse column container content d desktop fixed footer full global group header "
     "holder hidden i icons id in inner item items js l large left links list lists lower m main mobile module nav news of on outer overview page pages panel "
@@ -69,6 +75,7 @@ _NEUTRAL = set(
 ) - {"text", "of"}
 _HEADERS = {"header", "masthead"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Names that tell of a zone elsewhere: has-sidebar, no-sidebar.
 _MODIFIER = re.compile(r"(?<![A-Za-z])(?:has|no|with|without|hide|show)[-_]+[\w-]+", re.IGNORECASE)
 
@@ -91,7 +98,8 @@ def _named(value: str, in_article: bool) -> float:
     for name in _MODIFIER.sub(" ", value).split():
         words = {w.lower() for w in _WORD.findall(name)}
         if words & zones:
-            best = max(best, 1.0 if words <= zones | _WEAK | _NEUTRAL else 0.5)
+            sure = words <= zones | _WEAK | _NEUTRAL and not (in_article and words & zones <= _SECTIONS)
+            best = max(best, 1.0 if sure else 0.5)
         elif words & _WEAK and words <= _WEAK | _NEUTRAL:
             best = max(best, 0.5)
     return best
@@ -106,7 +114,7 @@ def _zone(tag: str, attrs: str, in_article: bool) -> tuple[bool, float]:
     named = 0.0
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return True, 0.0
         if key in ("class", "id", "role"):
             if tag in ("article", "main") and {w.lower() for w in _WORD.findall(value)} & {"article", "main", "content", "post", "entry"}:
@@ -170,17 +178,20 @@ def blocks(page: str) -> list[Block]:
     articles = links = heading = 0
     text: list[str] = []
     linked: list[str] = []
+    own_zone, own_named = False, 0.0  # of the paragraph or heading that is open
     closers = _Closers(page)
 
     def flush() -> None:
+        nonlocal own_zone, own_named
         if text:
             own = " ".join(html.unescape("".join(text)).split())
             if own:
                 n = own.count(" ") + 1
                 k = len(html.unescape(" ".join(linked)).split())
-                out.append(Block(own, n, min(1.0, k / n), False, 0.0, articles > 0, heading > 0))
+                out.append(Block(own, n, min(1.0, k / n), own_zone, own_named, articles > 0, heading > 0))
             text.clear()
             linked.clear()
+        own_zone, own_named = False, 0.0
 
     def close() -> str:
         nonlocal articles
@@ -221,16 +232,20 @@ def blocks(page: str) -> list[Block]:
                     links = 0
                     while close() != tag:
                         pass
-        elif tag == "a":
-            links = 1
         elif tag == "br":
             text.append(" ")
+        elif tag not in _BLOCK and m[4].strip("> /") and _zone(tag, m[4], articles > 0)[0]:  # hidden words within a block
+            at = closers.end(tag, at)
+        elif tag == "a":
+            links = 1
         elif tag in _BLOCK:
             flush()
             heading = int(tag[0] == "h" and tag[1:].isdigit())
             if tag == "h1" and first_heading < 0:
                 first_heading = m.start()
-            if tag in _HOLDERS and not m[4].rstrip().endswith("/>"):
+            if tag not in _HOLDERS:
+                own_zone, own_named = _zone(tag, m[4], articles > 0)
+            elif not m[4].rstrip().endswith("/>"):
                 if tag in ("li", "dd", "dt", "tr", "td", "th") and open_ and open_[-1][0] == tag:
                     close()
                 a = tag in ("article", "main")
@@ -265,54 +280,65 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "zone", "named", "article", "heading")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "zone", "named", "article", "heading", "words_before", "words_after")
+#: How many blocks before and after one are looked at for the most words of one that is no list of links and no zone.
+AROUND = 4
+#: Link density from which a block is a list of links.
+LINKED = 0.3
 
 # The labelled table: kinds of block, one a line: how common it is, its features as above, then 1 for main text. A
 # feature is a number, a span of numbers or *, any; DRAWS blocks of each kind are drawn for each unit of the first.
 _LABELLED = """
-20  *       *       *       *       *       *       1 *   * * 0
-20  *       *       *       *       *       *       0 1   * * 0
-24  1..300  0..0.4  *       *       *       *       0 0   1 * 1
-2   1..80   0.5..1  8..200  0..0.3  8..200  0..0.3  0 0   1 0 1
-2   10..80  0.5..1  *       *       *       *       0 0   1 0 1
-2   1..6    0.8..1  1..6    0.8..1  *       *       0 0   1 * 0
-2   1..6    0.8..1  *       *       1..6    0.8..1  0 0   1 * 0
-2   1..6    0.8..1  0       0       *       *       0 0   1 0 0
-6   12..300 0..0.4  *       *       *       *       0 0.5 1 0 1
-2   1..11   0..0.4  20..200 0..0.3  20..200 0..0.3  0 0.5 1 * 1
-2   1..11   *       0..14   *       *       *       0 0.5 1 0 0
-2   1..11   *       *       *       0..14   *       0 0.5 1 * 0
-2   1..80   0.6..1  *       *       *       *       0 0.5 1 * 0
-12  16..300 0..0.4  *       *       *       *       0 0   0 0 1
-2   8..15   0..0.4  16..200 0..0.3  *       *       0 0   0 0 1
-2   8..15   0..0.4  *       *       18..200 0..0.3  0 0   0 0 1
-2   1..7    0..0.4  16..200 0..0.3  16..200 0..0.3  0 0   0 0 1
-2   1..7    *       0..12   *       *       *       0 0   0 0 0
-2   1..7    *       *       *       0..12   *       0 0   0 0 0
-2   8..15   *       0..14   *       0..14   *       0 0   0 0 0
-2   1..25   0..0.4  *       *       16..200 0..0.3  0 0   0 1 1
-2   1..25   0..0.4  *       *       4..15   0..0.3  0 0   0 1 1
-2   1..25   *       *       *       0..3    *       0 0   0 1 0
-2   1..25   *       *       *       1..15   0.6..1  0 0   0 1 0
-2   1..25   0.6..1  *       *       0..15   *       0 0   0 1 0
-2   1..80   0.6..1  0..12   *       *       *       0 0   0 0 0
-2   1..80   0.6..1  *       *       0..12   *       0 0   0 0 0
-2   1..80   0.6..1  *       0.6..1  *       *       0 0   0 0 0
-2   1..80   0.6..1  *       *       *       0.6..1  0 0   0 0 0
-2   1..80   0.6..1  25..200 0..0.3  25..200 0..0.3  0 0   0 0 1
-6   25..300 0..0.4  *       *       *       *       0 0.5 0 0 1
-2   1..20   0..0.4  25..200 0..0.3  25..200 0..0.3  0 0.5 0 0 1
-2   1..20   *       0..18   *       *       *       0 0.5 0 0 0
-2   1..20   *       *       *       0..18   *       0 0.5 0 0 0
-2   1..20   0..0.4  *       *       25..200 0..0.3  0 0.5 0 1 1
-2   1..20   *       *       *       0..8    *       0 0.5 0 1 0
-2   1..80   0.6..1  *       *       *       *       0 0.5 0 * 0
+20  *       *       *       *       *       *       1 *   * * *       *       0
+20  1..90   *       *       *       *       *       0 1   * * *       *       0
+20  *       *       *       *       *       *       0 1   0 * *       *       0
+3   1..300  0.3..1  *       *       *       *       0 1   * * *       *       0
+2   140..300 0..0.2 20..200 0..0.3  20..200 0..0.3  0 1   1 0 20..200 20..200 1
+24  1..300  0..0.4  *       *       *       *       0 0   1 * *       *       1
+2   1..80   0.5..1  8..200  0..0.3  8..200  0..0.3  0 0   1 0 8..200  8..200  1
+2   10..80  0.5..1  *       *       *       *       0 0   1 0 *       *       1
+2   1..6    0.8..1  1..6    0.8..1  *       *       0 0   1 * *       *       0
+2   1..6    0.8..1  *       *       1..6    0.8..1  0 0   1 * *       *       0
+2   1..6    0.8..1  0       0       *       *       0 0   1 0 *       *       0
+6   12..300 0..0.4  *       *       *       *       0 0.5 1 0 *       *       1
+3   1..11   0..0.4  20..200 0..0.3  12..200 0..0.3  0 0.5 1 * 12..200 12..200 1
+2   1..11   *       0..14   *       *       *       0 0.5 1 0 *       *       0
+2   1..11   *       *       *       0..11   *       0 0.5 1 * *       *       0
+2   1..80   0.6..1  *       *       *       *       0 0.5 1 * *       *       0
+12  16..300 0..0.4  *       *       *       *       0 0   0 0 *       *       1
+2   8..15   0..0.4  16..200 0..0.3  *       *       0 0   0 0 16..200 *       1
+2   8..15   0..0.4  *       *       18..200 0..0.3  0 0   0 0 *       18..200 1
+2   1..7    0..0.4  16..200 0..0.3  16..200 0..0.3  0 0   0 0 16..200 16..200 1
+6   1..15   0..0.2  1..200  0..0.2  1..200  0..0.2  0 0   0 0 22..200 22..200 1
+3   6..15   0..0.2  0       0       0       0       0 0   0 0 0       0       1
+2   1..7    *       0..12   *       *       *       0 0   0 0 0..18   *       0
+2   1..7    *       *       *       0..12   *       0 0   0 0 *       0..18   0
+2   8..15   *       0..14   *       0..14   *       0 0   0 0 0..15   1..15   0
+2   1..15   *       0..14   0.7..1  0..14   *       0 0   0 0 *       *       0
+2   1..15   *       0..14   *       0..14   0.7..1  0 0   0 0 *       *       0
+2   1..25   0..0.4  *       *       16..200 0..0.3  0 0   0 1 *       16..200 1
+2   1..25   0..0.4  *       *       4..15   0..0.3  0 0   0 1 *       *       1
+2   1..25   *       *       *       0..3    *       0 0   0 1 *       *       0
+2   1..25   *       *       *       1..15   0.6..1  0 0   0 1 *       *       0
+2   1..25   0.6..1  *       *       0..15   *       0 0   0 1 *       *       0
+2   1..80   0.6..1  0..12   *       *       *       0 0   0 0 *       *       0
+2   1..80   0.6..1  *       *       0..12   *       0 0   0 0 *       *       0
+2   1..80   0.6..1  *       0.6..1  *       *       0 0   0 0 *       *       0
+2   1..80   0.6..1  *       *       *       0.6..1  0 0   0 0 *       *       0
+2   1..80   0.6..1  25..200 0..0.3  25..200 0..0.3  0 0   0 0 25..200 25..200 1
+6   25..300 0..0.4  *       *       *       *       0 0.5 0 0 *       *       1
+2   1..20   0..0.4  25..200 0..0.3  25..200 0..0.3  0 0.5 0 0 25..200 25..200 1
+2   1..20   *       0..18   *       *       *       0 0.5 0 0 *       *       0
+2   1..20   *       *       *       0..18   *       0 0.5 0 0 *       *       0
+2   1..20   0..0.4  *       *       25..200 0..0.3  0 0.5 0 1 *       25..200 1
+2   1..20   *       *       *       0..8    *       0 0.5 0 1 *       *       0
+2   1..80   0.6..1  *       *       *       *       0 0.5 0 * *       *       0
 """
-DRAWS = 120
+DRAWS = 360
 #: Least blocks of a leaf.
 LEAF = 12
 #: Spans of any value, by feature.
-_ANY = ("1..200", "0..1", "0..200", "0..1", "0..200", "0..1", "0|1", "0|0.5|1", "0|1", "0|1")
+_ANY = ("1..200", "0..1", "0..200", "0..1", "0..200", "0..1", "0|1", "0|0.5|1", "0|1", "0|1", "0..200", "0..200")
 
 
 def labelled(seed: int = 0) -> list[tuple[list[float], int]]:
@@ -328,10 +354,13 @@ def labelled(seed: int = 0) -> list[tuple[list[float], int]]:
                 low, _, high = span.partition("..")
                 if not high:
                     row.append(float(rnd.choice(low.split("|"))))
-                elif FEATURES[f].endswith("words"):  # small numbers as often as large ones
+                elif "words" in FEATURES[f]:  # small numbers as often as large ones
                     row.append(float(int((float(low) + 1) * ((float(high) + 1.99) / (float(low) + 1)) ** rnd.random()) - 1))
                 else:  # link densities are mostly none or all
                     row.append(min(float(high), max(float(low), rnd.choice((0.0, rnd.random(), 1.0)))))
+            for f, near in ((10, 2), (11, 4)):  # a neighbour that is no list of links counts among the blocks around
+                if row[near + 1] < LINKED:
+                    row[f] = max(row[f], row[near]) if kind[f] == "*" else row[f]
             out.append((row, int(label)))
     return out
 
@@ -374,8 +403,10 @@ def classify(own: list[Block], node=None) -> list[int]:
     root = tree() if node is None else node
     none = Block("", 0, 0.0, False, 0.0, False, False)
     out = []
-    for p, b, n in zip([none, *own[:-1]], own, [*own[1:], none], strict=False):
-        x = (b.words, b.link_density, p.words, p.link_density, n.words, n.link_density, float(b.zone), b.named, float(b.article), float(b.heading))
+    plain = [0 if b.zone or b.named == 1 or b.link_density >= LINKED else b.words for b in own]
+    for i, (p, b, n) in enumerate(zip([none, *own[:-1]], own, [*own[1:], none], strict=False)):
+        around = max(plain[max(0, i - AROUND) : i], default=0), max(plain[i + 1 : i + 1 + AROUND], default=0)
+        x = (b.words, b.link_density, p.words, p.link_density, n.words, n.link_density, float(b.zone), b.named, float(b.article), float(b.heading), *around)
         at = root
         while not isinstance(at, int):
             at = at[2] if x[at[0]] <= at[1] else at[3]

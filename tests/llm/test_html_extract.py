@@ -83,6 +83,52 @@ def test_innocent_names_keep_their_text(name, article):
     assert he.main_text(page) == f"{TEXT} {TEXT}\n\n{TEXT}\n\n{TEXT}"
 
 
+SECTION = "This part of the story has some thirty words or so, no links at all, and a heading above it, so that it should stay where it is, whatever it is called by those who wrote it."
+
+
+@pytest.mark.parametrize("name", "discussion notice related responses popular promotion alert menu subscription social discussion-section menu-items reactions".split())
+@pytest.mark.parametrize("by", ["id", "class"])
+def test_sections_of_an_article_keep_their_text(name, by):
+    page = f"<article><p>{LONG} {LONG}</p><section {by}={name}><h2>A heading</h2><p>{SECTION}</p></section><p>{LONG} {LONG}</p></article>"
+    assert he.main_text(page) == f"{TEXT} {TEXT}\n\nA heading\n\n{SECTION}\n\n{TEXT} {TEXT}"
+    links = "".join(f"<li><a href=/{i}>Read story {i}</a></li>" for i in range(6))
+    page = f"<article><p>{LONG} {LONG}</p><div {by}={name}><ul>{links}</ul></div><p>{LONG} {LONG}</p></article>"
+    assert he.main_text(page) == f"{TEXT} {TEXT}\n\n{TEXT} {TEXT}"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<p class='advertisement'>{}</p>", "<p class='ad sponsored'>{}</p>", "<p class='cookie-notice'>{}</p>", "<p class='comment'>{}</p>", "<p hidden>{}</p>", "<h2 hidden>{}</h2>", "<p style='display:none'>{}</p>",
+        "<p><span style='display:none'>{}</span></p>", "<div hidden><p>{}</p></div>", "<pre aria-hidden=true>{}</pre>", "<section id=comments><p>{}</p></section>", "<div class=share><p>{}</p></div>", "<div class=banner>{}</div>",
+    ],
+)
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_adverts_and_hidden_elements_go(piece, article):
+    own = piece.format("Buy this very fine thing today, while there are some left of it")
+    assert he.main_text(f"<{article}><p>{LONG} {LONG}</p>{own}<p>{LONG} {LONG}</p></{article}>") == f"{TEXT} {TEXT}\n\n{TEXT} {TEXT}"
+
+
+def test_hidden_words_within_a_paragraph():
+    assert he.main_text(f"<article><p>{LONG} <span hidden>not <b>this</b></span><i style='visibility: hidden'>nor this</i> but this.</p></article>") == f"{TEXT} but this."
+
+
+def test_dialogue_between_long_paragraphs():
+    page = f"<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Other</a></li></ul></nav><p>{LONG} {LONG}</p><p>Who is there?</p><p>Nobody, he said.</p><p>Then go.</p><p>{LONG} {LONG}</p><div>About us</div>"
+    assert he.main_text(page) == f"{TEXT} {TEXT}\n\nWho is there?\n\nNobody, he said.\n\nThen go.\n\n{TEXT} {TEXT}"
+    assert he.main_text("<p>A page of one short paragraph.</p>") == "A page of one short paragraph."
+
+
+def test_names_are_outvoted():
+    """Where names mislead the tree gives another answer than they do."""
+    text = " ".join([TEXT] * 10)
+    page = f"<article><p>{text}</p><div class=sponsors><p>{text}</p></div><section id=menu><p>{SECTION}</p></section><p>{text}</p></article>"
+    own = he.blocks(page)
+    assert [b.named for b in own] == [0, 1, 0.5, 0] and he.classify(own) == [1, 1, 1, 1]
+    short = he.blocks(f"<article><p>{text}</p><section id=menu><p>Soup</p><p>Fish</p><p>Cake</p></section></article>")
+    assert he.classify(short) == [1, 0, 0, 0]
+
+
 @pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "canvas", "audio", "video", "iframe", "noscript", "textarea", "title", "template"])
 def test_unclosed_elements_end_with_their_parent(tag):
     page = f"<article><p>{LONG}</p><p>{LONG} <{tag} x=1>go</p><p>{LONG}</p><div><{tag}></div><p>{LONG}</p></article>"
