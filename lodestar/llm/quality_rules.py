@@ -3,7 +3,8 @@
 Words are maximal runs of non-white-space (space, \\t, \\n, \\v, \\f, \\r separate).
 A null or empty text has no words; every count is 0 and it fails the base rule.
 Repeated rows are judged alike, whatever their id. Texts of any length are judged whole, and none
-fails for being long. An empty table gives an empty one. Columns of the input that are not asked for are
+fails for being long. The stop words are of English, French, German and Spanish: texts in other languages without
+any of them fail by the stop-word ratio. Null ids are ids like others. An empty table gives an empty one. Columns of the input that are not asked for are
 not read, so clashing names do no harm.
 """
 
@@ -44,7 +45,7 @@ RULES = (
     Rule("length", "n_words", low=50),
     Rule("mean_word_length", "mean_word_chars", low=2.0, high=15.0),
     Rule("symbols", "symbol_ratio", high=0.10),
-    Rule("stop_words", "n_stop_words", low=2),
+    Rule("stop_words", "stop_word_ratio", low=0.005),
     Rule("duplicate_lines", "dup_line_ratio", high=0.50),
     Rule("repeated_words", "repeat_word_ratio", high=0.50),
 )
@@ -93,6 +94,7 @@ def measures(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         "symbol_ratio": share("n_symbols", "word_chars"),
         "dup_line_ratio": share("n_dup_lines", "n_lines"),
         "repeat_word_ratio": share("n_repeat_words", "n_words"),
+        "stop_word_ratio": share("n_stop_words", "n_words"),
     })
 
 
@@ -164,7 +166,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND word_chars / n_words >= 2 AND word_chars / n_words <= 15
          AND CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END <= 0.1
-         AND n_stop_words >= 2
+         AND n_stop_words / n_words >= 0.005
          AND CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END <= 0.5
          AND n_repeat_words / n_words <= 0.5 AS kept
 FROM m

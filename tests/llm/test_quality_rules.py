@@ -22,7 +22,7 @@ def brute(text):
     dup = len(lines) - len(set(lines))
     failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
     stop = sum(x.lower() in qr.STOP_WORDS for x in w)
-    kept = not failed and 2 <= chars / len(w) <= 15 and symbols / chars <= 0.1 and stop >= 2 and dup / len(lines) <= 0.5
+    kept = not failed and 2 <= chars / len(w) <= 15 and symbols / chars <= 0.1 and stop / len(w) >= 0.005 and dup / len(lines) <= 0.5
     return len(w), chars, symbols, dup, len(hit), failed, kept
 
 
@@ -33,6 +33,8 @@ def test_against_brute_force(spark):
     texts += [rnd.choice([" ", "\n", "\t "]).join(rnd.choices(words, k=rnd.randint(0, 120))) for _ in range(150)]
     texts += ["\n".join(rnd.choices(["the line of it", "another line", "", " "], k=30)) for _ in range(10)]
     texts += [" ".join(f"word{rnd.randrange(10**6)}" for _ in range(60)) + " the of the"] * 2
+    texts += [" ".join(f"word{j}" for j in range(20_000)) + " the of" * n for n in (1, 60)]  # a ratio, not a count
+    assert not brute(texts[-2])[-1] and brute(texts[-1])[-1]
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], SCHEMA)
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     got = sorted(qr.apply_rules(df, "doc_id").collect(), key=lambda r: r.doc_id)
@@ -51,6 +53,15 @@ def test_the_table_can_be_changed_and_is_native(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"word{i} the" for i in range(60))
+    rows = [(None, text, "a", "x"), (None, None, "b", "x"), (1, text, "c", "x"), (1, text, "c", "x"), (1, "short", "d", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted([(r.doc_id, r.n_words, r.kept) for r in qr.apply_rules(df, "doc_id").collect()], key=repr)
+    assert got == sorted([(None, 120, True), (None, 0, False), (1, 120, True), (1, 120, True), (1, 1, False)], key=repr)
+    assert sorted(r["kept"] for r in qr.filter_documents(df).collect()) == ["a", "c", "c"]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert qr.apply_rules(df, "doc_id").collect() == [] and qr.filter_documents(df).collect() == []
