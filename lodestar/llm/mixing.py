@@ -14,7 +14,8 @@ inside the one range that holds the cut, so that a source with a third of all
 rows never meets in one task. What is left is one row per source.
 
 A null text has size 0; the null source is a source of its own, ordered last.
-Repeated rows share their key and thus the decision. An empty table gives none.
+Repeated rows share their key and thus the decision; so do all rows of null ids. Texts of any length are counted whole. An empty table gives
+none; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ are responses always.
 
 A null html is an empty payload, a null url no target header; a null page_id is
 smaller than any other. Rows that repeat the largest id and its payload are responses
-each. Archives are written by the tasks to the folder that all share, under a
+each, with one record id, which comes from page and payload (the standard wants ids to differ: give pages different ids). Payloads of any
+length go whole; an empty table gives an empty manifest; other columns play no part, whatever their names. Header lines may be folded. Archives are written by the tasks to the folder that all share, under a
 name for each attempt; the manifest that Spark commits names the valid ones.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -153,7 +155,7 @@ def frames(source: BinaryIO, name: str = "archive") -> Iterator[bytes]:
 
 def _headers(data: bytes, name: str) -> dict[str, str]:
     out: dict[str, str] = {}
-    for line in data.split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data).split(b"\r\n"):  # a line that begins with white space goes on
         key, colon, value = line.partition(b":")
         if not colon or not key or key != key.strip():
             raise ArchiveError(f"{name}: bad header line {line[:80]!r}")
