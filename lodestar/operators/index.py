@@ -89,7 +89,7 @@ _NAMES, _LOST, _ASKERS, _BLOCKS = range(4)
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """Rows for by_range of the documents in index.docs. One for each: null lists in a row of blocks are dear in Arrow."""
+    """Rows for by_range of the documents in index.docs, one for each: null lists in the rows of blocks are dear in Arrow."""
     return docs.select("range", F.lit(_NAMES).alias("kind"), F.posexplode("doc_ids").alias("_n", "doc_id")).select("range", "kind", F.col("_n").cast("long").alias("n"), "doc_id")
 
 

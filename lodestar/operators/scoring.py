@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import tokens, ws_tokens
 from ..runtime import BROADCAST_ROWS, materialise
-from .index import Index, Range, askers, block_rows, bucket_of, by_range, idf_bm25, idf_tfidf, named, places_of, ranges, term_counts
+from .index import Index, Range, askers, block_rows, bucket_of, by_range, idf_bm25, idf_tfidf, places_of, ranges, term_counts
 from .segments import kept
 
 #: Pairs of a query and a word that are sent to the index at once, and postings that a task adds up at a time.
@@ -76,6 +76,7 @@ class _Asked:
     low: np.ndarray
     high: np.ndarray
     avgdl: float
+    everywhere: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: queries that the second round has in all ranges
 
 
 def _asked(own: pa.Table, n_queries: int, avgdl: float, weigh) -> _Asked:
@@ -188,31 +189,31 @@ def _first_round(sent, weigh, k: int):
 
 
 def _second_round(sent, weigh, k: int):
-    """Blocks of all words in the ranges that are left, each range led by its ids and queries -> (place, doc_id, raw)."""
+    """Blocks of all words in the ranges that are left, each range led by its queries -> (place, range, at, raw): of each query
+    and range the k best documents, by their place in the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: _Asked = sent.value
         least = _Least(len(q.low), k)
         for own in ranges(batches):
-            if not own.blocks.num_rows or not len(own.queries):
+            asked = np.union1d(own.queries, q.everywhere)
+            if not own.blocks.num_rows or not len(asked):
                 continue
-            ids = own.ids.combine_chunks()
-            for query, place, score in _summed(q, weigh, own, own.queries, None):
+            for query, place, score in _summed(q, weigh, own, asked, None):
                 possible = (score >= HALF) & (score >= least.of(query) - _NEAR)
                 query, place, score = query[possible], place[possible], score[possible]
                 best = _best_of(query, place, score, k)
                 query, place, score = query[best], place[best], score[best]
                 if len(query):
                     least.add(query, score)
-                    yield pa.RecordBatch.from_arrays([pa.array(query), ids.take(pa.array(place)), pa.array(score)], names=["place", "doc_id", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), own.number)), pa.array(place), pa.array(score)], names=["place", "range", "at", "raw"])
 
     return run
 
 
-def _block_hits(index: Index, q: DataFrame, k: int, avgdl: float, weigh) -> tuple[DataFrame, DataFrame] | None:
-    """(place, doc_id, raw) of a block of queries q, and (place, qid); None where nothing can score."""
-    spark = q.sparkSession
-    own = q.toArrow().combine_chunks()
+def _block_hits(index: Index, own: pa.Table, k: int, avgdl: float, weigh) -> tuple[DataFrame, DataFrame] | None:
+    """(place, doc_id, raw) of a block of queries, and (place, qid); None where nothing can score. own: qid, term, qtf, most_tf, least_dl, idf, bucket."""
+    spark = index.parts.sparkSession
     qids = pc.unique(own["qid"])
     own = own.append_column("place", pc.cast(pc.index_in(own["qid"], value_set=qids), pa.int64()))
     asked = _asked(own, len(qids), avgdl, weigh)
@@ -245,20 +246,20 @@ def _block_hits(index: Index, q: DataFrame, k: int, avgdl: float, weigh) -> tupl
     left = materialise(left.filter((F.col("raw") >= F.col("_need")) & ~F.col("_open")).select("range", "place"), "ranges-left")
     listed = left.select(F.col("range").alias("_r")).distinct()
     listed = F.broadcast(listed) if left.count() <= BROADCAST_ROWS else listed
-    blocks, docs, rows = blocks_of(words), index.docs, [askers(left)]
+    blocks, docs = blocks_of(words), index.docs
     if open_.any():
         wide = np.unique(entry_word[open_[asked.query]])
         wide = F.broadcast(spark.createDataFrame(pa.table({"_w": wide})))
         blocks = blocks.join(wide, F.col("word") == F.col("_w"), "left_semi").unionByName(
             blocks.join(wide, F.col("word") == F.col("_w"), "left_anti").join(listed, F.col("range") == F.col("_r"), "left_semi")
         )
-        every = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in np.flatnonzero(open_)]))
-        rows.append(askers(docs.select("range", every.alias("place"))))
+        sent = spark.sparkContext.broadcast(replace(asked, everywhere=np.flatnonzero(open_)))
     else:
         docs, blocks = (x.join(listed, F.col("range") == F.col("_r"), "left_semi") for x in (docs, blocks))
-    kinds = StructType().add("place", "long").add("doc_id", index.parts.schema["doc_ids"].dataType.elementType).add("raw", "double")
-    rows = by_range([named(docs), *index.lost_places, *rows, block_rows(blocks, "word")])
-    hits = rows.mapInArrow(_second_round(sent, weigh, k), kinds)
+    rows = by_range([*index.lost_places, askers(left), block_rows(blocks, "word")])
+    hits = rows.mapInArrow(_second_round(sent, weigh, k), "place long, range long, at long, raw double")
+    # within a range places follow ids
+    hits = hits.join(docs.select("range", "doc_ids"), "range").select("place", F.get("doc_ids", F.col("at").cast("int")).alias("doc_id"), "raw")
     return hits, spark.createDataFrame(pa.table({"_place": np.arange(len(qids)), "qid": qids}))
 
 
@@ -275,20 +276,23 @@ def _run(index: Index, queries: DataFrame, k: int, weigh, idf, tokenise=tokens)
     q = term_counts(queries, "qid", out="qtf", tokenise=tokenise)
     n, avgdl = index.stats.first()
     known = q.join(index.terms, "term").select("qid", "term", "qtf", "most_tf", "least_dl", idf(F.lit(n), F.col("df")).alias("idf"), bucket_of(F.col("term")).alias("bucket"))
-    q = materialise(known, "asked")
-    blocks = max(1, math.ceil(q.count() / ASKED))
+    few = known.limit(ASKED + 1).toArrow()
+    blocks = 1
+    if few.num_rows > ASKED:
+        q = materialise(known, "asked")
+        blocks = math.ceil(q.count() / ASKED)
     out = None
     for i in range(blocks):
-        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        found = _block_hits(index, own, k, float(avgdl or 0.0), weigh)
+        own = few if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
+        found = _block_hits(index, own.combine_chunks(), k, float(avgdl or 0.0), weigh) if own.num_rows else None
         if found is not None:
             hits, places = found
             part = hits.join(F.broadcast(places), F.col("place") == F.col("_place")).select("qid", "doc_id", F.round("raw", 6).alias("score"))
             part = part if blocks == 1 else materialise(top_k(part.filter("score > 0"), k, "qid").drop("rank"), "hits")
             out = part if out is None else out.unionByName(part)
     if out is None:
-        kinds = StructType([q.schema["qid"], StructField("doc_id", index.parts.schema["doc_ids"].dataType.elementType)]).add("score", "double")
-        out = q.sparkSession.createDataFrame([], kinds)
+        kinds = StructType([queries.schema["qid"], StructField("doc_id", index.parts.schema["doc_ids"].dataType.elementType)]).add("score", "double")
+        out = queries.sparkSession.createDataFrame([], kinds)
     return top_k(out.filter("score > 0"), k, "qid")
 
 
