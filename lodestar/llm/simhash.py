@@ -251,13 +251,17 @@ def one_of_each(docs: DataFrame, n: int = SHINGLE, distance: int = DISTANCE) ->
     component stay both, and those whose id is null come after all others of their component. Of
     one id the text with the least hash stays.
     """
+    def told(h: Column | str, g: Column | str) -> Column:
+        """A string: a struct would be cast for the join, as a table's fields are nullable, and the join's partitioning be lost."""
+        return F.concat_ws("/", *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in (h, g)]).alias("_id")
+
     # 128 bits that tell id and text
     text, both = F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text").alias("_g")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g"))
     rows, named = _linked(docs.select("doc_id", "text", text, both), ("doc_id", "_h", "_g"), first, n, distance)
-    keep = named.groupBy("root").agg(F.min("least").alias("_k")).select(F.struct("_k._h", "_k._g").alias("_id"))
-    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.struct(text, both).alias("_id"))
-    counts = rows.groupBy(F.struct("_h", "_g").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    keep = named.groupBy("root").agg(F.min("least").alias("_k")).select(told("_k._h", "_k._g"))
+    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), told(text, both))
+    counts = rows.groupBy(told("_h", "_g")).agg(F.count(F.lit(1)).alias("n"))
     kept = looked_up(boxed, "_id", materialise(keep, "kept-rows"), counts, lambda d: d.groupBy("_id").agg(F.first("_row").alias("_row")))
     return kept.select("_row.*")
 
