@@ -108,3 +108,11 @@ def test_no_python_and_empty(spark, rows):
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.mix_documents(df.limit(0)).collect() == []
     none = spark.createDataFrame([(1, None, None, ""), (2, " ", "a", "")], SCHEMA)
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(none).collect()) == [(1, 0), (2, 0)]
+
+
+def test_null_ids_and_long_texts(spark):
+    rows = [(None, "a b c", "s", ""), (None, "a b c", "s", ""), (None, "d e", "t", ""), (1, "w " * 50_000, "s", ""), (2, None, None, "")]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.size for r in got)) == [0, 2, 3, 3, 50_000] and all(r.taken % max(1, r.size) == 0 for r in got)
+    assert len({r.times for r in got if r.doc_id is None and r.source == "s"}) == 1  # rows of null ids share their fate
+    assert sum(r.taken for r in got if r.source == "s") <= next(r.target for r in got if r.source == "s") + 1e-6

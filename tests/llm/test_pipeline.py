@@ -48,3 +48,22 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns
+
+
+def test_null_ids_repeated_rows_and_long_texts(spark, tmp_path):
+    rnd = random.Random(4)
+    vocab = ["the", "of", "la", "und"] * 20 + [f"word{i}" for i in range(900)]
+    t = [" ".join(rnd.choices(vocab, k=n)) for n in (80, 90, 100, 110, 40_000)]
+    rows = [(1, t[0]), (1, t[0]), (1, t[3]), (None, t[1]), (None, t[1]), (None, t[2]), (7, t[1]), (8, t[4]), (8, t[4]), (None, None), (9, None), (None, "too short")]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, t[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        d = spark.createDataFrame(stage(spark, d, str(tmp_path)).collect(), df.schema)
+        kept.append(sorted(((r.doc_id, t.index(r.text)) for r in d.collect()), key=repr))
+    assert kept[0] == sorted([(i, t.index(x)) for i, x in rows if x in t], key=repr)
+    assert kept[1] == sorted([(1, 0), (1, 3), (7, 1), (None, 2), (8, 4)], key=repr)  # one of each text, the smallest id
+    assert kept[2] == sorted([(1, 0), (1, 3), (7, 1), (8, 4)], key=repr)  # the item itself is gone
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in out} <= {(i, t[j]) for i, j in kept[2]} and any(r.text == t[4] for r in out)
