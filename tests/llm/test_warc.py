@@ -91,3 +91,12 @@ def test_headers_and_lengths_are_checked(old, new):
     assert warc.parse(r)["payload"] == b
     with pytest.raises(ValueError):
         warc.parse(r.replace(old, new))
+
+
+def test_folded_headers():
+    b = b"<p>page"
+    r = warc.record(1, "http://x", b, hashlib.sha1(b).hexdigest(), len(b), None)
+    folded = r.replace(b"WARC-Date: ", b"X-Note: one\r\n  two\r\n\tthree\r\nWARC-Date:\r\n ", 1)
+    assert warc.parse(folded) == warc.parse(r)
+    with pytest.raises(ValueError):
+        warc.parse(r.replace(b"WARC-Date: ", b" folded before any header\r\nWARC-Date: ", 1).replace(b"WARC/1.1\r\n", b"WARC/1.1\r\nbad line\r\n", 1))
