@@ -28,6 +28,8 @@ from .vectors import BLOCK, doubles
 
 #: Centres, vectors that they are fitted on, rounds of fitting, and vectors of a file.
 CENTRES, SAMPLE, ROUNDS, CELL_ROWS = 1024, 20_000, 6, 1 << 20
+#: Part of the folder's name: to be raised when the files are written otherwise.
+VERSION = 1
 #: Scores that a task holds at a time, and what rounded scores and bounds may differ by.
 _CELLS, _NEAR = 1 << 22, 2e-6
 
@@ -113,7 +115,7 @@ def load(spark: SparkSession, path: str) -> Cells | None:
 def kept(corpus: DataFrame) -> Cells:
     """The cells of corpus (doc_id, v, scale) in the shared folder, built at first use."""
     spark = corpus.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/cells/{_content_key(corpus, 'doc_id', 'v', 'scale')}"
+    path = f"{shared_dir(spark)}/lodestar/cells-{VERSION}/{_content_key(corpus, 'doc_id', 'v', 'scale')}"
     found = load(spark, path)
     if found is None:
         build(corpus, path)

@@ -19,6 +19,10 @@ from .index import _content_key
 from .segments import kept
 
 
+#: Part of the folder's name: to be raised when a search gives other results.
+VERSION = 1
+
+
 def _key() -> Column:
     """What tells a query's text: 256 bits."""
     return F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -29,7 +33,7 @@ def searched(search: Callable[..., DataFrame], docs: DataFrame, queries: DataFra
     of which only texts not asked before are scored."""
     spark = docs.sparkSession
     name = f"{search.__name__}-{k}-" + json.dumps(parameters, sort_keys=True).encode().hex()
-    path = f"{shared_dir(spark)}/lodestar/results/{tokenise.__name__}-{_content_key(docs)}/{name}"
+    path = f"{shared_dir(spark)}/lodestar/results-{VERSION}/{tokenise.__name__}-{_content_key(docs)}/{name}"
     kinds = StructType([StructField("key", StringType()), docs.schema["doc_id"]]).add("score", "double").add("rank", "long")
     asked = queries.select("qid", _key().alias("key"), "text")
     new = asked.select("key", "text").dropDuplicates(["key"])

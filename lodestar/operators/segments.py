@@ -29,6 +29,8 @@ from .index import DOCUMENTS, GONE, Index, _content_key, _rows, block_rows, buck
 
 #: A segment is merged with those after it if it holds at most so many times their documents.
 FAN = 4
+#: Part of the folder's name: to be raised when the files are written otherwise.
+VERSION = 2
 
 
 def _at(spark: SparkSession, path: str):
@@ -113,7 +115,7 @@ def kept(docs: DataFrame, tokenise=tokens) -> Index:
     """The index of docs in the shared folder: built and saved at first use, loaded from then on, by this
     session or another; a changed document makes it another index."""
     spark = docs.sparkSession
-    path, key = f"{shared_dir(spark)}/lodestar/index", f"{tokenise.__name__}-{_content_key(docs)}"
+    path, key = f"{shared_dir(spark)}/lodestar/index-{VERSION}", f"{tokenise.__name__}-{_content_key(docs)}"
     found = load(spark, path, key)
     if found is None:
         save(docs, path, key, tokenise)
