@@ -231,7 +231,7 @@ def _block_hits(index: Index, own: pa.Table, k: int, avgdl: float, weigh) -> tup
             found = found.filter(F.col("term").isin(which["_term"].to_pylist()))
         return found.join(listed, F.col("term") == F.col("_term"))
 
-    if not early.any():
+    if not early.any() and not (asked.high > HALF / 2).any():
         return None
     kinds = "place long, range long, raw double"
     early_rows = by_range([*index.lost_places, block_rows(blocks_of(words.filter(words["early"])), "word")])
