@@ -121,19 +121,20 @@ def group_keys(docs: DataFrame, *keep) -> DataFrame:
 
 
 def _slots(d: DataFrame, rows: int) -> DataFrame:
-    """Gapless slots in each shard: offsets by hash bucket, then places in the bucket."""
+    """Gapless slots in each shard: offsets by hash bucket, then places in the bucket. Rows that repeat id and text are told apart by
+    their place in the written table (_u), so that they don't meet in one bucket."""
     n = max(1, math.ceil(rows / (N_SHARDS * LEAF_GROUPS)))
-    d = d.withColumn("_b", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(n)).cast("int"))
+    d = d.withColumn("_b", F.pmod(F.xxhash64("doc_id", "group_key", "_u"), F.lit(n)).cast("int"))
     per = d.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    place = Window.partitionBy("shard", "_b").orderBy("doc_id", "group_key")
+    place = Window.partitionBy("shard", "_b").orderBy("doc_id", "group_key", "_u")
     return d.join(per, ["shard", "_b"]).withColumn("slot", F.col("_o") + F.row_number().over(place) - 1).drop("_b", "_o")
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
-    rows = materialise(group_keys(docs, "doc_id"), "shard-rows")
+    rows = materialise(group_keys(docs, "doc_id").withColumn("_u", F.monotonically_increasing_id()), "shard-rows")
     groups = materialise(rows.groupBy("group_key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")), "shard-groups")
     d = looked_up(rows, "group_key", assign_groups(groups, n_shards), groups)
     return _slots(d, rows.count()).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

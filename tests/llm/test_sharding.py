@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import sharding
 
@@ -113,3 +114,18 @@ def test_documents_keep_their_columns(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert sharding.shard(df).collect() == [] and sharding.shard_documents(df).collect() == []
+
+
+def test_rows_that_repeat_id_and_text_share_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAF_GROUPS", 4)
+    df = spark.createDataFrame([(None, "same text")] * 2000 + [(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    seen, keep = [], sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda d, label: seen.append((label, keep(d, label))) or seen[-1][1])
+    got = sharding.shard(df, 4).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 2500 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    rows = dict(seen)["shard-rows"]
+    buckets = rows.filter("doc_id IS NULL").groupBy((F.pmod(F.xxhash64("doc_id", "group_key", "_u"), F.lit(16))).alias("b")).count().collect()
+    assert len(buckets) == 16 and max(r["count"] for r in buckets) < 400
